@@ -159,14 +159,16 @@ def parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", with_offsets: bool = False) -> DataFrame:
-    """``df`` with the ids of ``text`` (binary, little-endian unsigned 32 bit), ``n_tokens`` and, if asked, token ``offsets``.
+def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", with_offsets: bool = False, round_trip: bool = False) -> DataFrame:
+    """``df`` with the ids of ``text`` (binary, little-endian unsigned 32 bit) and ``n_tokens``.
+
+    If asked, with token ``offsets``, and with ``decoded_sha256`` of the bytes that the ids decode to.
 
     Columns of ``df`` that have one of these names are replaced.
     """
-    added = [ids, "n_tokens", *(["offsets"] if with_offsets else [])]
+    added = [ids, "n_tokens", *["offsets"] * with_offsets, *["decoded_sha256"] * round_trip]
     kept = df.drop(*added)
-    schema = with_fields(kept, (ids, "binary"), ("n_tokens", "long"), *([("offsets", "array<int>")] if with_offsets else []))
+    schema = with_fields(kept, (ids, "binary"), ("n_tokens", "long"), *[("offsets", "array<int>")] * with_offsets, *[("decoded_sha256", "string")] * round_trip)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(local_copy(vocabulary))
@@ -177,6 +179,8 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "token
                 columns = [*part.columns, pa.array(got, pa.binary()), pa.array([len(g) // 4 for g in got], pa.int64())]
                 if with_offsets:
                     columns.append(pa.array([bpe.offsets(t, g) for t, g in zip(texts, got, strict=True)], pa.list_(pa.int32())))
+                if round_trip:
+                    columns.append(pa.array([hashlib.sha256(bpe.decode_bytes(g)).hexdigest() for g in got]))
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
 
     return kept.mapInArrow(run, schema)

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noveltybench.llm import byte_bpe, decontam, language, ogg, quality, toxicity
+from noveltybench.llm import byte_bpe, decontam, language, line_templates, near_dup, ogg, packed_ids, preference, quality, sql, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
@@ -26,10 +30,22 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.digest(table(spark, sf_dir, "conversations"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,9 +55,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_language_id, op3_ogg_media, op4_decontamination, op7_byte_bpe, op9_quality, op10_toxicity]
+    found = [
+        op1_near_dup,
+        op2_language_id,
+        op3_ogg_media,
+        op4_decontamination,
+        op5_line_templates,
+        op6_preference_format,
+        op7_byte_bpe,
+        op8_packed_ids,
+        op9_quality,
+        op10_toxicity,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
