@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from noveltybench.plans import base, window_plans
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(base.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(base.SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_plans.flagship_composition(spark, sf_dir)
