@@ -167,16 +167,20 @@ def clean_corr_prune(spark, sf):
 def _clean_sql(c: str) -> str:
     x = f"CASE WHEN isfinite({c}) THEN {c} ELSE (SELECT median FROM params WHERE feature = '{c}') END"
     x = f"CASE WHEN (SELECT log1p FROM params WHERE feature = '{c}') THEN ln(1 + greatest({x}, 0)) ELSE {x} END"
-    return f"({x} - (SELECT mean FROM params WHERE feature = '{c}')) / (SELECT std FROM params WHERE feature = '{c}') AS {c}"
+    return f"round(({x} - (SELECT mean FROM params WHERE feature = '{c}')) / (SELECT std FROM params WHERE feature = '{c}'), 5) AS {c}"
 
 
 KEPT = ["quantity", "price", "discount", "tax"]
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 5).alias(c) if c in KEPT else F.col(c) for c in df.columns])
+
+
 @query(with_sql("SELECT l_orderkey, l_partkey, l_linenumber, side, cls, " + ", ".join(map(_clean_sql, KEPT)) + " FROM feat", FEATURES, TRAIN, PARAMS))
 def clean_transform(spark, sf):
     p = [r.asDict() for r in params(spark, sf).collect()]  # one row a feature
-    return K.transform(features(spark, sf).drop("t_ms"), p, KEPT)
+    return _rounded(K.transform(features(spark, sf).drop("t_ms"), p, KEPT))
 
 
 @query(with_sql("SELECT feature FROM pf JOIN po USING (feature) WHERE pf.dropped IS NULL AND po.dropped IS NULL", FEATURES, "tf AS (SELECT * FROM feat WHERE side = 'F')", stats_sql("tf", "pf"), "tn AS (SELECT * FROM feat WHERE side = 'O')", stats_sql("tn", "po")))
@@ -190,7 +194,7 @@ def transfer_package(spark, sf):
     """Target rows under the source's cleaner: nothing is fitted on the target."""
     f = features(spark, sf)
     p = [r.asDict() for r in K.fit(f.where("side = 'F'"), COLUMNS, HEAVY).collect()]
-    return K.transform(f.where("side = 'O'").drop("t_ms", "side", "cls"), p, KEPT)
+    return _rounded(K.transform(f.where("side = 'O'").drop("t_ms", "side", "cls"), p, KEPT))
 
 
 @query(with_sql("SELECT 'flows_finite' AS check_name, count(*) FILTER (NOT isfinite(price)) AS violations, count(*) FILTER (NOT isfinite(price)) = 0 AS ok FROM feat", FEATURES))
