@@ -71,17 +71,20 @@ class SuffixAutomaton:
     def table(self, width: int) -> np.ndarray:
         """Flat transitions: (next state * width) * 2, plus 1 where the phrase ended before this code.
 
-        Code 0 occurs nowhere; the last code fills up blocks and changes nothing.
+        Code 0 occurs nowhere; the last code fills up blocks and changes nothing.  A character that occurs nowhere is a
+        phrase of its own: after it the last state ends the phrase whatever follows.
         """
-        out = np.empty((len(self.next_of), width), np.int64)
-        root = np.zeros(width, np.int64)
+        alone = len(self.next_of)
+        out = np.empty((alone + 1, width), np.int64)
+        start = np.full(width, alone, np.int64)
         for c, s in self.next_of[0].items():
-            root[c] = s
-        out[:] = (root * width) * 2 + 1
+            start[c] = s
+        out[:] = start * width * 2 + 1
+        out[0] = start * width * 2
         for state, row in enumerate(self.next_of):
             for c, s in row.items():
                 out[state, c] = s * width * 2
-        out[:, width - 1] = np.arange(len(self.next_of)) * width * 2
+        out[:, width - 1] = np.arange(alone + 1) * width * 2
         return out.astype(np.int32).ravel()
 
 

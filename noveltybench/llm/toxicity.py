@@ -31,6 +31,8 @@ from noveltybench.llm.textops import LOWER, NON_SPACE, mix, slices, text_buffer,
 
 GRAM, BITS = 5, 22
 POSITIVES, UNLABELLED, ROW_CHARS, KEPT = 2_500, 5_000, 8_000, 1_000
+#: A kept feature is this many standard deviations commoner among positives, and in this share of them.
+LEAST_Z, LEAST_SHARE = 6.0, 0.01
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -132,7 +134,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float) -> Classifie
     both = (p + u) / (n + k)
     z = (p / n - u / k) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n + 1 / k))
     order = np.argsort(-z)[:KEPT]
-    kept = np.sort(order[(z[order] > 4) & (p[order] >= 4)])
+    kept = np.sort(order[(z[order] > LEAST_Z) & (p[order] >= max(4, LEAST_SHARE * n))])
     weights, offset = nn_pu(_matrix(positive, kept), _matrix(unlabelled, kept), prior)
     return Classifier(kept, weights, offset)
 
