@@ -70,3 +70,9 @@ def reconcile(counts: DataFrame, published: DataFrame) -> DataFrame:
         .otherwise("match")
     )
     return both.select(F.coalesce("file_name", "published_name").alias("name"), "file_n", "published_n", status.alias("status"))
+
+
+def schema_check(df: DataFrame, expected: list[str]) -> DataFrame:
+    """(name, status) of expected columns (ok or missing) and of unexpected ones."""
+    rows = [(c, "ok" if c in df.columns else "missing") for c in expected] + [(c, "unexpected") for c in df.columns if c not in expected]
+    return df.sparkSession.createDataFrame(rows, "name string, status string")
