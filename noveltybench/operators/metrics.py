@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noveltybench.functions.sampling import md5_draw
-from noveltybench.operators.ranks import midranks, normal_cdf, running
+from noveltybench.operators.ranks import BUCKETS, midranks, normal_cdf, running
 
 #: Two-sided 95 % points of the t distribution by degrees of freedom (fixed values).
 T_975 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262}
@@ -93,9 +93,9 @@ def mean_ci_t(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return summed.select(*keys, "n", "mean", F.when(F.col("n") > 1, point * F.col("__s") / F.sqrt("n")).alias("half_width"))
 
 
-def spearman(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation over pairs without nulls; null below three pairs."""
-    ranked = midranks(midranks(pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, x, "__rx"), keys, y, "__ry")
+def spearman(pairs: DataFrame, keys: list[str], x: str, y: str, buckets: int = BUCKETS) -> DataFrame:
+    """Rank correlation over pairs without nulls; null below three pairs.  ``buckets=1`` is for small groups."""
+    ranked = midranks(midranks(pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, x, "__rx", buckets), keys, y, "__ry", buckets)
     return ranked.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= 3, F.corr("__rx", "__ry")).alias("rho"))
 
 

@@ -15,6 +15,9 @@ BUCKETS = 64
 
 def running(levels: DataFrame, keys: list[str], value: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
     """``levels`` (distinct values within the keys) with ``<sum>_before``: the sums over smaller values of the same keys."""
+    if buckets <= 1:  # small groups: one window over each is enough
+        inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return levels.select("*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"{s}_before") for s in sums])
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = levels.groupBy(*keys).agg(F.percentile_approx(value, points, 1000).alias("__cuts"))
     dealt = levels.join(cuts, keys) if keys else levels.crossJoin(F.broadcast(cuts))
@@ -28,10 +31,10 @@ def running(levels: DataFrame, keys: list[str], value: str, sums: list[str], buc
     return summed.select(*kept, *[(F.col(f"__{s}_inside") + F.col(f"__{s}_carried")).alias(f"{s}_before") for s in sums])
 
 
-def midranks(rows: DataFrame, keys: list[str], value: str, out: str = "midrank") -> DataFrame:
+def midranks(rows: DataFrame, keys: list[str], value: str, out: str = "midrank", buckets: int = BUCKETS) -> DataFrame:
     """``rows`` with the average rank (from 1) of ``value`` within the keys."""
     levels = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running(levels, keys, value, ["__n"]).select(*keys, value, (F.col("__n_before") + (F.col("__n") + 1) / 2).alias(out))
+    ranked = running(levels, keys, value, ["__n"], buckets).select(*keys, value, (F.col("__n_before") + (F.col("__n") + 1) / 2).alias(out))
     return rows.join(ranked, [*keys, value])
 
 

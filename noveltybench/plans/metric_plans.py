@@ -345,7 +345,7 @@ RHO = f"rho AS (SELECT corr(rx, ry) AS rho FROM (SELECT {mid('a')} AS rx, {mid('
 
 def point_rho(spark, sf):
     p = result_cube(spark, sf).groupBy("cls", "detector").agg(F.round(F.avg(F.when(F.col("seed") == 0, F.col("auc"))), 9).alias("a"), F.round(F.avg(F.when(F.col("seed") > 0, F.col("auc"))), 9).alias("b"))
-    return M.spearman(p, [], "a", "b")
+    return M.spearman(p, [], "a", "b", 1)
 
 
 @query(with_sql("SELECT rho, rho >= 0.6 AS go FROM rho", CUBE, RHO))
