@@ -33,7 +33,7 @@ _LOOSE = re.compile(f"[{SPACE}](?:[{SPACE}]|\\Z)|\\A[{SPACE}]")
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 #: Pieces remembered by a worker (bounds its memory, never changes a result), and pieces encoded together.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
 TOGETHER = 2_000
 
 
