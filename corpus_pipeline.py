@@ -6,31 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from noveltybench.llm import byte_bpe, decontam, language, line_templates, near_dup
-from noveltybench.llm.storage import stored
+from noveltybench.llm.storage import small_batches, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in none of the labelled languages, go."""
+    small_batches(spark)
     return language.keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents are dropped from all but the first; emptied documents go."""
+    small_batches(spark)
     return line_templates.drop_recurring(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
+    small_batches(spark)
     return near_dup.keep_one(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
+    small_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), mode="document")
 
 
 def byte_bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of what they decode to."""
+    small_batches(spark)
     kept = docs.select("doc_id", "lang", "source", "text")
     return byte_bpe.encode(kept, public_tokenizers.path("byte_bpe_50k.json"), round_trip=True).drop("text")
 

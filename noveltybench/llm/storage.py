@@ -45,6 +45,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of at most ``rows`` texts: long texts make the default of 10,000 rows costly in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, str]) -> StructType:
     """The schema of ``df`` with more fields (name, type); ``df.schema`` itself stays as it is."""
     out = StructType(list(df.schema.fields))
