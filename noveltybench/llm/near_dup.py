@@ -7,10 +7,12 @@ minhashes instead of bands**2 * rows * 2.
 
 Texts with equal sets form one class, answered by its smallest id.  In each
 table bucket all classes are compared with the bucket's centre (the class that
-shares most buckets), small buckets are compared pair by pair, and a further
-round compares what is still apart in a bucket with a second centre.  Every link
-is confirmed on the full sets; groups are the connected components of the links.
-A bucket of any size costs a few comparisons a member and nothing is capped.
+shares most buckets) and small buckets are compared pair by pair.  In larger ones
+further members become centres, round by round, until all that have not been
+centres share one component, so no link inside a bucket is missed.  Every link is
+confirmed on the full sets; groups are the connected components of the links.
+Near copies join up after a few comparisons a member; members of a bucket that
+stay unlinked are compared with each other, and nothing is capped.
 
 A pair at similarity 0.85 shares no bucket with probability
 2 * (1 - 0.85**rows) ** bands (0.0004 for the defaults; 0.0015 at 0.8 with 10 bands).
@@ -37,6 +39,8 @@ from noveltybench.llm.textops import mix, row_shingles, splitmix
 BANDS, ROWS = 9, 3
 #: Buckets up to this size are compared pair by pair.
 SMALL = 8
+#: Parts of a larger bucket's members, each compared by a task of its own.
+SALTS = 16
 #: Shingles whose minhashes are taken at once.
 _STEP = 4_096
 
@@ -124,6 +128,46 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def settled(members: DataFrame, classes: DataFrame, texts: DataFrame, compared: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Components of ``links`` and of all links inside the large buckets, whose first centres are in ``compared``.
+
+    Each round takes untried members outside the component that holds most of a
+    bucket's untried members as further centres, four times as many a round as the
+    round before, and compares them with what is untried outside their own
+    component.  A bucket is done when its untried members share one component.
+    """
+    labels = components(links)
+    large = members.where(F.col("size") > SMALL)
+    rest = large.select("key", "rep").join(classes.select("rep", F.col("n_shingles").alias("n")), "rep").join(_centres(large).hint("merge"), "key")
+    rest = stored(rest.where("rep <> centre").select("key", "rep", "n"), "untried")
+    batch = 1
+    while True:
+        placed = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = stored(placed, "placed")
+        parts = stored(placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "parts")
+        most = F.max_by("component", F.struct("n", "component"))
+        unsettled = parts.groupBy("key").agg(most.alias("main"), (F.sum("n") - F.max("n")).alias("apart")).where("apart > 0")
+        unsettled = stored(unsettled, "unsettled")
+        if not unsettled.take(1):
+            return labels
+        chosen = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("key", "rep", F.lit(batch)), F.col("apart")) < batch)
+        placed = stored(placed.join(unsettled.hint("merge"), "key").select("key", "rep", "n", "component", chosen.alias("chosen")), "placed")
+        # Members of a bucket are dealt over SALTS tasks, which all get its centres.
+        centres = placed.where("chosen").select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c"))
+        others = placed.select("key", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt"), F.col("rep").alias("b"), F.col("n").alias("n_b"), "component")
+        pairs = centres.hint("merge").join(others, ["key", "salt"]).where("c <> component")
+        # The sizes alone bound the similarity.
+        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+        pairs = stored(_ordered(pairs).join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        compared = compared.union(pairs)
+        more = stored(confirmed(pairs, texts, shingle, percent), "links")
+        if more.take(1):
+            links = links.union(more)
+            labels = components(links)
+        rest = placed.where("not chosen").select("key", "rep", "n")
+        batch *= 4
+
+
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id) for each row."""
     signed = stored(signatures(docs, shingle, bands, rows, key, text), "signatures")
@@ -144,19 +188,9 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BA
     pairs = centred.select(F.col("rep").alias("a"), F.col("centre").alias("b")).union(
         small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b")
     )
-    links = stored(confirmed(_ordered(pairs), texts, shingle, percent), "links")
-    labels = components(links)
-
-    # What is still apart in a bucket meets the heaviest class outside the centre's component.
-    label = labels.withColumnRenamed("node", "rep")
-    large = members.where(F.col("size") > SMALL).join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    first = _centres(members.where(F.col("size") > SMALL)).join(label.select(F.col("rep").alias("centre"), F.col("component").alias("c")), "centre", "left").select("key", F.coalesce("c", "centre").alias("taken"))
-    apart = large.join(first, "key").where("component <> taken")
-    second = _centres(apart).join(label.select(F.col("rep").alias("centre"), F.col("component").alias("c")), "centre", "left").select("key", "centre", F.coalesce("c", "centre").alias("own"))
-    more = large.join(second, "key").where("component <> own").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-    more = stored(confirmed(_ordered(more), texts, shingle, percent), "links")
-    if more.take(1):
-        labels = components(links.union(more))
+    pairs = stored(_ordered(pairs), "pairs")
+    links = stored(confirmed(pairs, texts, shingle, percent), "links")
+    labels = settled(members, classes, texts, pairs, links, shingle, percent)
 
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*prints, F.coalesce("component", "rep").alias("group_id"), "copies", "rep")
     found = found.where("copies > 1 or group_id <> rep").select(*prints, "group_id")
