@@ -1,8 +1,8 @@
 """Detectors fitted on a benign reference; a higher score is more anomalous.
 
 Moments are summed by Spark and only matrices of the vectors' width reach the
-driver.  kNN and the isolation forest use bounded, reproducible samples of the
-reference (``REFERENCE_BINS`` rows, ``TREE_ROWS`` rows a tree); every row is scored.
+driver.  kNN searches the whole reference in blocks; the isolation forest uses a
+bounded, reproducible sample of it (``TREE_ROWS`` rows a tree).  Every row is scored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REFERENCE_BINS, TREE_ROWS, TREES, NEIGHBOUR = 4_096, 256, 50, 10
+TREE_ROWS, TREES, NEIGHBOUR = 256, 50, 10
+#: Reference rows and probes of a block of the kNN search, and tasks that share one reference block.
+BLOCK_ROWS, PROBE_ROWS, SALTS = 2_048, 512, 8
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -104,29 +106,61 @@ def pca_reconstruction(vectors: DataFrame, reference: DataFrame, explained: floa
     return scored(vectors, lambda x: (((x - mean) - (x - mean) @ top @ top.T) ** 2).mean(axis=1))
 
 
-def spread_rows(reference: DataFrame, key: str, bins: int, seed: int, column: str = "x") -> np.ndarray:
-    """At most ``bins`` vectors: the first by hash in each hash bin."""
+def spread(reference: DataFrame, key: str, bins: int, seed: int, column: str = "x") -> DataFrame:
+    """(bin, x) of at most ``bins`` vectors: the first by hash in each hash bin."""
     h = F.xxhash64(F.col(key), F.lit(seed))
-    rows = reference.groupBy(F.pmod(h, F.lit(bins)).alias("bin")).agg(F.min_by(column, F.struct(h, F.col(key))).alias("x")).orderBy("bin").collect()
-    return np.array([r["x"] for r in rows], dtype=np.float64)
+    return reference.groupBy(F.pmod(h, F.lit(bins)).alias("bin")).agg(F.min_by(column, F.struct(h, F.col(key))).alias("x"))
 
 
-def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR, bins: int = REFERENCE_BINS) -> DataFrame:
-    """Distance to the k-th neighbour among a bounded sample of the L2-normalised reference."""
+def spread_rows(reference: DataFrame, key: str, bins: int, seed: int, column: str = "x") -> np.ndarray:
+    """The vectors of ``spread``, by bin."""
+    return np.array([r["x"] for r in spread(reference, key, bins, seed, column).orderBy("bin").collect()], dtype=np.float64)
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    ref = vectors.sparkSession.sparkContext.broadcast(unit(spread_rows(reference, key, bins, 41)))
+def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR, bins: int | None = None) -> DataFrame:
+    """Distance to the k-th neighbour (the farthest of fewer) in the whole L2-normalised reference.
 
-    def distance(x: np.ndarray) -> np.ndarray:
-        out = np.empty(len(x))
-        for at in range(0, len(x), 256):
-            d = np.maximum(2 - 2 * unit(x[at : at + 256]) @ ref.value.T, 0)
-            out[at : at + 256] = np.sqrt(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1])
-        return out
+    Reference and probes are dealt by hash into blocks; each pair of blocks meets in
+    one row and gives every probe its k nearest of that block, merged by probe.
+    Only where ``bins`` is given the reference is a sample of so many rows at most.
+    """
 
-    return scored(vectors, distance)
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def dealt(rows: DataFrame, blocks: int, name: str) -> DataFrame:
+        return rows.withColumn(name, F.pmod(F.xxhash64("x", F.lit(41)), F.lit(blocks)))
+
+    x = F.col("x").cast("array<double>").alias("x")
+    if bins:
+        reference = spread(reference, key, bins, 41)
+    blocks = max(1, -(-reference.count() // BLOCK_ROWS))
+    # Rows of one vector are a block's rows several times over: they are counted, k of them at most matter.
+    known = reference.select(x).groupBy("x").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    known = dealt(known, blocks, "block").groupBy("block").agg(F.collect_list(F.struct("x", "n")).alias("known"))
+    probes = vectors.select(x).distinct()
+    chunks = dealt(probes, max(1, -(-vectors.count() // PROBE_ROWS)), "chunk").groupBy("chunk").agg(F.collect_list("x").alias("xs"))
+    left = chunks.select("xs", F.pmod("chunk", F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    right = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.col("block").cast("long").alias("block"), F.col("salt").cast("long").alias("salt"), F.col("known.x").alias("ys"), F.col("known.n").alias("ns"))
+    met = left.withColumn("salt", F.col("salt").cast("long")).join(right.hint("merge"), ["block", "salt"]).select("xs", "ys", "ns")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                given, ref = b.column(0)[i].values, unit(_matrix(b.column(1)[i].values))
+                ref = np.repeat(ref, np.asarray(b.column(2)[i].values), axis=0)
+                probe = unit(_matrix(given))
+                most = min(k, len(ref))
+                d = np.maximum(2 - 2 * probe @ ref.T, 0)
+                top = np.partition(d, most - 1, axis=1)[:, :most]
+                offsets = pa.array(np.arange(len(probe) + 1) * most, pa.int32())
+                yield pa.RecordBatch.from_arrays([given, pa.ListArray.from_arrays(offsets, pa.array(top.ravel()))], names=["x", "top"])
+
+    tops = met.mapInArrow(nearest, "x array<double>, top array<double>")
+    merged = tops.select("x", F.explode("top").alias("d")).groupBy("x").agg(F.sort_array(F.collect_list("d")).alias("all"))
+    answered = merged.select(F.col("x").alias("__x"), F.sqrt(F.element_at("all", F.least(F.lit(k), F.size("all")))).alias("score"))
+    rest = [c for c in vectors.columns if c != "x"]
+    return vectors.withColumn("__y", x).join(answered.hint("merge"), F.col("__y") == F.col("__x")).select(*rest, "score")
 
 
 def _tree(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:
