@@ -8,7 +8,8 @@ fixed size and the windows that remain are joined by hash.  Either way every
 hit is verified word by word.
 
 Defined cases: null or word-less texts and items have no windows and no hits;
-repeated rows are each answered; an empty benchmark hits nothing.
+repeated rows are each answered; an empty benchmark hits nothing; windows of
+items with a null id count as hits, and only the id is missing from the items.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, text: str = "text", ite
             for row, name in enumerate(batch.column(0).to_pylist()):
                 a, b = int(before[row]), int(before[row + 1])
                 size = min(n, b - a)
-                if size and name is not None:
+                if size:
                     for at, h in enumerate(ngram_hashes(words[a:b], size).view(np.int64).tolist()):
                         rows.add((name, h, size, _row_words(data, starts, ends, a + at, size)))
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
@@ -145,7 +146,7 @@ def _answers(column: pa.Array, hits_of, remove: bool) -> Iterator[tuple[int, int
                     kept.append(raw[done : int(starts[a + s] - offsets[row])])
                     done = int(ends[a + e - 1] - offsets[row])
                 rest = b"".join([*kept, raw[done:]]).decode("utf-8", "replace")
-            out.append((b - a, int(hit.sum()), sorted({name for _, _, name in mine}), rest))
+            out.append((b - a, int(hit.sum()), sorted({name for _, _, name in mine if name is not None}), rest))
         yield first, last, out
 
 
