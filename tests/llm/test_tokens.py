@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -84,13 +85,25 @@ def test_packing_is_narrow():
 
 def test_word_bpe_equals_the_library(monkeypatch):
     library, found = Tokenizer.from_file(WORD_BPE), texts()
+    rnd = random.Random(9)
+    parts = ["The", "it's", "'S", ",", ".", "!!", "...", "<|startoftext|>", "<|STARTOFTEXT|>", "<|", "|>", " ", "  ", "\n", "=\u0338", "e\u0301", "\u0130", "\u0915\u093c", "1", "word" * 9, "x" * 24, "y" * 25]
+    found += ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(3000)]
     for most in (packed_ids.CACHE_PIECES, 100):
         monkeypatch.setattr(packed_ids, "CACHE_PIECES", most)
         bpe = packed_ids.WordBpe(WORD_BPE)
         for at in range(0, len(found), 100):
             part = found[at : at + 100]
-            for text, ids in zip(part, bpe.encode([t.encode() for t in part]), strict=True):
-                assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+            for first, last, ids, many in bpe.encode(pa.array(part)):
+                for text, got in zip(part[first:last], np.split(ids, np.cumsum(many)[:-1]), strict=True):
+                    assert got.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(packed_ids.PieceTable, "hashes", staticmethod(lambda keys: np.zeros(len(keys), np.uint64)))
+    library = Tokenizer.from_file(WORD_BPE)
+    text = "one two three two one, longer-than-twenty-four-bytes one"
+    ((_, _, ids, many),) = packed_ids.WordBpe(WORD_BPE).encode(pa.array([text]))
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and many.tolist() == [len(ids)]
 
 
 def test_packed_rows(spark, odd_docs, no_docs, monkeypatch):
