@@ -24,7 +24,8 @@ def stream_cusum_alarms(spark, sf):
     return out.groupBy("entity").agg(F.count(F.lit(1)).alias("steps"), F.count_if("alarm").alias("alarms"))
 
 
-@query()
+@query("""SELECT start, entity, total, n FROM (SELECT time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01') AS start, user_id AS entity, sum(value) AS total, count(*) AS n FROM events GROUP BY ALL)
+WHERE start + INTERVAL 1 DAY <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 HOUR FROM events)""")
 def stream_windowed_sums(spark, sf):
     """Daily sums of windows that the watermark has closed."""
     return sequential.drain(sequential.windowed_sums(events_stream(spark, sf), "1 day", "1 hour"), shared_path(spark, "stream"))
