@@ -34,10 +34,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _BYTE = splitmix(256, 11)
-_BASE = int(splitmix(1, 12)[0]) | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _NGRAM = int(splitmix(1, 13)[0]) | 1
-_powers: dict[int, np.ndarray] = {}
+_places = [splitmix(SEGMENT_BYTES * 2, 14)]
 
 #: Byte tables: ASCII lower-casing and the word alphabets of the operators.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -48,21 +46,13 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the usual sizes."""
-    size = SEGMENT_BYTES * 2
-    while size < n:
-        size *= 2
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        table = np.ones(size, dtype=np.uint64)
-        done = 1
-        while done < size:
-            more = min(done, size - done)
-            table[done : done + more] = table[:more] * np.uint64(pow(base, done, 1 << 64))
-            done += more
-        if size <= SEGMENT_BYTES * 8:
-            _powers[base] = table
+def _place_factors(n: int) -> np.ndarray:
+    """A pseudo-random factor for each place in a word, ``n`` at least; kept for the usual sizes."""
+    if n <= len(_places[0]):
+        return _places[0]
+    table = splitmix(1 << (n - 1).bit_length(), 14)
+    if len(table) <= SEGMENT_BYTES * 8:
+        _places[0] = table
     return table
 
 
@@ -108,18 +98,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray) -> t
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, equal for equal bytes wherever they stand."""
+    """64-bit hash of each word, equal for equal bytes wherever they stand.
+
+    A sum of products of a byte's value and a factor of its place in the word.  Powers of one base as factors would
+    make long words of a regular build collide modulo 2**64.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
         at = starts[i]
         j = max(int(np.searchsorted(ends, at + SEGMENT_BYTES, side="right")), i + 1)
         span = int(ends[j - 1] - at)
+        s, e = starts[i:j] - at, ends[i:j] - at
+        place = np.arange(span) - np.repeat(s, np.diff(s, append=span))
         total = np.empty(span + 1, dtype=np.uint64)
         total[0] = 0
-        np.cumsum(_BYTE[data[at : at + span]] * _power_table(_BASE, span)[:span], out=total[1:])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = (total[e] - total[s]) * _power_table(_BASE_INV, span + 1)[s]
+        np.cumsum(_BYTE[data[at : at + span]] * _place_factors(int((e - s).max()))[np.minimum(place, int((e - s).max()) - 1)], out=total[1:])
+        out[i:j] = total[e] - total[s]
         i = j
     return mix(out)
 

@@ -70,3 +70,37 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in near_dup.components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_regular_long_words_differ(spark):
+    """Words whose polynomial hashes modulo 2**64 are equal in any base."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = near_dup.groups(spark.createDataFrame([(1, a), (2, b), (3, b)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 2}
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    """An id's texts are linked through the id, whichever of them is alike another document."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    rows = [(5, text["a"]), (5, text["b"]), (5, text["b"].upper()), (5, text["b"]), (6, text["b"] + " more"), (9, text["a"] + " end"), (7, text["c"])]
+    got = near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(5, 5, True)] * 4 + [(6, 5, False), (7, 7, True), (9, 5, False)]
+
+
+def test_hot_group_of_near_copies(spark):
+    """Hundreds of copies, many of them alike only the least edited ones: as all pairs say."""
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for doc in range(600):
+        words = list(base)
+        for _ in range(min(int(rnd.expovariate(0.25)), 20)):
+            words[rnd.randrange(len(words))] = f"v{rnd.randrange(300)}"
+        rows.append((doc, " ".join(words)))
+    want = brute(rows, 3, 85)
+    assert len({c for _, c in want.values()}) > 50
+    got = near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
