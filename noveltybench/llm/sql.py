@@ -74,34 +74,28 @@ WITH cut AS (
 ), masked AS (
   SELECT doc, place, len(string_split(line, ' ')) AS n, string_split(regexp_replace(line, '[0-9]+', '<*>', 'g'), ' ') AS tokens
   FROM trimmed WHERE len(string_split(line, ' ')) >= 4
-), leaves AS (
-  SELECT doc, place, n, CAST(n AS VARCHAR) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf, array_to_string(tokens, ' ') AS form, tokens, CAST(ceil(n / 16.0) AS INTEGER) AS width
-  FROM masked
+), placed AS (
+  SELECT doc, place, n, CAST(n AS VARCHAR) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf, array_to_string(tokens, ' ') AS form, tokens FROM masked
 ), forms AS (
-  SELECT leaf, form, any_value(tokens) AS tokens, any_value(n) AS len, any_value(width) AS width, count(*) AS n, min({'d': doc, 'p': place}) AS first
-  FROM leaves GROUP BY leaf, form
-), several AS (
-  SELECT leaf FROM forms GROUP BY leaf HAVING count(*) > 1
-), numbered AS (
-  SELECT leaf, form, n, first, tokens, width, CAST(ceil(len * 1.0 / width) AS INTEGER) AS fields,
-         unnest(range(0, CAST(ceil(len * 1.0 / width) AS INTEGER))) AS field
-  FROM forms SEMI JOIN several USING (leaf)
-), cells AS (
-  SELECT leaf, form, n, first, fields, field, array_to_string(tokens[field * width + 1 : field * width + width], ' ') AS value FROM numbered
-), counted AS (
-  SELECT leaf, field, value, sum(n) AS n, min(first) AS first FROM cells GROUP BY leaf, field, value
-), commonest AS (
-  SELECT leaf, field, value FROM counted
-  QUALIFY row_number() OVER (PARTITION BY leaf, field ORDER BY n DESC, first.d, first.p) = 1
+  SELECT leaf, form, any_value(tokens) AS tokens, any_value(n) AS n, min({'d': doc, 'p': place}) AS first FROM placed GROUP BY leaf, form
+), branches AS (
+  SELECT leaf, form, first, b, tokens[4 + CAST(floor((n - 3) * ((b + 0.5) / 8)) AS INTEGER)] AS t1, tokens[4 + CAST(floor((n - 3) * (((3 * b + 1) % 8 + 0.5) / 8)) AS INTEGER)] AS t2
+  FROM (SELECT *, unnest(range(0, 8)) AS b FROM forms)
+), openings AS (
+  SELECT leaf, b, t1, t2, arg_min(form, {'d': first.d, 'p': first.p}) AS template FROM branches GROUP BY ALL
+), pairs AS (
+  SELECT DISTINCT x.leaf, x.form, o.template FROM branches x JOIN openings o USING (leaf, b, t1, t2) WHERE x.form <> o.template
 ), follows AS (
-  SELECT c.leaf, c.form FROM cells c JOIN commonest m USING (leaf, field, value) GROUP BY c.leaf, c.form HAVING count(*) >= ceil(0.7 * max(c.fields))
-), placed AS (
-  SELECT l.doc, l.place, CASE WHEN f.leaf IS NULL THEN 'f' || l.form ELSE 'l' || l.leaf END AS template
-  FROM leaves l LEFT JOIN follows f ON f.leaf = l.leaf AND f.form = l.form
+  SELECT p.form, p.template FROM pairs p JOIN forms f ON f.leaf = p.leaf AND f.form = p.form JOIN forms t ON t.leaf = p.leaf AND t.form = p.template
+  WHERE len(list_filter(range(1, f.n + 1), lambda i: f.tokens[i] = t.tokens[i])) >= greatest(ceil(0.7 * f.n), 3 + ceil((f.n - 3) / 2.0))
+), templates AS (
+  SELECT form, template FROM follows UNION SELECT form, form FROM forms
+), marked AS (
+  SELECT l.doc, l.place, t.template FROM placed l JOIN templates t USING (form)
 ), recurring AS (
-  SELECT template, min(doc) AS first_doc FROM placed GROUP BY template HAVING count(DISTINCT doc) >= 3
+  SELECT template, min(doc) AS first_doc FROM marked GROUP BY template HAVING count(DISTINCT doc) >= 2
 ), dropped AS (
-  SELECT p.doc AS doc_id, list(DISTINCT p.place) AS places FROM placed p JOIN recurring r USING (template) WHERE p.doc > r.first_doc GROUP BY p.doc
+  SELECT p.doc AS doc_id, list(DISTINCT p.place) AS places FROM marked p JOIN recurring r USING (template) WHERE p.doc > r.first_doc GROUP BY p.doc
 ), kept AS (
   SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(len(x.places), 0) AS n_dropped,
     coalesce(CASE WHEN x.places IS NULL THEN d.text

@@ -50,6 +50,15 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores before it as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, str]) -> StructType:
     """The schema of ``df`` with more fields (name, type); ``df.schema`` itself stays as it is."""
     out = StructType(list(df.schema.fields))
