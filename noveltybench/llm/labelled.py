@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Candidates drawn for each row wanted, so that what is put in order doesn't grow with the table.
+SPARE = 2
+
 
 def fold(key: str, mod: int = 5):
     """crc32 of the key as text, modulo ``mod``."""
     return F.crc32(F.col(key).cast("string")) % mod
 
 
-def spread_ids(rows: DataFrame, key: str, by: str | None, bins: int, seed: int) -> list[tuple]:
-    """At most ``bins`` (label, key) pairs for each value of ``by``: the first key by hash in each hash bin.
+def spread_ids(rows: DataFrame, key: str, by: str | None, most: int, seed: int) -> list[tuple]:
+    """(label, key) of the ``most`` rows of smallest hash for each value of ``by``, all where there are no more.
 
-    One pass with partial aggregation; the driver gets at most bins * values rows.
+    Rows are counted first; then those of the smallest hashes, about SPARE * most of them, are put in order.  Should
+    repeated keys leave too few, all are.  A repeated key counts each time.
     """
-    hashed = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    label = F.col(by) if by else F.lit(0)
-    first = rows.where(F.col(key).isNotNull()).groupBy(label.alias("label"), F.pmod(hashed, F.lit(bins)).alias("bin")).agg(F.min(F.struct(hashed.alias("hash"), F.col(key).alias("key"))).alias("row"))
-    return sorted((r["label"], r["row"]["key"]) for r in first.collect() if r["label"] is not None)
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), 1)
+    named = rows.where(F.col(key).isNotNull()).select((F.col(by) if by else F.lit(0)).alias("label"), F.col(key).alias("key"), hashed.alias("hash")).where("label is not null")
+    sizes = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def smallest(spare: int | None) -> list[tuple]:
+        limit = F.lit(2**63 - 1)
+        for label, n in sizes.items():
+            if spare and n > spare * most:
+                limit = F.when(F.col("label") == label, F.lit(int(2**63 * (spare * most / n)))).otherwise(limit)
+        place = F.row_number().over(Window.partitionBy("label").orderBy("hash", "key"))
+        return [(r["label"], r["key"]) for r in named.where(F.col("hash") <= limit).withColumn("place", place).where(F.col("place") <= most).collect()]
+
+    found = smallest(SPARE)
+    enough = all(sum(x == label for x, _ in found) >= min(most, n) for label, n in sizes.items())
+    return sorted(found if enough else smallest(None))

@@ -6,7 +6,7 @@ loss on feature differences; the ranking score is then put on 0..1 by a logistic
 curve that knows the share of good labels.  `above_quantile` thresholds by a
 quantile of the scores.
 
-Fitting uses at most BINS labelled texts of either label and PAIRS pairs.
+Fitting uses at most ROWS labelled texts of either label (those of smallest hash) and PAIRS pairs.
 
 Defined cases: a null or empty text has the vector of no bytes and a score like
 any other; with only one label present every score is that label's share.
@@ -25,7 +25,7 @@ from noveltybench.llm.labelled import fold, spread_ids
 from noveltybench.llm.storage import with_fields
 from noveltybench.llm.textops import LOWER, NON_SPACE, slices, text_buffer, word_hashes, word_spans
 
-BINS, PAIRS, RIDGE = 1_500, 30_000, 1e-3
+ROWS, PAIRS, RIDGE = 1_500, 30_000, 1e-3
 N_FEATURES = 96 + 2 + 8
 
 
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fitted on the given labels only; the caller leaves out what must stay unseen."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     share = known.agg(F.avg((F.col(label) > 0).cast("double"))).first()[0]
-    chosen = {k: bool(good) for good, k in spread_ids(known.select(key, (F.col(label) > 0).alias("good")), key, "good", BINS, 29)}
+    chosen = {k: bool(good) for good, k in spread_ids(known.select(key, (F.col(label) > 0).alias("good")), key, "good", ROWS, 29)}
     rows = features(docs.where(F.col(key).isin(list(chosen))), key, text).collect() if chosen else []
     x = np.array([r["style"] for r in rows]).reshape(-1, N_FEATURES)
     good = np.array([chosen[r["key"]] for r in rows], bool)

@@ -9,11 +9,12 @@ so that the estimated risk of the clean class can't turn negative.  Features
 are the presence of hashed words and of hashed runs of GRAM bytes, kept where
 they are commoner among positives than chance allows.
 
-Fitting uses at most POSITIVES + UNLABELLED texts of at most ROW_CHARS
-characters and KEPT features; scoring reads whole texts of any length.
+Fitting uses at most POSITIVES + UNLABELLED rows (those of smallest hash), whole
+texts of any length, and KEPT features.  Features are counted in Spark; the
+driver gets the kept ones and which rows have them.
 
 Defined cases: a null or empty text has no features; without a positive every
-score is 0.
+score is 0 (to 17 digits); of rows that share an id all texts count.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noveltybench.llm.labelled import fold, spread_ids
-from noveltybench.llm.storage import with_fields
+from noveltybench.llm.storage import unused, with_fields
 from noveltybench.llm.textops import LOWER, NON_SPACE, mix, slices, text_buffer, word_hashes, word_spans
 
 GRAM, BITS = 5, 22
-POSITIVES, UNLABELLED, ROW_CHARS, KEPT = 2_500, 5_000, 8_000, 1_000
-#: A kept feature is this many standard deviations commoner among positives, and in this share of them.
-LEAST_Z, LEAST_SHARE = 6.0, 0.01
+POSITIVES, UNLABELLED, KEPT = 2_500, 10_000, 2_000
+#: A kept feature is this many standard deviations commoner among positives, and in this share and number of them.
+LEAST_Z, LEAST_SHARE, LEAST_ROWS = 3.5, 0.01, 4
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -109,34 +110,48 @@ class Classifier:
             yield first, last, 1 / (1 + np.exp(-np.clip(f, -40, 40)))
 
 
-def _matrix(texts: list[str], kept: np.ndarray) -> np.ndarray:
-    wanted = np.zeros(1 << BITS, bool)
-    wanted[kept] = True
-    out = np.zeros((len(texts), len(kept)), np.float32)
-    for first, _, rows, found in presence(pa.array(texts, pa.string()), wanted):
-        out[rows + first, np.searchsorted(kept, found)] = 1
-    return out
-
-
-def _frequencies(texts: list[str]) -> np.ndarray:
-    total = np.zeros(1 << BITS)
-    for _, _, _, found in presence(pa.array(texts, pa.string())):
-        total += np.bincount(found, minlength=1 << BITS)
-    return total
-
-
-def train(positive: list[str], unlabelled: list[str], prior: float) -> Classifier:
-    """Feature choice (by how much commoner a feature is among positives), then `nn_pu`."""
-    if not positive or not unlabelled or prior <= 0:
-        return Classifier(np.zeros(0, np.int64), np.zeros(0), -40.0)
-    p, u = _frequencies(positive), _frequencies(unlabelled)
-    n, k = len(positive), len(unlabelled)
-    both = (p + u) / (n + k)
-    z = (p / n - u / k) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n + 1 / k))
-    order = np.argsort(-z)[:KEPT]
-    kept = np.sort(order[(z[order] > LEAST_Z) & (p[order] >= max(4, LEAST_SHARE * n))])
-    weights, offset = nn_pu(_matrix(positive, kept), _matrix(unlabelled, kept), prior)
-    return Classifier(kept, weights, offset)
+def _counted(rows: DataFrame, key: str, p: frozenset, u: frozenset) -> DataFrame:
+    """(feature, p, u): in how many positives and unlabelled rows a feature is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            of = np.array([[k in p for k in keys], [k in u for k in keys]])
+            for first, _, places, found in presence(batch.column(1)):
+                for side in (0, 1):
+                    counts[side] += np.bincount(found[of[side, first + places]], minlength=1 << BITS).astype(np.int32)
+        seen = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[0, seen]), pa.array(counts[1, seen])], names=["feature", "p", "u"])
+
+    return rows.mapInArrow(run, "feature int, p int, u int").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+
+
+def _telling(counted: DataFrame, n: int, k: int) -> np.ndarray:
+    """The KEPT features that are most clearly commoner among the n positives than among the k unlabelled rows."""
+    both = (F.col("p") + F.col("u")) / (n + k)
+    z = (F.col("p") / n - F.col("u") / k) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / n + 1 / k))
+    good = counted.where(F.col("p") >= max(LEAST_ROWS, LEAST_SHARE * n)).withColumn("z", z).where(F.col("z") > LEAST_Z)
+    return np.sort(np.array([r["feature"] for r in good.orderBy(F.desc("z"), "feature").limit(KEPT).collect()], np.int64))
+
+
+def _matrix(rows: DataFrame, key: str, kept: np.ndarray) -> tuple[list, np.ndarray]:
+    """Keys of the rows, in order, and which kept features each has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(1 << BITS, bool)
+        wanted[kept] = True
+        for batch in batches:
+            for first, last, places, found in presence(batch.column(1), wanted):
+                ends = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=last - first))]).astype(np.int32)
+                has = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.searchsorted(kept, found).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), has], names=["key", "has"])
+
+    found = sorted((r["key"], r["has"]) for r in rows.mapInArrow(run, f"key {rows.schema[key].dataType.simpleString()}, has array<int>").collect())
+    out = np.zeros((len(found), len(kept)), np.float32)
+    for row, (_, has) in enumerate(found):
+        out[row, has] = 1
+    return [k for k, _ in found], out
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None) -> Classifier:
@@ -147,15 +162,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     if prior is None:
         prior = known.agg(F.avg((F.col(label) > 0).cast("double"))).first()[0] or 0.0
-    texts = docs.where(F.length(text) <= ROW_CHARS)
-    ids_p = [k for _, k in spread_ids(known.where(F.col(label) > 0), key, None, POSITIVES, 31)]
-    ids_u = [k for _, k in spread_ids(docs.where(F.col(text).isNotNull()), key, None, UNLABELLED, 37)]
-    if not ids_p:
-        return train([], [], 0.0)
-    chosen = texts.where(F.col(key).isin(sorted({*ids_p, *ids_u}))).select(key, text).collect()
-    p, u = set(ids_p), set(ids_u)
-    rows = sorted((k, t) for k, t in chosen)
-    return train([t for k, t in rows if k in p], [t for k, t in rows if k in u], prior)
+    p = frozenset(k for _, k in spread_ids(known.where(F.col(label) > 0), key, None, POSITIVES, 31))
+    u = frozenset(k for _, k in spread_ids(docs.where(F.col(text).isNotNull()), key, None, UNLABELLED, 37))
+    nothing = Classifier(np.zeros(0, np.int64), np.zeros(0), -40.0)
+    if not p or not u or prior <= 0:
+        return nothing
+    rows = docs.where(F.col(key).isin(sorted(p | u))).select(key, F.col(text).cast("string").alias(text))
+    n, k = rows.agg(F.count_if(F.col(key).isin(sorted(p))), F.count_if(F.col(key).isin(sorted(u)))).first()
+    if not n or not k:
+        return nothing
+    kept = _telling(_counted(rows, key, p, u), n, k)
+    keys, x = _matrix(rows, key, kept)
+    weights, offset = nn_pu(x[[i in p for i in keys]], x[[i in u for i in keys]], prior)
+    return Classifier(kept, weights, offset)
 
 
 def score(df: DataFrame, model: Classifier, text: str = "text", out: str = "score") -> DataFrame:
@@ -173,7 +192,8 @@ def score(df: DataFrame, model: Classifier, text: str = "text", out: str = "scor
 
 
 def remove_toxic(docs: DataFrame, model: Classifier, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    return score(docs, model, text, "__score").where(F.col("__score") < threshold).drop("__score")
+    name = unused("score", docs.columns)
+    return score(docs, model, text, name).where(F.col(name) < threshold).drop(name)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
