@@ -5,17 +5,22 @@ from left to right into the longest phrases that occur in a language's sample;
 phrases * log2(sample length) / characters estimates the cross entropy in bits
 a character, and the language needing fewest normalised phrases wins.
 
-Texts are lower-cased and each run of non-letters counts as one space.  Texts
-are parsed in blocks of BLOCK characters, all blocks of a slice in step, so a
-phrase ends at a block's end; that costs every language the same.
+Texts are lower-cased and each run of non-letters counts as one space.  Whole
+texts are parsed: those of a group in step, longest first, as long as many last;
+the rest of the longest ones character by character.
 
-Fitting uses a bounded sample: for each language at most BINS labelled rows
-(the first by hash in each hash bin, rows with LEAST..ROW_CHARS characters
-preferred), ROW_CHARS characters of each, SAMPLE_CHARS characters in all.
+Fitting uses a bounded sample: for each language at most ROWS labelled rows
+(those of smallest hash, rows with LEAST..ROW_CHARS characters first), ROW_CHARS
+characters of each, SAMPLE_CHARS characters in all.
+
+``keep_identified`` rejects on evidence only: a text goes if it has no letters,
+or if it needs REJECT_RATIO times as many phrases as one half of the language's
+own sample needs over the other half, by more than chance allows at its length.
+So short texts and languages of large alphabets stay.
 
 Defined cases: a null text or one without letters is ``und`` with score 0;
 without any labelled row every text is ``und``; ties go to the first language
-by name.
+by name; rows are answered one by one, repeated rows alike.
 """
 
 from __future__ import annotations
@@ -28,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noveltybench.llm.storage import with_fields
+from noveltybench.llm.labelled import spread_ids
+from noveltybench.llm.storage import unused, with_fields
 
-BINS = 48
+ROWS = 48
 LEAST, ROW_CHARS, SAMPLE_CHARS = 300, 1_500, 24_000
-BLOCK = 256
-#: Bits a character above which a text is like none of the languages.
-REJECT_BITS = 6.0
+#: Characters parsed together, and texts below which they are parsed one by one.
+GROUP_CHARS, LANES = 1 << 23, 128
+#: Cells of a language's transition table up to which it is flat (16 MB); larger ones are searched, with equal answers.
+FLAT_CELLS = 1 << 22
+#: Times the phrases of the language's own texts that make a text one of another language.
+REJECT_RATIO = 3.0
 
 
 class SuffixAutomaton:
@@ -68,24 +77,61 @@ class SuffixAutomaton:
                     link[q] = link[here] = copy
             last = here
 
-    def table(self, width: int) -> np.ndarray:
-        """Flat transitions: (next state * width) * 2, plus 1 where the phrase ended before this code.
 
-        Code 0 occurs nowhere; the last code fills up blocks and changes nothing.  A character that occurs nowhere is a
-        phrase of its own: after it the last state ends the phrase whatever follows.
-        """
-        alone = len(self.next_of)
-        out = np.empty((alone + 1, width), np.int64)
-        start = np.full(width, alone, np.int64)
+class Parser:
+    """Counts the phrases of texts of codes: 0 stands for all that occurs nowhere in the automaton's text."""
+
+    def __init__(self, automaton: SuffixAutomaton, width: int):
+        self.next_of, self.width, self.alone = automaton.next_of, width, len(automaton.next_of)
+        # A character that occurs nowhere is a phrase of its own: whatever follows ends it.
+        self.first = np.full(width, self.alone, np.int64)
         for c, s in self.next_of[0].items():
-            start[c] = s
-        out[:] = start * width * 2 + 1
-        out[0] = start * width * 2
-        for state, row in enumerate(self.next_of):
-            for c, s in row.items():
-                out[state, c] = s * width * 2
-        out[:, width - 1] = np.arange(alone + 1) * width * 2
-        return out.astype(np.int32).ravel()
+            self.first[c] = s
+        self.flat = None
+        if (self.alone + 1) * width <= FLAT_CELLS:
+            self.flat = np.tile((self.first * 2 + 1).astype(np.int32), self.alone + 1)  # next state * 2, + 1 where a phrase ended
+            self.flat[:width] -= 1
+        edges = np.array([(state * width + c, s) for state, row in enumerate(self.next_of) for c, s in row.items()], np.int64).reshape(-1, 2)
+        if self.flat is not None:
+            self.flat[edges[:, 0]] = edges[:, 1] * 2
+        else:
+            order = np.argsort(edges[:, 0])
+            self.keys, self.targets = np.append(edges[order, 0], -1), np.append(edges[order, 1], 0)
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase ended before each code)."""
+        if self.flat is not None:
+            moved = self.flat[state * self.width + codes]
+            return moved >> 1, moved & 1
+        keys = state * self.width + codes
+        at = np.searchsorted(self.keys[:-1], keys)
+        hit = self.keys[at] == keys
+        return np.where(hit, self.targets[at], self.first[codes]), ~hit & (state != 0)
+
+    def phrases(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Phrases of each text; a text without characters has none."""
+        lengths = np.diff(offsets)
+        order = np.argsort(-lengths, kind="stable")
+        long, starts = lengths[order], offsets[:-1][order]
+        together = int(long[LANES - 1]) if len(long) >= LANES else min(1, int(long.max(initial=0)))
+        active = len(long) - np.searchsorted(long[::-1], np.arange(together), side="right")
+        state, count = np.zeros(len(long), np.int64), (long > 0).astype(np.int64)
+        for t, m in enumerate(active.tolist()):
+            state[:m], ended = self.step(state[:m], codes[starts[:m] + t])
+            count[:m] += ended
+        nexts, root, nowhere = self.next_of, self.next_of[0], {}
+        for k in range(int((long > together).sum())):
+            row, more = nexts[state[k]] if state[k] < self.alone else nowhere, 0
+            for c in codes[starts[k] + together : starts[k] + long[k]].tolist():
+                s = row.get(c)
+                if s is None:
+                    more += 1
+                    s = root.get(c)
+                row = nowhere if s is None else nexts[s]
+            count[k] += more
+        out = np.empty(len(long), np.int64)
+        out[order] = count
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -108,59 +154,89 @@ def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Automata of the samples; made once in a worker."""
+    """Parsers of the samples; made once in a worker."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.languages = [name for name, _ in samples]
-        parts = [normalise(text.split("\0")) for _, text in samples]
-        alphabet = np.unique(np.concatenate([p for p, _ in parts])) if parts else np.zeros(0, np.uint32)
-        self.width = len(alphabet) + 2
+        self.samples = [normalise(text.split("\0")) for _, text in samples]
+        self.alphabet = np.unique(np.concatenate([p for p, _ in self.samples])) if samples else np.zeros(0, np.uint32)
         self.code_of = np.zeros(0x110000, np.int32)
-        self.code_of[alphabet] = np.arange(1, len(alphabet) + 1)
-        self.tables, self.weights = [], []
-        for points, offsets in parts:
-            codes: list[int] = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                codes += self.code_of[points[a:b]].tolist()
-                codes.append(-1 - a)  # a mark of its own, so that no phrase runs across two rows
-            automaton = SuffixAutomaton(codes[:-1])
-            for row in automaton.next_of:
-                for c in [c for c in row if c < 0]:
-                    del row[c]
-            self.tables.append(automaton.table(self.width))
-            self.weights.append(np.log2(max(len(codes), 2)))
+        self.code_of[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
+        self.parsers, self.weights = [], []
+        for points, offsets in self.samples:
+            parser, weight = self._parser(points, offsets)
+            self.parsers.append(parser)
+            self.weights.append(weight)
+        self._rates: list[float] | None = None
+
+    def _parser(self, points: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, Parser], float]:
+        """(own code of each shared code, parser), bits of a phrase."""
+        own = np.zeros(len(self.alphabet) + 1, np.int32)
+        letters = np.unique(self.code_of[points])
+        own[letters] = np.arange(1, len(letters) + 1)
+        codes: list[int] = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            codes += own[self.code_of[points[a:b]]].tolist()
+            codes.append(-1 - a)  # a mark of its own, so that no phrase runs across two rows
+        automaton = SuffixAutomaton(codes[:-1])
+        for row in automaton.next_of:
+            for c in [c for c in row if c < 0]:
+                del row[c]
+        return (own, Parser(automaton, len(letters) + 1)), float(np.log2(max(len(codes), 2)))
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases by text and language, letters and spaces of each text)."""
+        codes, lengths, at = [], [], 0
+        while at < len(texts):  # normalised by a megabyte or one text at a time
+            end, size = at, 0
+            while end < len(texts) and (size < 1 << 20 or end == at):
+                size += len(texts[end])
+                end += 1
+            points, offsets = normalise(texts[at:end])
+            codes.append(self.code_of[points])
+            lengths.append(np.diff(offsets))
+            at = end
+        shared = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        sizes = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        for k, (own, parser) in enumerate(self.parsers):
+            out[:, k] = parser.phrases(own[shared], offsets)
+        return out, sizes
 
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bits a character by text and language, letters and spaces of each text)."""
-        points, offsets = normalise(texts)
-        lengths = np.diff(offsets)
-        blocks = -(-lengths // BLOCK)
-        first = np.concatenate([[0], np.cumsum(blocks)])
-        filled = np.full(int(first[-1]) * BLOCK, self.width - 1, np.int32)
-        place = np.arange(len(points)) + np.repeat(first[:-1] * BLOCK - offsets[:-1], lengths)
-        filled[place] = self.code_of[points]
-        steps = np.ascontiguousarray(filled.reshape(-1, BLOCK).T)
-        out = np.zeros((len(texts), len(self.languages)))
-        for k, (table, weight) in enumerate(zip(self.tables, self.weights, strict=True)):
-            state = np.zeros(steps.shape[1], np.int32)
-            phrases = np.ones(steps.shape[1], np.int32)
-            for codes in steps:
-                moved = table[state + codes]
-                phrases += moved & 1
-                state = moved >> 1
-            total = np.concatenate([[0], np.cumsum(phrases)])
-            out[:, k] = (total[first[1:]] - total[first[:-1]]) * weight / np.maximum(lengths, 1)
-        return out, lengths
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """(language, score, bits a character) of each text."""
-        bits, lengths = self.bits([t or "" for t in texts])
+        phrases, lengths = self.phrases(texts)
+        return phrases * np.array(self.weights) / np.maximum(lengths, 1)[:, None], lengths
+
+    def rates(self) -> np.ndarray:
+        """Phrases a character that one half of each sample needs over the other half."""
+        if self._rates is None:
+            self._rates = []
+            for points, offsets in self.samples:
+                half = int(np.searchsorted(offsets, offsets[-1] / 2)) if len(offsets) > 2 else 0
+                middle = int(offsets[half]) if half else len(points) // 2
+                known, rest = points[:middle], points[middle:]
+                (own, parser), _ = self._parser(known, np.array([0, len(known)]))
+                count = parser.phrases(own[self.code_of[rest]], np.array([0, len(rest)]))
+                self._rates.append(float(count[0]) / max(len(rest), 1))
+        return np.array(self._rates)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
+        """(language, score, bits a character, whether the text is like that language) of each text."""
         if not self.languages:
-            return [("und", 0.0, float("inf"))] * len(texts)
+            return [("und", 0.0, float("inf"), False)] * len(texts)
+        phrases, lengths = self.phrases([t or "" for t in texts])
+        bits = phrases * np.array(self.weights) / np.maximum(lengths, 1)[:, None]
         best = bits.argmin(axis=1)
         sharp = np.minimum(lengths, 200)[:, None] / 10
         score = 1 / np.exp(-(bits - bits.min(axis=1, keepdims=True)) * sharp).sum(axis=1)
-        return [(self.languages[b], float(s), float(row[b])) if n and t else ("und", 0.0, float("inf")) for b, s, row, n, t in zip(best.tolist(), score.tolist(), bits, lengths.tolist(), texts, strict=True)]
+        usual = self.rates()[best] * lengths
+        alike = phrases[np.arange(len(texts)), best] <= REJECT_RATIO * usual + 4 * np.sqrt(usual) + 2
+        return [
+            (self.languages[b], float(s), float(row[b]), bool(a)) if n and t else ("und", 0.0, float("inf"), False)
+            for b, s, row, a, n, t in zip(best.tolist(), score.tolist(), bits, alike.tolist(), lengths.tolist(), texts, strict=True)
+        ]
 
 
 @lru_cache(maxsize=2)
@@ -170,16 +246,17 @@ def load(samples: tuple[tuple[str, str], ...]) -> Model:
 
 def sample(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
     """The bounded training sample, (language, texts joined by NUL) by language name, of rows that may be learned from."""
-    hashed = F.xxhash64(F.col(key).cast("string"), F.lit(7))
-    good = F.length(text).between(LEAST, ROW_CHARS)
     usable = rows.where(F.col(lang).isNotNull() & (F.col(lang) != "und") & F.col(text).isNotNull() & F.col(key).isNotNull())
-    first = usable.groupBy(F.col(lang).cast("string").alias("lang"), F.pmod(hashed, F.lit(BINS)).alias("bin")).agg(
-        F.min(F.struct((~good).alias("other"), hashed.alias("hash"), F.col(key).alias("key"))).alias("row")
-    )
-    chosen = {(r["lang"], r["row"]["key"]): r["row"]["hash"] for r in first.collect()}  # BINS rows a language
+    other = (~F.length(text).between(LEAST, ROW_CHARS)).cast("string")
+    named = usable.select(F.concat_ws("\0", F.col(lang).cast("string"), other).alias("by"), F.col(key).alias("key"))
+    chosen = {}
+    for place, (by, k) in enumerate(sorted(spread_ids(named, "key", "by", ROWS, 7), key=lambda r: (r[0].endswith("\0true"), r))):
+        name = by.rpartition("\0")[0]
+        if sum(n == name for n, _ in chosen) < ROWS:
+            chosen.setdefault((name, k), place)
     if not chosen:
         return ()
-    texts = usable.where(F.col(key).isin([k for _, k in chosen])).select(F.col(lang).cast("string"), key, F.substring(text, 1, ROW_CHARS)).collect()
+    texts = usable.where(F.col(key).isin(sorted({k for _, k in chosen}))).select(F.col(lang).cast("string"), key, F.substring(text, 1, ROW_CHARS)).collect()
     by_lang: dict[str, dict] = {}
     for name, k, t in texts:
         if (name, k) in chosen:
@@ -187,7 +264,7 @@ def sample(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     out = []
     for name, found in sorted(by_lang.items()):
         kept, size = [], 0
-        for _, t in sorted(found.items()):
+        for _, t in sorted(found.items()):  # in the order of choice
             if size < SAMPLE_CHARS:
                 kept.append(t.replace("\0", " "))
                 size += len(t)
@@ -196,8 +273,8 @@ def sample(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and bits_per_char; columns of these names are replaced."""
-    added = ["lang_pred", "score", "bits_per_char"]
+    """``docs`` with lang_pred, score (0 to 1), bits_per_char and identified; columns of these names are replaced."""
+    added = ["lang_pred", "score", "bits_per_char", "identified"]
     kept = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
@@ -209,19 +286,16 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
             while at < batch.num_rows:
                 size, end = 0, at
                 texts: list[str | None] = []
-                while end < batch.num_rows and size < 1 << 20:
+                while end < batch.num_rows and size < GROUP_CHARS:
                     texts.append(column[end].as_py())
                     size += len(texts[-1] or "")
                     end += 1
                 got = model.predict(texts)
                 part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), pa.array([g[2] for g in got])],
-                    names=[*part.schema.names, *added],
-                )
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([g[i] for g in got]) for i in range(4)]], names=[*part.schema.names, *added])
                 at = end
 
-    return kept.mapInArrow(run, with_fields(kept, ("lang_pred", "string"), ("score", "double"), ("bits_per_char", "double")))
+    return kept.mapInArrow(run, with_fields(kept, ("lang_pred", "string"), ("score", "double"), ("bits_per_char", "double"), ("identified", "boolean")))
 
 
 def held_out(key: str = "doc_id", mod: int = 4, rest: int = 2):
@@ -235,7 +309,12 @@ def digest(docs: DataFrame) -> DataFrame:
     return identify(rows, samples).select("doc_id", "held_out", "lang_pred", "score", "bits_per_char")
 
 
-def keep_identified(docs: DataFrame, reject_bits: float = REJECT_BITS) -> DataFrame:
-    """Documents whose text is in one of the labelled languages: ``und`` and texts above ``reject_bits`` go."""
-    found = identify(docs, sample(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("bits_per_char") <= reject_bits)).select(*docs.columns)
+def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Documents whose text is in one of the labelled languages, with that language in ``lang``; all others go.
+
+    Other columns pass through whatever their names.
+    """
+    texts, row = unused("text", docs.columns), unused("row", docs.columns)
+    whole = docs.select(F.struct("*").alias(row), F.col(text).cast("string").alias(texts))
+    found = identify(whole, sample(docs, text=text, lang=lang), texts).where("identified")
+    return found.select(*[(F.col("lang_pred").cast(docs.schema[c].dataType) if c == lang else F.col(row)[c]).alias(c) for c in docs.columns])

@@ -11,11 +11,13 @@ from pyspark.sql.types import DataType, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where it is unset and Spark runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="noveltybench-")
         spark.sparkContext.setCheckpointDir(found)
@@ -45,11 +47,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Arrow batches of at most ``rows`` texts: long texts make the default of 10,000 rows costly in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def unused(name: str, columns: list[str]) -> str:
     """``name`` with as many underscores before it as it takes to differ from all columns."""
     taken = {c.lower() for c in columns}
