@@ -6,36 +6,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from noveltybench.llm import byte_bpe, decontam, language, line_templates, near_dup
-from noveltybench.llm.storage import small_batches, stored
+from noveltybench.llm.storage import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in none of the labelled languages, go."""
-    small_batches(spark)
+    """Documents without letters, or in none of the labelled languages, go; ``lang`` becomes the language found.
+
+    A null text goes; without labelled rows all documents go; repeated rows are answered alike.
+    """
     return language.keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents are dropped from all but the first; emptied documents go."""
-    small_batches(spark)
+    """Lines of templates that recur across documents are dropped from all but the first; emptied documents go.
+
+    Null and empty texts stay as they are, and so do documents with a null id.
+    """
     return line_templates.drop_recurring(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
-    small_batches(spark)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: that of the smallest id.
+
+    Null and word-less texts and null ids are in no group and stay; rows that repeat a kept id stay with it.
+    """
     return near_dup.keep_one(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
-    small_batches(spark)
+    """Documents that hold a benchmark window go.
+
+    Null and word-less texts stay; an empty benchmark removes nothing.
+    """
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), mode="document")
 
 
 def byte_bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the digest of what they decode to."""
-    small_batches(spark)
+    """Token ids of each text, and the digest of what they decode to; a null text has no ids."""
     kept = docs.select("doc_id", "lang", "source", "text")
     return byte_bpe.encode(kept, public_tokenizers.path("byte_bpe_50k.json"), round_trip=True).drop("text")
 
