@@ -4,9 +4,13 @@ The longest common prefix of turns is rendered once as prompt; what is left of
 either conversation becomes a completion with the spans to learn from (the
 assistant's words and their end mark; all else is masked).
 
+Spans count characters of the completion strings.
+
 Defined cases: a null role or text counts as empty; equal conversations have
 empty completions; a missing side (null array) is an empty conversation; turns
-with equal numbers stand in the order of role and text.
+with equal numbers stand in the order of role and text; rows without a key belong
+to no conversation and are left out; columns that aren't results pass through
+whatever their names.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noveltybench.llm.storage import unused
+
 END = "<|end|>\n"
 
 
@@ -57,46 +63,54 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     added = ["n_prompt_turns", "prompt", "chosen_spans", "rejected_spans"]
     kept = pairs.drop(*added)
     empty = F.array().cast(kept.schema[chosen].dataType)
-    turns = kept.withColumn("__c", F.coalesce(chosen, empty)).withColumn("__r", F.coalesce(rejected, empty)).withColumn("n_prompt_turns", common_turns(F.col("__c"), F.col("__r")))
+    c, r, prompt = (unused(name, kept.columns) for name in ("c", "r", "prompt"))
+    turns = kept.withColumn(c, F.coalesce(chosen, empty)).withColumn(r, F.coalesce(rejected, empty)).withColumn("n_prompt_turns", common_turns(F.col(c), F.col(r)))
 
     def after(name: str) -> Column:
         return F.slice(F.col(name), F.col("n_prompt_turns") + 1, F.size(name))
 
-    rest = turns.withColumn("__prompt", F.slice("__c", F.lit(1), F.col("n_prompt_turns"))).withColumn("__c", after("__c")).withColumn("__r", after("__r"))
-    others = [c for c in kept.columns if c not in (chosen, rejected)]
+    rest = turns.withColumn(prompt, F.slice(c, F.lit(1), F.col("n_prompt_turns"))).withColumn(c, after(c)).withColumn(r, after(r))
+    others = [name for name in kept.columns if name not in (chosen, rejected)]
     return rest.select(
         *others,
         F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"),
-        render(F.col("__prompt")).alias("prompt"),
-        render(F.col("__c")).alias(chosen),
-        render(F.col("__r")).alias(rejected),
-        learned_spans(F.col("__c")).alias("chosen_spans"),
-        learned_spans(F.col("__r")).alias("rejected_spans"),
+        render(F.col(prompt)).alias("prompt"),
+        render(F.col(c)).alias(chosen),
+        render(F.col(r)).alias(rejected),
+        learned_spans(F.col(c)).alias("chosen_spans"),
+        learned_spans(F.col(r)).alias("rejected_spans"),
     )
 
 
-def conversations(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key and turns (array of struct<turn, role, text> in order) of each conversation; rows without a key go."""
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-
-
 def partner_pairs(rows: DataFrame) -> DataFrame:
-    """conv_id, chosen, rejected: each conversation up to its last reply, against the same with its partner's last reply.
+    """conv_id, chosen, rejected: each conversation, against the same with its partner's last reply in place of its own.
 
-    Partners are conv_id 2k and 2k + 1.  Without a partner that has a reply the rejected side lacks the reply.
+    Partners are conv_id 2k and 2k + 1, so both are gathered at once.  All turns are kept, those after the last reply
+    on both sides.  Without a partner that has a reply the rejected side lacks the reply; without a reply of its own a
+    conversation stands on both sides.
     """
-    both = conversations(rows).withColumn("__place", F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1).otherwise(0))))
-    asked = F.slice("turns", F.lit(1), F.greatest(F.col("__place") - 1, F.lit(0)))
-    bare = F.transform(asked, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    reply = F.when(F.col("__place") > 0, F.struct(F.lit("assistant").alias("role"), F.element_at("turns", F.greatest("__place", F.lit(1)))["text"].alias("text")))
-    parts = both.select("conv_id", bare.alias("asked"), reply.alias("reply"))
-    partner = parts.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("reply").alias("other"))
-    joined = parts.join(partner, "conv_id", "left")
-
-    def closed(last: str) -> Column:
-        return F.when(F.col("reply").isNotNull() & F.col(last).isNotNull(), F.concat("asked", F.array(F.col(last)))).otherwise(F.col("asked"))
-
-    return joined.select("conv_id", closed("reply").alias("chosen"), closed("other").alias("rejected"))
+    turn = F.struct("conv_id", "turn", "role", "text")
+    both = rows.where(F.col("conv_id").isNotNull()).groupBy(F.shiftright("conv_id", 1).alias("pair")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+
+    def of(bit: int) -> Column:
+        return F.filter("turns", lambda t: t["conv_id"].bitwiseAND(1) == bit)
+
+    sides = F.array(*[F.struct(F.lit(bit).cast("long").alias("bit"), of(bit).alias("own"), of(1 - bit).alias("other")) for bit in (0, 1)])
+    each = both.select("pair", F.explode(sides).alias("side")).where(F.size("side.own") > 0)
+
+    def last_reply(turns: Column) -> Column:
+        return F.array_max(F.transform(turns, lambda t, i: F.when(t["role"] == "assistant", i).otherwise(-1)))
+
+    placed = each.select(
+        (F.shiftleft("pair", 1).bitwiseOR(F.col("side.bit"))).alias("conv_id"),
+        F.transform("side.own", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("chosen"),
+        last_reply(F.col("side.own")).alias("at"),
+        F.get("side.other", F.coalesce(F.nullif(last_reply(F.col("side.other")), F.lit(-1)), F.size("side.other"))).alias("reply"),
+    )
+    answer = F.struct(F.lit("assistant").alias("role"), F.col("reply.text").alias("text"))
+    swapped = F.transform("chosen", lambda t, i: F.when(i == F.col("at"), answer).otherwise(t))
+    without = F.filter("chosen", lambda t, i: i != F.col("at"))
+    return placed.select("conv_id", "chosen", F.when(F.col("reply").isNotNull(), swapped).otherwise(without).alias("rejected"))
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -113,21 +113,25 @@ WITH turns AS (
   SELECT conv_id, coalesce(max(place) FILTER (role = 'assistant'), 0) AS last FROM turns GROUP BY conv_id
 ), replies AS (
   SELECT t.conv_id, t.text FROM turns t JOIN ends e ON e.conv_id = t.conv_id AND e.last = t.place
+), rendered AS (
+  SELECT t.conv_id, t.place, e.last, '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10) AS s FROM turns t JOIN ends e USING (conv_id)
 ), asked AS (
-  SELECT t.conv_id, string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.place) AS s, count(*) AS n
-  FROM turns t JOIN ends e ON e.conv_id = t.conv_id AND t.place < e.last GROUP BY t.conv_id
+  SELECT conv_id, string_agg(s, '' ORDER BY place) AS s, count(*) AS n FROM rendered WHERE last = 0 OR place < last GROUP BY conv_id
+), closing AS (
+  SELECT conv_id, string_agg(s, '' ORDER BY place) AS s, count(*) AS n FROM rendered WHERE last > 0 AND place > last GROUP BY conv_id
 ), pairs AS (
-  SELECT e.conv_id, coalesce(a.s, '') AS s, coalesce(a.n, 0) AS n,
-         '<|assistant|>' || chr(10) || c.text || '<|end|>' || chr(10) AS chosen,
-         CASE WHEN c.text IS NOT NULL THEN '<|assistant|>' || chr(10) || o.text || '<|end|>' || chr(10) END AS rejected
-  FROM ends e LEFT JOIN asked a ON a.conv_id = e.conv_id LEFT JOIN replies c ON c.conv_id = e.conv_id LEFT JOIN replies o ON o.conv_id = xor(e.conv_id, 1)
+  SELECT e.conv_id, coalesce(a.s, '') AS s, coalesce(a.n, 0) AS n, coalesce(t.s, '') AS tail, coalesce(t.n, 0) AS n_tail, c.text IS NOT NULL AS replied,
+         '<|assistant|>' || chr(10) || c.text || '<|end|>' || chr(10) AS own,
+         CASE WHEN c.text IS NOT NULL THEN '<|assistant|>' || chr(10) || o.text || '<|end|>' || chr(10) END AS other
+  FROM ends e LEFT JOIN asked a ON a.conv_id = e.conv_id LEFT JOIN closing t ON t.conv_id = e.conv_id
+       LEFT JOIN replies c ON c.conv_id = e.conv_id LEFT JOIN replies o ON o.conv_id = xor(e.conv_id, 1)
 ), split AS (
-  SELECT *, coalesce(chosen = rejected, FALSE) AS same FROM pairs
+  SELECT *, NOT replied OR coalesce(own = other, FALSE) AS same FROM pairs
 )
-SELECT conv_id, CAST(n + CASE WHEN same THEN 1 ELSE 0 END AS BIGINT) AS n_prompt_turns, s || CASE WHEN same THEN chosen ELSE '' END AS prompt,
-       CASE WHEN same THEN '' ELSE coalesce(chosen, '') END AS chosen, CASE WHEN same THEN '' ELSE coalesce(rejected, '') END AS rejected,
-       CASE WHEN same OR chosen IS NULL THEN '' ELSE '14-' || length(chosen) END AS chosen_spans,
-       CASE WHEN same OR rejected IS NULL THEN '' ELSE '14-' || length(rejected) END AS rejected_spans
+SELECT conv_id, CAST(n + CASE WHEN same AND replied THEN 1 + n_tail ELSE 0 END AS BIGINT) AS n_prompt_turns, s || CASE WHEN same AND replied THEN own || tail ELSE '' END AS prompt,
+       CASE WHEN same THEN '' ELSE own || tail END AS chosen, CASE WHEN same THEN '' ELSE coalesce(other, '') || tail END AS rejected,
+       CASE WHEN same THEN '' ELSE '14-' || length(own) END AS chosen_spans,
+       CASE WHEN same OR other IS NULL THEN '' ELSE '14-' || length(other) END AS rejected_spans
 FROM split
 """
 
