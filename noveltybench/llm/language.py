@@ -35,15 +35,17 @@ from pyspark.sql import functions as F
 
 from noveltybench.llm.labelled import spread_ids
 from noveltybench.llm.storage import unused, with_fields
+from noveltybench.llm.textops import slices, text_buffer
 
 ROWS = 48
 LEAST, ROW_CHARS, SAMPLE_CHARS = 300, 1_500, 24_000
-#: Characters parsed together, and texts below which they are parsed one by one.
-GROUP_CHARS, LANES = 1 << 23, 128
+#: Bytes of text parsed together, and texts below which they are parsed one by one.
+GROUP_CHARS, LANES = 1 << 22, 128
 #: Cells of a language's transition table up to which it is flat (16 MB); larger ones are searched, with equal answers.
 FLAT_CELLS = 1 << 22
 #: Times the phrases of the language's own texts that make a text one of another language.
 REJECT_RATIO = 3.0
+ADDED = ["lang_pred", "score", "bits_per_char", "identified"]
 
 
 class SuffixAutomaton:
@@ -274,26 +276,31 @@ def sample(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1), bits_per_char and identified; columns of these names are replaced."""
-    added = ["lang_pred", "score", "bits_per_char", "identified"]
+    added = ADDED
     kept = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
+    def answered(model: Model, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = model.predict([t for part in parts for t in part.column(part.schema.get_field_index(text)).to_pylist()])
+        at = 0
+        for part in parts:
+            mine = got[at : at + part.num_rows]
+            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([g[i] for g in mine], kind) for i, kind in enumerate(kinds)]], names=[*part.schema.names, *added])
+            at += part.num_rows
+
+    kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(shared.value)
+        model, held, size = load(shared.value), [], 0
         for batch in batches:
-            at = 0
             column = batch.column(batch.schema.get_field_index(text))
-            while at < batch.num_rows:
-                size, end = 0, at
-                texts: list[str | None] = []
-                while end < batch.num_rows and size < GROUP_CHARS:
-                    texts.append(column[end].as_py())
-                    size += len(texts[-1] or "")
-                    end += 1
-                got = model.predict(texts)
-                part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([g[i] for g in got]) for i in range(4)]], names=[*part.schema.names, *added])
-                at = end
+            for first, last in slices(text_buffer(column)[1], GROUP_CHARS):
+                held.append(batch.slice(first, last - first))
+                size += column.slice(first, last - first).nbytes
+                if size >= GROUP_CHARS:
+                    yield from answered(model, held)
+                    held, size = [], 0
+        yield from answered(model, held)
 
     return kept.mapInArrow(run, with_fields(kept, ("lang_pred", "string"), ("score", "double"), ("bits_per_char", "double"), ("identified", "boolean")))
 
@@ -314,7 +321,7 @@ def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang") ->
 
     Other columns pass through whatever their names.
     """
-    texts, row = unused("text", docs.columns), unused("row", docs.columns)
-    whole = docs.select(F.struct("*").alias(row), F.col(text).cast("string").alias(texts))
-    found = identify(whole, sample(docs, text=text, lang=lang), texts).where("identified")
-    return found.select(*[(F.col("lang_pred").cast(docs.schema[c].dataType) if c == lang else F.col(row)[c]).alias(c) for c in docs.columns])
+    clashing = {c: unused(c, docs.columns) for c in docs.columns if c in ADDED}
+    named = docs.withColumnsRenamed(clashing).withColumn(text, F.col(text).cast("string"))
+    found = identify(named, sample(docs, text=text, lang=lang), text).where("identified")
+    return found.select(*[(F.col("lang_pred") if c == lang else F.col(clashing.get(c, c))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
