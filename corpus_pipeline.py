@@ -9,11 +9,21 @@ from noveltybench.llm import byte_bpe, decontam, language, line_templates, near_
 from noveltybench.llm.storage import stored
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of ``rows`` texts at most, for this session.
+
+    Each of an executor's tasks holds a batch in either direction beside the heap, and after the joins of one stage the
+    heap of a long-running executor leaves little room for the next stage's batches of the usual 10,000 rows.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in none of the labelled languages, go; ``lang`` becomes the language found.
 
     A null text goes; without labelled rows all documents go; repeated rows are answered alike.
     """
+    small_batches(spark)
     return language.keep_identified(docs)
 
 
@@ -22,6 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay as they are, and so do documents with a null id.
     """
+    small_batches(spark)
     return line_templates.drop_recurring(docs)
 
 
@@ -30,6 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and word-less texts and null ids are in no group and stay; rows that repeat a kept id stay with it.
     """
+    small_batches(spark)
     return near_dup.keep_one(docs, shingle=5, percent=80)
 
 
@@ -38,11 +50,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and word-less texts stay; an empty benchmark removes nothing.
     """
+    small_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), mode="document")
 
 
 def byte_bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of what they decode to; a null text has no ids."""
+    small_batches(spark)
     kept = docs.select("doc_id", "lang", "source", "text")
     return byte_bpe.encode(kept, public_tokenizers.path("byte_bpe_50k.json"), round_trip=True).drop("text")
 
