@@ -83,6 +83,14 @@ def common_features(params: list[DataFrame]) -> DataFrame:
     return kept.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(params)).select("feature")
 
 
+def restrict(params: DataFrame, frozen: list[str]) -> DataFrame:
+    """The parameters of the frozen features; an error if one of them is missing or was dropped in fitting."""
+    wanted = params.sparkSession.createDataFrame([(c,) for c in frozen], "feature string")
+    kept = F.broadcast(wanted).join(params.where("dropped is null").withColumn("__there", F.lit(True)), "feature", "left")
+    lost = F.raise_error(F.concat(F.lit("dropped on these rows: "), F.col("feature"))).cast("boolean")
+    return kept.where(F.coalesce("__there", lost)).drop("__there")
+
+
 def compact_rows(referenced: DataFrame) -> DataFrame:
     """(grp, rn, compact): the flows that any referenced window covers, numbered anew within their block."""
     from pyspark.sql import Window

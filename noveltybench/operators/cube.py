@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noveltybench.operators.metrics import spearman
 from noveltybench.operators.verify import check
 
 
@@ -55,10 +56,11 @@ def protocol_means(cube: DataFrame, a: str, b: str) -> DataFrame:
     return cube.groupBy("detector").agg(F.avg(F.when(F.col("protocol") == a, F.col("auc"))).alias("a"), F.avg(F.when(F.col("protocol") == b, F.col("auc"))).alias("b"))
 
 
-def protocol_agreement(means: DataFrame) -> DataFrame:
-    """One row: how far two protocols agree on a table of detectors."""
+def protocol_agreement(means: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """How far two protocols agree on a table of detectors: one row, or one for each value of the keys."""
+    keys = keys or []
     delta = F.col("b") - F.col("a")
-    whole = means.agg(
+    whole = means.groupBy(*keys).agg(
         F.avg(delta).alias("mean_delta"),
         F.avg(F.abs(delta)).alias("mean_abs_delta"),
         F.max(F.abs(delta)).alias("max_abs_delta"),
@@ -67,10 +69,70 @@ def protocol_agreement(means: DataFrame) -> DataFrame:
         (F.max("b") - F.max_by("b", "a")).alias("regret"),
         F.count_if((F.col("a") < 0.5) != (F.col("b") < 0.5)).alias("side_flips"),
     )
-    other = means.select(F.col("detector").alias("__d"), F.col("a").alias("__a"), F.col("b").alias("__b"))
-    pairs = means.join(other, F.col("detector") < F.col("__d"))
-    discordant = pairs.agg(F.count_if((F.col("a") - F.col("__a")) * (F.col("b") - F.col("__b")) < 0).alias("discordant"))
-    return whole.crossJoin(F.broadcast(discordant))
+    other = means.select(*keys, F.col("detector").alias("__d"), F.col("a").alias("__a"), F.col("b").alias("__b"))
+    pairs = means.join(other, keys).where(F.col("detector") < F.col("__d")) if keys else means.join(other, F.col("detector") < F.col("__d"))
+    discordant = pairs.groupBy(*keys).agg(F.count_if((F.col("a") - F.col("__a")) * (F.col("b") - F.col("__b")) < 0).alias("discordant"))
+    return whole.join(discordant, keys) if keys else whole.crossJoin(F.broadcast(discordant))
+
+
+def agreement_rollup(agreements: DataFrame) -> DataFrame:
+    """One row over configurations (their agreement and rho): counts, ranges and medians."""
+    return agreements.agg(
+        F.count(F.lit(1)).alias("configurations"),
+        F.count_if(F.col("mean_delta") < 0).alias("lower_under_b"),
+        F.count_if(~F.col("same_winner")).alias("winner_flips"),
+        F.sum("side_flips").alias("side_flips"),
+        F.sum("discordant").alias("discordant"),
+        F.min("rho").alias("rho_low"),
+        F.max("rho").alias("rho_high"),
+        F.percentile("rho", 0.5).alias("rho_median"),
+        F.percentile("regret", 0.5).alias("regret_median"),
+        F.max("regret").alias("regret_max"),
+        F.min("mean_abs_delta").alias("mean_abs_delta_low"),
+        F.max("mean_abs_delta").alias("mean_abs_delta_high"),
+        F.max("max_abs_delta").alias("max_abs_delta"),
+    )
+
+
+def agreement_replicates(cells: DataFrame, units_a: DataFrame, units_b: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(rep, detector, a, b): means of detectors over drawn units of two protocols and drawn seeds, the same for both.
+
+    ``cells`` has cls, detector, seed and auc; the draws have rep, times and cls or seed.
+    """
+
+    def side(units: DataFrame, name: str) -> DataFrame:
+        w = F.col("times") * F.col("__seed_times")
+        drawn = cells.join(units, "cls").join(seeds.withColumnRenamed("times", "__seed_times"), ["rep", "seed"])
+        return drawn.groupBy("rep", "detector").agg((F.sum(w * F.col("auc")) / F.sum(w)).alias(name))
+
+    return side(units_a, "a").join(side(units_b, "b"), ["rep", "detector"])
+
+
+def elapsed(runs: DataFrame) -> DataFrame:
+    """One row of hours: separate runs add up; runs of one training (eval_id, seed) count once, by their longest time."""
+    shared = runs.where("kind = 'shared'").groupBy("eval_id", "seed").agg(F.max("wall_seconds").alias("wall_seconds"))
+    both = runs.where("kind = 'separate'").select("kind", "wall_seconds").unionByName(shared.select(F.lit("shared").alias("kind"), "wall_seconds"))
+    hours = both.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("wall_seconds"))), F.lit(0.0)).alias(k) for k in ("separate", "shared")])
+    return hours.select((F.col("separate") / 3600).alias("separate_hours"), (F.col("shared") / 3600).alias("shared_hours"), ((F.col("separate") + F.col("shared")) / 3600).alias("total_hours"))
+
+
+def dose_response(sweep: DataFrame, variants: DataFrame) -> DataFrame:
+    """(dataset, rho, variant, ratio, f1_drop, falls, holds, both) of a dose sweep and the variants that should resist it.
+
+    ``sweep`` has dataset, gamma, d_prime and macro_f1 (in per cent) of runs; ``variants`` dataset, tau, kappa,
+    validation, d_prime and macro_f1.  The variant of the best mean validation score is taken, the smaller tau, then
+    kappa, at a tie.  ``falls``: d' falls with the dose (rank correlation -0.8 at most); ``holds``: the variant keeps
+    0.8 of the undosed d' and loses less than a point of F1.
+    """
+    doses = sweep.groupBy("dataset", "gamma").agg(F.avg("d_prime").alias("d_prime"), F.avg("macro_f1").alias("macro_f1"))
+    rho = spearman(doses, ["dataset"], "gamma", "d_prime", 1)
+    undosed = doses.where("gamma = 0").select("dataset", F.col("d_prime").alias("d0"), F.col("macro_f1").alias("f0"))
+    means = variants.groupBy("dataset", "tau", "kappa").agg(F.avg("validation").alias("v"), F.avg("d_prime").alias("d_prime"), F.avg("macro_f1").alias("macro_f1"))
+    best = means.groupBy("dataset").agg(F.min_by(F.struct("tau", "kappa", "d_prime", "macro_f1"), F.struct(-F.col("v"), "tau", "kappa")).alias("best"))
+    joined = rho.join(undosed, "dataset").join(best, "dataset")
+    ratio, drop = F.col("best.d_prime") / F.col("d0"), F.col("f0") - F.col("best.macro_f1")
+    falls, holds = F.coalesce(F.col("rho") <= -0.8, F.lit(False)), (F.col("best.d_prime") >= 0.8 * F.col("d0")) & (drop < 1)
+    return joined.select("dataset", "rho", F.col("best.tau").alias("tau"), F.col("best.kappa").alias("kappa"), ratio.alias("ratio"), drop.alias("f1_drop"), falls.alias("falls"), holds.alias("holds"), (falls & holds).alias("both"))
 
 
 def inversion_table(cube: DataFrame) -> DataFrame:

@@ -94,9 +94,11 @@ def mean_ci_t(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def spearman(pairs: DataFrame, keys: list[str], x: str, y: str, buckets: int = BUCKETS) -> DataFrame:
-    """Rank correlation over pairs without nulls; null below three pairs.  ``buckets=1`` is for small groups."""
+    """Rank correlation over pairs without nulls; null below three pairs or without two values on either side.  ``buckets=1`` is for small groups."""
     ranked = midranks(midranks(pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, x, "__rx", buckets), keys, y, "__ry", buckets)
-    return ranked.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= 3, F.corr("__rx", "__ry")).alias("rho"))
+    varied = (F.min("__rx") < F.max("__rx")) & (F.min("__ry") < F.max("__ry"))
+    moments = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), varied.alias("__varied"), F.covar_pop("__rx", "__ry").alias("__xy"), F.var_pop("__rx").alias("__xx"), F.var_pop("__ry").alias("__yy"))
+    return moments.select(*keys, F.when((F.col("__n") >= 3) & F.col("__varied"), F.col("__xy") / F.sqrt(F.col("__xx") * F.col("__yy"))).alias("rho"))
 
 
 def kendall_tau(rows: DataFrame, keys: list[str], item: str, x: str, y: str) -> DataFrame:
@@ -117,6 +119,23 @@ def draws(units: DataFrame, unit: str, reps: int, seed: int) -> DataFrame:
     return drawn.groupBy("rep", "__at").agg(F.count(F.lit(1)).alias("times")).join(F.broadcast(numbered), "__at").select("rep", unit, "times")
 
 
+def draws_within(units: DataFrame, stratum: str, unit: str, reps: int, seed: int) -> DataFrame:
+    """(rep, stratum, unit, times): draws of each stratum's units among themselves."""
+    within = Window.partitionBy(stratum)
+    numbered = units.select(stratum, unit).distinct().withColumn("__at", F.row_number().over(within.orderBy(unit)) - 1).withColumn("__n", F.count(F.lit(1)).over(within))
+    slots = numbered.select(stratum, F.col("__at").alias("__slot"), "__n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    drawn = slots.select("rep", stratum, md5_draw(F.concat_ws(":", F.lit(str(seed)), "rep", stratum, "__slot"), F.col("__n")).alias("__at"))
+    return drawn.groupBy("rep", stratum, "__at").agg(F.count(F.lit(1)).alias("times")).join(numbered, [stratum, "__at"]).select("rep", stratum, unit, "times")
+
+
+def stratified_rho(copies: DataFrame, stratum: str, x: str, y: str) -> DataFrame:
+    """(rep, rho): the mean of the strata's rank correlations, of replicates in which all strata have one."""
+    rho = spearman(copies, ["rep", stratum], x, y, 1)
+    strata = copies.select(stratum).distinct().agg(F.count(F.lit(1)).alias("__k"))
+    means = rho.groupBy("rep").agg(F.avg("rho").alias("rho"), F.count("rho").alias("__n"))
+    return means.crossJoin(F.broadcast(strata)).where("__n = __k").select("rep", "rho")
+
+
 def percentile_interval(replicates: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Replicates with a value, and the 2.5 % and 97.5 % points."""
     return replicates.groupBy(*keys).agg(F.count(value).alias("reps"), F.percentile(value, 0.025).alias("low"), F.percentile(value, 0.975).alias("high"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from noveltybench.functions.sampling import md5_draw, md5_unit
-from noveltybench.operators.ranks import normal_cdf, running
+from noveltybench.operators.ranks import normal_cdf, normal_quantile, running
 
 
 def by_entity() -> WindowSpec:
@@ -86,6 +86,12 @@ def mixture_e(p: Column) -> Column:
     return (1 - q + q * F.log(q)) / (q * F.log(q) * F.log(q))
 
 
+def roc_slope_e(p: Column, delta: float, share: float = 1.0) -> Column:
+    """exp(delta z - delta^2 / 2) with z the normal quantile of 1 - p; ``share`` below 1 hedges it with the constant 1."""
+    z = normal_quantile(1 - F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12)))
+    return F.lit(share) * F.exp(F.lit(delta) * z - F.lit(delta * delta / 2)) + F.lit(1 - share)
+
+
 def ecusum_no_reset(evalues: DataFrame, alarm: float) -> DataFrame:
     """(entity, t, log_m, first_alarm): M = max(M, 1) e, as prefix sums of ln e less their running minimum."""
     total = evalues.withColumn("__s", F.sum(F.log("e")).over(so_far()))
@@ -211,13 +217,18 @@ def variance_time_hurst(series: DataFrame, column: str, blocks: list[int]) -> Da
     return slope.select("entity", F.least(F.greatest(F.col("slope") / 2, F.lit(0.5)), F.lit(0.99)).alias("hurst"))
 
 
-def own_history_scan(series: DataFrame, column: str, scales: list[int], blocks: list[int]) -> DataFrame:
-    """(entity, score): the largest window sum of the centred series over sqrt(V1) * scale ** H."""
+def own_history_sums(series: DataFrame, column: str, scales: list[int], blocks: list[int]) -> DataFrame:
+    """(entity, scale, t, total, spread): window sums of the centred series and sqrt(V1) * scale ** H."""
     stats = series.groupBy("entity").agg(F.avg(column).alias("__m"), F.var_samp(column).alias("__v"))
     centred = series.join(stats, "entity").withColumn("__x", F.col(column) - F.col("__m"))
     sums = window_sums(centred.select("entity", "t", F.col("__x").alias("x")), "x", scales)
-    scaled = sums.join(stats, "entity").join(variance_time_hurst(series, column, blocks), "entity")
-    return scaled.where("__v > 0").groupBy("entity").agg(F.max(F.col("total") / (F.sqrt("__v") * F.pow(F.col("scale"), F.col("hurst")))).alias("score"))
+    scaled = sums.join(stats, "entity").join(variance_time_hurst(series, column, blocks), "entity").where("__v > 0")
+    return scaled.select("entity", "scale", "t", "total", (F.sqrt("__v") * F.pow(F.col("scale"), F.col("hurst"))).alias("spread"))
+
+
+def own_history_scan(series: DataFrame, column: str, scales: list[int], blocks: list[int]) -> DataFrame:
+    """(entity, score): the largest window sum of the centred series over its spread."""
+    return own_history_sums(series, column, scales, blocks).groupBy("entity").agg(F.max(F.col("total") / F.col("spread")).alias("score"))
 
 
 def cusum_path(series: DataFrame, z: str, k: float, h: float) -> DataFrame:
@@ -234,6 +245,22 @@ def ewma_path(series: DataFrame, column: str, weight: float) -> DataFrame:
     return steps.select("entity", F.aggregate("steps", F.lit(0.0), lambda s, x: (1 - weight) * s + weight * x["x"]).alias("last"))
 
 
+def critical_amplitude(statistics: DataFrame, onset: int, length: int, threshold: float) -> DataFrame:
+    """(entity, step, ramp): the least amplitude of an attack of either shape that some window's statistic would show.
+
+    ``statistics`` has entity, scale, t (last step of the window), total and spread.  A step adds its amplitude at each
+    of the attack's steps, a ramp 1/length of it more at each; windows without a step of the attack don't count.
+    """
+    first, last = F.greatest(F.col("t") + 1 - F.col("scale"), F.lit(onset)), F.least(F.col("t") + 1, F.lit(onset + length))
+    met = statistics.withColumn("__n", last - first).where("__n > 0")
+    rising = (first - onset + 1 + last - onset) * F.col("__n") / 2 / length
+
+    def least(weight: Column) -> Column:
+        return F.min(F.greatest((F.lit(threshold) * F.col("spread") - F.col("total")) / weight, F.lit(0.0)))
+
+    return met.groupBy("entity").agg(least(F.col("__n")).alias("step"), least(rising).alias("ramp"))
+
+
 def threshold_matched(maxima: DataFrame, alpha: float, nominal: float) -> DataFrame:
     """One row: the (1 - alpha) quantile of per-series maxima and the share above a nominal threshold."""
     return maxima.agg(F.percentile("score", 1 - alpha).alias("threshold"), F.avg((F.col("score") > nominal).cast("int")).alias("above_nominal"))

@@ -49,3 +49,29 @@ def normal_cdf(x: Column) -> Column:
         poly = F.lit(a) + t * poly
     erfc = t * F.exp(-z * z + poly)
     return F.when(x >= 0, 1 - erfc / 2).otherwise(erfc / 2)
+
+
+#: The published coefficients of the rational approximation of the normal quantile (relative error below 1.2e-9).
+QUANTILE_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+QUANTILE_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+QUANTILE_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+QUANTILE_LOW = 0.02425
+
+
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile of p in (0, 1)."""
+
+    def horner(coefficients: tuple[float, ...], x: Column) -> Column:
+        out: Column = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    def tail(q: Column) -> Column:
+        x = F.sqrt(-2 * F.log(q))
+        return horner(QUANTILE_C, x) / (horner(QUANTILE_D, x) * x + 1)
+
+    x = p - 0.5
+    middle = horner(QUANTILE_A, x * x) * x / (horner(QUANTILE_B, x * x) * x * x + 1)
+    return F.when(p < QUANTILE_LOW, tail(p)).when(p > 1 - QUANTILE_LOW, -tail(1 - p)).otherwise(middle)

@@ -85,3 +85,31 @@ def purge(blocks: DataFrame) -> DataFrame:
         check(kept.where("split <> 'test'").join(beside(blocks.where("split = 'test'")), ["day", "block"]), "kept_beside_test"),
         check(kept.where("split = 'train'").join(beside(kept.where("split = 'val'")), ["day", "block"]), "train_beside_val"),
     )
+
+
+def single_provenance(runs: DataFrame, by: str) -> DataFrame:
+    """(by, runs, commits, unclean, ok): the runs of an experiment must come from one clean commit, none of them a trial."""
+    unclean = F.count_if(F.col("dirty") | F.col("smoke"))
+    found = runs.groupBy(by).agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("code_commit").alias("commits"), unclean.alias("unclean"))
+    return found.withColumn("ok", (F.col("commits") == 1) & (F.col("unclean") == 0))
+
+
+def recorded_hashes(recorded: DataFrame, current: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """(artefact, what, match) of recorded against current digests and row counts.
+
+    match is null where a difference is documented in ``exceptions`` (artefact, what); an artefact on one side only
+    doesn't match.
+    """
+
+    def long(side: DataFrame, name: str) -> DataFrame:
+        return side.select("artefact", F.col("digest"), F.col("n").cast("string").alias("rows")).unpivot("artefact", ["digest", "rows"], "what", name)
+
+    both = long(recorded, "then").join(long(current, "now"), ["artefact", "what"], "full_outer").join(F.broadcast(exceptions.withColumn("__e", F.lit(True))), ["artefact", "what"], "left")
+    return both.select("artefact", "what", F.when(F.col("then").eqNullSafe(F.col("now")), True).when(F.col("__e"), F.lit(None)).otherwise(False).alias("match"))
+
+
+def table_digest(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """(artefact, n, digest) of each part of a table: the sum of its rows' hashes, whatever their order."""
+    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]))
+    digest = F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(20,0)")).cast("string")
+    return rows.groupBy(F.col(by).alias("artefact")).agg(F.count(F.lit(1)).alias("n"), digest.alias("digest"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noveltybench.plans import base, clean_plans, extra_plans, metric_plans, panel_plans, score_plans, source_plans, stream_plans, window_plans  # noqa: F401
+from noveltybench.plans import base, clean_plans, extra_plans, metric_plans, panel_plans, report_plans, score_plans, source_plans, stream_plans, window_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

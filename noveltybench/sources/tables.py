@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from noveltybench.operators.audit import finite
+from noveltybench.operators.clean import compact_rows, transform
+from noveltybench.operators.windows import materialize_windows
+
 
 def shared_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the folder all executors see (spark.checkpoint.dir; a temporary one only where it is unset)."""
@@ -64,6 +69,26 @@ def archive_windows(spark: SparkSession, path: str, set_name: str) -> DataFrame:
     return found.where(F.coalesce("__there", F.raise_error(F.lit("a window of the set isn't in the archive")).cast("boolean"))).drop("__there")
 
 
+def finalize(path: str, flows: DataFrame, windows: DataFrame, members: DataFrame, params: DataFrame, size: int, stride: int) -> str:
+    """Writes the archive of a split: flows that a member window covers, numbered anew and cleaned, with windows and sets."""
+    chosen = windows.join(members.select("window_id").distinct(), "window_id", "left_semi")
+    referenced = materialize_windows(chosen.select("grp", "k"), flows, size, stride).select("grp", "rn")
+    fitted = [r.asDict() for r in params.collect()]  # one row a feature
+    cleaned = transform(flows.join(compact_rows(referenced), ["grp", "rn"]), fitted)
+    write_archive(path, cleaned, chosen, members, params)
+    return path
+
+
+def archive_report(spark: SparkSession, path: str, features: list[str]) -> DataFrame:
+    """One row of a written archive: flows, windows, features, and violations (values not finite, members without window)."""
+    flows, windows = spark.read.parquet(f"{path}/flows"), spark.read.parquet(f"{path}/windows")
+    members = spark.read.parquet(f"{path}/membership").select("window_id").distinct()
+    odd = reduce(lambda a, b: a | b, [finite(c).isNull() for c in features])
+    counted = flows.agg(F.count(F.lit(1)).alias("rows_materialised"), F.count_if(odd).alias("odd"))
+    used = members.join(windows.select("window_id", F.lit(True).alias("__there")), "window_id", "left").agg(F.count("__there").alias("windows_referenced"), F.count_if(F.col("__there").isNull()).alias("lost"))
+    return counted.crossJoin(F.broadcast(used)).select("rows_materialised", "windows_referenced", F.lit(len([c for c in features if c in flows.columns])).cast("long").alias("n_features"), (F.col("odd") + F.col("lost")).alias("violations"))
+
+
 def content_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
     """(name, size, sha256, sha1) of each file; meant for files below 2 GB."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
