@@ -84,7 +84,8 @@ def balance_exact_ratio(rows: DataFrame, ratio: int, cap: int, seed: int, by: li
     attack = F.least(F.col("__a"), F.lit(cap // (1 + ratio)), F.floor(F.col("__b") / F.lit(ratio)))
     quotas = counts.select(*by, attack.cast("long").alias("__na"), (attack * ratio).cast("long").alias("__nb"))
     rank = F.row_number().over(Window.partitionBy(*by, "y_bin").orderBy(md5_order(key, seed), key))
-    ranked = rows.withColumn("__rank", rank)
+    # No quota is above this; as a literal it cuts every task's rows before the shuffle.
+    ranked = rows.withColumn("__rank", rank).where(F.col("__rank") <= cap // (1 + ratio) * max(ratio, 1))
     joined = ranked.join(quotas, by) if by else ranked.crossJoin(F.broadcast(quotas))
     return joined.where(F.col("__rank") <= F.when(F.col("y_bin") == 1, F.col("__na")).otherwise(F.col("__nb"))).drop("__rank", "__na", "__nb")
 
@@ -94,7 +95,7 @@ def natural_prior_sample(rows: DataFrame, cap: int, seed: int, key: str = "windo
     return rows.orderBy(md5_order(key, seed), key).limit(cap)
 
 
-def make_sets(windows: DataFrame, seed: int, train_ratio: int = 1, eval_ratio: int = 5, train_cap: int = 1000, eval_cap: int = 300, natural_cap: int = 500) -> DataFrame:
+def make_sets(windows: DataFrame, seed: int, train_ratio: int = 1, eval_ratio: int = 5, train_cap: int = 14_000, eval_cap: int = 3_000, natural_cap: int = 20_000) -> DataFrame:
     """(set_name, window_id, y_bin): balanced train, val and test sets and a natural test set."""
     parts = [(TRAIN, train_ratio, train_cap), (VAL, eval_ratio, eval_cap), (TEST, eval_ratio, eval_cap)]
     sets = [balance_exact_ratio(windows.where(F.col("split") == s), r, c, seed).select(F.lit(s).alias("set_name"), "window_id", "y_bin") for s, r, c in parts]
@@ -107,7 +108,7 @@ def has_class(mask: str, code: Column) -> Column:
     return F.col(mask).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), code.cast("int"))) != 0
 
 
-def loaco_folds(windows: DataFrame, classes: DataFrame, seed: int, min_train: int = 20, train_ratio: int = 1, eval_ratio: int = 5, train_cap: int = 1000, eval_cap: int = 300) -> DataFrame:
+def loaco_folds(windows: DataFrame, classes: DataFrame, seed: int, min_train: int = 200, train_ratio: int = 1, eval_ratio: int = 5, train_cap: int = 14_000, eval_cap: int = 3_000) -> DataFrame:
     """(fold, part, window_id, y_bin) of leave-one-attack-class-out folds.
 
     Train and val lose every window that contains the class; test keeps benign windows and those whose majority
@@ -137,7 +138,7 @@ def nn_class_discovery(windows: DataFrame, classes: DataFrame, least: int = 20)
     return counts.where("n_train = 0 and n_test > 0").withColumn("status", F.when(F.col("n_test") >= least, "novel").otherwise("near"))
 
 
-def natural_novelty_sets(windows: DataFrame, novel: DataFrame, seed: int, train_ratio: int = 1, eval_ratio: int = 5, train_cap: int = 1000, eval_cap: int = 300) -> DataFrame:
+def natural_novelty_sets(windows: DataFrame, novel: DataFrame, seed: int, train_ratio: int = 1, eval_ratio: int = 5, train_cap: int = 14_000, eval_cap: int = 3_000) -> DataFrame:
     """(part, cls, window_id, y_bin): train and val without any novel class, one test set for each novel class."""
     mask = novel.agg(F.coalesce(F.bit_or(F.expr("shiftleft(1L, code)")), F.lit(0).cast("long")).alias("__novel"))
     clean = windows.crossJoin(F.broadcast(mask)).where(F.col("class_mask").bitwiseAND(F.col("__novel")) == 0).drop("__novel")

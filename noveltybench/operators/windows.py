@@ -10,12 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noveltybench.operators.ranks import running
+
 BENIGN = "Benign"
 
 
-def sort_by_time(flows: DataFrame, time: str = "t_ms", row_id: str = "row_id") -> DataFrame:
-    """Stable order by time, ties by row id."""
-    return flows.orderBy(time, row_id)
+def placed_by_time(flows: DataFrame, time: str = "t_ms", row_id: str = "row_id") -> DataFrame:
+    """``flows`` with ``place``, the place from 1 in the order of time and row id.
+
+    Flows before a time are counted by distinct times, dealt to buckets; only flows of one time share a sort.
+    """
+    levels = flows.groupBy(time).agg(F.count(F.lit(1)).alias("__n"))
+    before = running(levels, [], time, ["__n"]).select(time, "__n_before")
+    among = F.row_number().over(Window.partitionBy(time).orderBy(row_id))
+    return flows.join(before, time).withColumn("place", (F.col("__n_before") + among).cast("long")).drop("__n_before")
 
 
 def time_blocks(flows: DataFrame, block_ms: float, time: str = "t_ms") -> DataFrame:

@@ -216,16 +216,16 @@ def verify_frozen_features(spark, sf):
     return V.check(found.join(frozen, "feature", "full_outer").where("__f is null or __p is null"), "frozen_features")
 
 
-@query(with_sql("SELECT l_orderkey, l_linenumber, quantity, discount, tax FROM feat WHERE quantity >= 49", FEATURES))
+@query(with_sql("SELECT l_orderkey, l_linenumber, quantity, discount, tax FROM feat", FEATURES))
 def project_numeric_only(spark, sf):
-    f = features(spark, sf).where("quantity >= 49").drop("price", "copy", "constant", "t_ms", "l_partkey")
+    f = features(spark, sf).drop("price", "copy", "constant", "t_ms", "l_partkey")
     return f.select(*[c for c, kind in f.dtypes if kind in ("double", "int", "bigint")])
 
 
-@query(with_sql("SELECT quantity, price, discount, tax, cls FROM feat WHERE l_orderkey % 100 = 0 AND isfinite(price)", FEATURES))
+@query(with_sql("SELECT quantity, CASE WHEN isfinite(price) THEN price END AS price, discount, tax, cls FROM feat", FEATURES))
 def project_drop_roles(spark, sf):
     roles = {"l_orderkey": "identifier", "l_partkey": "identifier", "l_linenumber": "identifier", "t_ms": "timestamp", "side": "internal", "copy": "internal", "constant": "internal"}
-    return features(spark, sf).where(F.col("l_orderkey") % 100 == 0).where(A.finite("price").isNotNull()).drop(*roles)
+    return features(spark, sf).withColumn("price", A.finite("price")).drop(*roles)
 
 
 @query("SELECT l_orderkey AS row_id, epoch_us(l_shipdate) / 1000.0 AS t_ms, l_returnflag AS attack, CAST(l_returnflag <> 'N' AS INTEGER) AS label, l_quantity AS quantity FROM lineitem")

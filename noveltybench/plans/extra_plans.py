@@ -103,15 +103,15 @@ def residual_stress_audit(spark, sf):
     return gated(spark, sf).groupBy("vec_id").agg(F.count_if(F.col("stress") < least - 1e-12).alias("violations"), F.count(F.lit(1)).alias("steps"))
 
 
-# ---- target-only sets: anchors from the first three groups, tests from all others ------------------------------
+# ---- target-only sets: anchors from the first four groups, tests from all others ------------------------------
 
-TARGET = """pool AS (SELECT window_id, grp, row_number() OVER (ORDER BY md5(window_id || ':17'), window_id) AS place FROM win WHERE grp < 3 AND y_bin = 0),
-others AS (SELECT * FROM win WHERE grp >= 3), avail AS (SELECT y_cls AS code, count(*) AS n FROM others WHERE y_bin = 1 GROUP BY y_cls),
+TARGET = """pool AS (SELECT window_id, grp, row_number() OVER (ORDER BY md5(window_id || ':17'), window_id) AS place FROM win WHERE grp < 4 AND y_bin = 0),
+others AS (SELECT * FROM win WHERE grp >= 4), avail AS (SELECT y_cls AS code, count(*) AS n FROM others WHERE y_bin = 1 GROUP BY y_cls),
 numbered_cls AS (SELECT code, n, row_number() OVER (ORDER BY n, code) AS i, count(*) OVER () AS m FROM avail),
 fill AS (SELECT 0 AS i, CAST(0 AS BIGINT) AS quota, CAST(0 AS INTEGER) AS code, CAST((SELECT count(*) FROM others WHERE y_bin = 0) // 5 AS BIGINT) AS rest UNION ALL
  SELECT c.i, least(c.n, f.rest // (c.m - c.i + 1)), c.code, f.rest - least(c.n, f.rest // (c.m - c.i + 1)) FROM fill f JOIN numbered_cls c ON c.i = f.i + 1),
 tested AS (SELECT window_id, grp, y_bin FROM others WHERE y_bin = 0 UNION ALL SELECT window_id, grp, y_bin FROM (SELECT o.*, quota, row_number() OVER (PARTITION BY y_cls ORDER BY md5(window_id || ':17'), window_id) AS place FROM others o JOIN fill ON code = y_cls AND fill.i > 0 WHERE y_bin = 1) WHERE place <= quota),
-target AS (SELECT 'anchor_20' AS set_name, window_id, grp, 0 AS y_bin FROM pool WHERE place <= 20 UNION ALL SELECT 'anchor_5', window_id, grp, 0 FROM pool WHERE place <= 5 UNION ALL SELECT 'test', window_id, grp, y_bin FROM tested)"""
+target AS (SELECT 'anchor_500' AS set_name, window_id, grp, 0 AS y_bin FROM pool WHERE place <= 500 UNION ALL SELECT 'anchor_100', window_id, grp, 0 FROM pool WHERE place <= 100 UNION ALL SELECT 'test', window_id, grp, y_bin FROM tested)"""
 
 
 def recursive_windowed(select: str, *parts: str) -> str:
@@ -121,10 +121,9 @@ def recursive_windowed(select: str, *parts: str) -> str:
 @kept("target_only")
 def target_sets(spark, sf):
     w = windows(spark, sf)
-    order = Window.orderBy(md5_order("window_id", SEED), "window_id")
-    pool = w.where("grp < 3 and y_bin = 0").withColumn("place", F.row_number().over(order))  # windows of three groups
-    anchors = [pool.where(F.col("place") <= n).select(F.lit(f"anchor_{n}").alias("set_name"), "window_id", "grp", "y_bin") for n in (20, 5)]
-    others = w.where("grp >= 3")
+    pool = w.where("grp < 4 and y_bin = 0").orderBy(md5_order("window_id", SEED), "window_id")
+    anchors = [pool.limit(n).select(F.lit(f"anchor_{n}").alias("set_name"), "window_id", "grp", "y_bin") for n in (500, 100)]
+    others = w.where("grp >= 4")
     total = others.agg(F.floor(F.count_if(F.col("y_bin") == 0) / 5).alias("total"))
     avail = others.where("y_bin = 1").groupBy(F.col("y_cls").alias("code")).agg(F.count(F.lit(1)).alias("n"))
     quotas = Z.water_fill(avail.crossJoin(F.broadcast(total)), F.col("total"))
@@ -141,12 +140,12 @@ def target_only_sets(spark, sf):
 
 @query(recursive_windowed("""SELECT check_name, CAST(v AS BIGINT) AS violations, v = 0 AS ok FROM (
  SELECT 'groups_disjoint' AS check_name, count(*) AS v FROM (SELECT grp FROM target GROUP BY grp HAVING count(DISTINCT set_name = 'test') > 1)
- UNION ALL SELECT 'anchors_nested', count(*) FROM (SELECT window_id FROM target WHERE set_name = 'anchor_5' AND window_id NOT IN (SELECT window_id FROM target WHERE set_name = 'anchor_20'))
+ UNION ALL SELECT 'anchors_nested', count(*) FROM (SELECT window_id FROM target WHERE set_name = 'anchor_100' AND window_id NOT IN (SELECT window_id FROM target WHERE set_name = 'anchor_500'))
  UNION ALL SELECT 'anchors_benign', count(*) FROM target WHERE set_name <> 'test' AND y_bin = 1
  UNION ALL SELECT 'no_window_twice', count(*) FROM (SELECT set_name, window_id FROM target GROUP BY ALL HAVING count(*) > 1))""", TARGET))
 def verify_target_only(spark, sf):
     t = target_sets(spark, sf)
-    small, large = (t.where(F.col("set_name") == f"anchor_{n}").select("window_id") for n in (5, 20))
+    small, large = (t.where(F.col("set_name") == f"anchor_{n}").select("window_id") for n in (100, 500))
     return V.together(
         V.disjoint(t.withColumn("side", F.when(F.col("set_name") == "test", "test").otherwise("anchor")), "grp", "side", "groups_disjoint"),
         V.check(small.join(large, "window_id", "left_anti"), "anchors_nested"),

@@ -39,11 +39,10 @@ def classes(spark: SparkSession, sf: str, late: bool = False) -> DataFrame:
     return W.class_table(flows(spark, sf, late))
 
 
-@query(windowed("SELECT row_id, t_ms, CAST(row_number() OVER (ORDER BY t_ms, row_id) AS BIGINT) AS place FROM flows ORDER BY place LIMIT 100"))
+@query(windowed("SELECT row_id, t_ms, CAST(row_number() OVER (ORDER BY t_ms, row_id) AS BIGINT) AS place FROM flows"))
 def sort_by_time(spark, sf):
-    """The earliest 100 flows, numbered (a top-k report)."""
-    first = W.sort_by_time(flows(spark, sf)).select("row_id", "t_ms").limit(100)
-    return first.withColumn("place", F.row_number().over(W.Window.orderBy("t_ms", "row_id")).cast("long"))
+    """All flows with their place in time order."""
+    return W.placed_by_time(flows(spark, sf)).select("row_id", "t_ms", "place")
 
 
 @query(windowed("SELECT row_id, grp, block FROM timed"))
@@ -200,18 +199,18 @@ def split_composition(spark, sf):
     return S.split_composition(placed(spark, sf, True))
 
 
-@query(windowed("SELECT window_id, y_bin FROM picked", SPLIT_GAP, PLACED, "src AS (SELECT * FROM placed WHERE split = 'train')", balance_sql("src", "picked", 1, 1000)))
+@query(windowed("SELECT window_id, y_bin FROM picked", SPLIT_GAP, PLACED, "src AS (SELECT * FROM placed WHERE split = 'train')", balance_sql("src", "picked", 1, 14000)))
 def balance_exact_ratio(spark, sf):
-    return S.balance_exact_ratio(placed(spark, sf).where("split = 'train'"), 1, 1000, SEED).select("window_id", "y_bin")
+    return S.balance_exact_ratio(placed(spark, sf).where("split = 'train'"), 1, 14000, SEED).select("window_id", "y_bin")
 
 
-@query(windowed("SELECT window_id, y_bin FROM placed WHERE split = 'test' ORDER BY md5(window_id || ':17'), window_id LIMIT 500", SPLIT_GAP, PLACED))
+@query(windowed("SELECT window_id, y_bin FROM placed WHERE split = 'test' ORDER BY md5(window_id || ':17'), window_id LIMIT 20000", SPLIT_GAP, PLACED))
 def natural_prior_sample(spark, sf):
-    return S.natural_prior_sample(placed(spark, sf).where("split = 'test'"), 500, SEED).select("window_id", "y_bin")
+    return S.natural_prior_sample(placed(spark, sf).where("split = 'test'"), 20000, SEED).select("window_id", "y_bin")
 
 
-SETS = [SPLIT_GAP, PLACED, "s_train AS (SELECT * FROM placed WHERE split = 'train')", balance_sql("s_train", "b_train", 1, 1000), "s_val AS (SELECT * FROM placed WHERE split = 'val')", balance_sql("s_val", "b_val", 5, 300),
-        "s_test AS (SELECT * FROM placed WHERE split = 'test')", balance_sql("s_test", "b_test", 5, 300), "nat AS (SELECT * FROM s_test ORDER BY md5(window_id || ':17'), window_id LIMIT 500)",
+SETS = [SPLIT_GAP, PLACED, "s_train AS (SELECT * FROM placed WHERE split = 'train')", balance_sql("s_train", "b_train", 1, 14000), "s_val AS (SELECT * FROM placed WHERE split = 'val')", balance_sql("s_val", "b_val", 5, 3000),
+        "s_test AS (SELECT * FROM placed WHERE split = 'test')", balance_sql("s_test", "b_test", 5, 3000), "nat AS (SELECT * FROM s_test ORDER BY md5(window_id || ':17'), window_id LIMIT 20000)",
         """sets AS (SELECT 'train' AS set_name, window_id, y_bin FROM b_train UNION ALL SELECT 'val', window_id, y_bin FROM b_val UNION ALL SELECT 'test', window_id, y_bin FROM b_test UNION ALL SELECT 'test_natural', window_id, y_bin FROM nat)"""]
 
 
@@ -220,22 +219,22 @@ def make_sets(spark, sf):
     return S.make_sets(placed(spark, sf), SEED)
 
 
-@query(windowed("SELECT set_name, n, limited_by FROM (SELECT set_name, count(*) AS n, CASE set_name WHEN 'train' THEN 1000 WHEN 'test_natural' THEN 500 ELSE 300 END AS cap, CASE WHEN set_name = 'test_natural' THEN 'rows' WHEN count(*) FILTER (y_bin = 1) = any_value(a) THEN 'attack' ELSE 'benign' END AS limited_by FROM sets JOIN (SELECT split, count(*) FILTER (y_bin = 1) AS a FROM placed GROUP BY split) c ON c.split = replace(set_name, '_natural', '') GROUP BY set_name) WHERE n < cap", *SETS))
+@query(windowed("SELECT set_name, n, limited_by FROM (SELECT set_name, count(*) AS n, CASE set_name WHEN 'train' THEN 14000 WHEN 'test_natural' THEN 20000 ELSE 3000 END AS cap, CASE WHEN set_name = 'test_natural' THEN 'rows' WHEN count(*) FILTER (y_bin = 1) = any_value(a) THEN 'attack' ELSE 'benign' END AS limited_by FROM sets JOIN (SELECT split, count(*) FILTER (y_bin = 1) AS a FROM placed GROUP BY split) c ON c.split = replace(set_name, '_natural', '') GROUP BY set_name) WHERE n < cap", *SETS))
 def set_below_cap(spark, sf):
     """Sets smaller than their cap and the side that limits them."""
     p = placed(spark, sf)
     sizes = S.make_sets(p, SEED).groupBy("set_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y_bin") == 1).alias("attacks"))
     there = p.groupBy("split").agg(F.count_if(F.col("y_bin") == 1).alias("a"))
-    cap = F.when(F.col("set_name") == "train", 1000).when(F.col("set_name") == "test_natural", 500).otherwise(300)
+    cap = F.when(F.col("set_name") == "train", 14000).when(F.col("set_name") == "test_natural", 20000).otherwise(3000)
     joined = sizes.withColumn("split", F.replace("set_name", F.lit("_natural"), F.lit(""))).join(there, "split")
     side = F.when(F.col("set_name") == "test_natural", "rows").when(F.col("attacks") == F.col("a"), "attack").otherwise("benign")
     return joined.where(F.col("n") < cap).select("set_name", "n", side.alias("limited_by"))
 
 
 FOLDS = [SPLIT_GAP, PLACED, "attack AS (SELECT code AS fold FROM codes WHERE code > 0)",
-         "enough AS (SELECT fold FROM placed, attack WHERE split = 'train' AND (class_mask & (1 << fold)) <> 0 GROUP BY fold HAVING count(*) >= 20)",
+         "enough AS (SELECT fold FROM placed, attack WHERE split = 'train' AND (class_mask & (1 << fold)) <> 0 GROUP BY fold HAVING count(*) >= 200)",
          "spread AS (SELECT * FROM placed, enough WHERE split <> 'gap' AND CASE WHEN split = 'test' THEN y_bin = 0 OR y_cls = fold ELSE (class_mask & (1 << fold)) = 0 END)",
-         "ftr AS (SELECT * FROM spread WHERE split = 'train')", balance_sql("ftr", "btr", 1, 1000, "fold, split"), "fev AS (SELECT * FROM spread WHERE split <> 'train')", balance_sql("fev", "bev", 5, 300, "fold, split"),
+         "ftr AS (SELECT * FROM spread WHERE split = 'train')", balance_sql("ftr", "btr", 1, 14000, "fold, split"), "fev AS (SELECT * FROM spread WHERE split <> 'train')", balance_sql("fev", "bev", 5, 3000, "fold, split"),
          "folds AS (SELECT fold, split AS part, window_id, y_bin FROM btr UNION ALL SELECT fold, split, window_id, y_bin FROM bev)"]
 
 
@@ -284,8 +283,8 @@ def nn_class_discovery(spark, sf):
 
 
 NOVELTY = [SPLIT_GAP, PLACED, NOVEL, "masked AS (SELECT coalesce(sum(1 << code), 0) AS m FROM novel)", "clean AS (SELECT p.* FROM placed p, masked WHERE (class_mask & CAST(m AS BIGINT)) = 0)",
-           "n_train AS (SELECT * FROM clean WHERE split = 'train')", balance_sql("n_train", "nb_train", 1, 1000), "n_val AS (SELECT * FROM clean WHERE split = 'val')", balance_sql("n_val", "nb_val", 5, 300),
-           "n_test AS (SELECT p.*, n.code AS cls FROM placed p, novel n WHERE split = 'test' AND (y_bin = 0 OR y_cls = n.code))", balance_sql("n_test", "nb_test", 5, 300, "cls"),
+           "n_train AS (SELECT * FROM clean WHERE split = 'train')", balance_sql("n_train", "nb_train", 1, 14000), "n_val AS (SELECT * FROM clean WHERE split = 'val')", balance_sql("n_val", "nb_val", 5, 3000),
+           "n_test AS (SELECT p.*, n.code AS cls FROM placed p, novel n WHERE split = 'test' AND (y_bin = 0 OR y_cls = n.code))", balance_sql("n_test", "nb_test", 5, 3000, "cls"),
            "novelty AS (SELECT 'train' AS part, 0 AS cls, window_id, y_bin FROM nb_train UNION ALL SELECT 'val', 0, window_id, y_bin FROM nb_val UNION ALL SELECT 'test', cls, window_id, y_bin FROM nb_test)"]
 
 
@@ -329,37 +328,37 @@ def head_tail_train(spark, sf):
     return S.head_tail_train(placed(spark, sf))
 
 
-# Blocks of 20 minutes leave gaps, so capture days and purging have something to do.
-BLOCKS20 = """b20 AS (SELECT DISTINCT CAST(floor(epoch_us(ts) / 1000.0 / 1200000.0) AS BIGINT) AS block FROM events WHERE user_id % 40 = 0),
-days AS (SELECT block, CAST(sum(new) OVER (ORDER BY block) AS INTEGER) AS day FROM (SELECT block, CASE WHEN block - lag(block) OVER (ORDER BY block) >= 36 THEN 1 ELSE 0 END AS new FROM b20)),
+# Blocks of 10 seconds leave gaps between events, so capture days and purging have something to do.
+SHORT_BLOCKS = """blk AS (SELECT DISTINCT CAST(floor(epoch_us(ts) / 1000.0 / 10000.0) AS BIGINT) AS block FROM events),
+days AS (SELECT block, CAST(sum(new) OVER (ORDER BY block) AS INTEGER) AS day FROM (SELECT block, CASE WHEN block - lag(block) OVER (ORDER BY block) >= 36 THEN 1 ELSE 0 END AS new FROM blk)),
 shuffled AS (SELECT block, day, row_number() OVER (PARTITION BY day ORDER BY md5(block || ':17'), block) AS place, count(*) OVER (PARTITION BY day) AS n FROM days),
 daysplit AS (SELECT block, day, CASE WHEN place <= floor(0.6 * n + 0.5) THEN 'train' WHEN place <= floor(0.6 * n + 0.5) + floor(0.2 * n + 0.5) THEN 'val' ELSE 'test' END AS split FROM shuffled),
 p1 AS (SELECT d.*, split IN ('train', 'val') AND EXISTS (SELECT 1 FROM daysplit t WHERE t.day = d.day AND t.split = 'test' AND abs(t.block - d.block) = 1) AS by_test FROM daysplit d),
 purged AS (SELECT block, day, split, by_test OR (split = 'train' AND EXISTS (SELECT 1 FROM p1 v WHERE v.day = p1.day AND v.split = 'val' AND NOT v.by_test AND abs(v.block - p1.block) = 1)) AS purged FROM p1)"""
 
 
-def sparse_days(spark, sf):
+def short_blocks(spark, sf):
     from noveltybench.plans.base import millis, table
 
-    blocks = table(spark, sf, "events").where("user_id % 40 = 0").select(F.floor(millis("ts") / 1_200_000.0).alias("block")).distinct()
+    blocks = table(spark, sf, "events").select(F.floor(millis("ts") / 10_000.0).alias("block")).distinct()
     return S.capture_days(blocks)
 
 
-@query("WITH " + BLOCKS20 + " SELECT block, day FROM days")
+@query("WITH " + SHORT_BLOCKS + " SELECT block, day FROM days")
 def capture_days(spark, sf):
-    return sparse_days(spark, sf)
+    return short_blocks(spark, sf)
 
 
-@query("WITH " + BLOCKS20 + " SELECT block, day, split FROM daysplit")
+@query("WITH " + SHORT_BLOCKS + " SELECT block, day, split FROM daysplit")
 def split_per_day_shuffle(spark, sf):
-    return S.split_per_day_shuffle(sparse_days(spark, sf), SEED)
+    return S.split_per_day_shuffle(short_blocks(spark, sf), SEED)
 
 
 def purged(spark, sf):
-    return S.purge_adjacent_blocks(S.split_per_day_shuffle(sparse_days(spark, sf), SEED))
+    return S.purge_adjacent_blocks(S.split_per_day_shuffle(short_blocks(spark, sf), SEED))
 
 
-@query("WITH " + BLOCKS20 + " SELECT block, day, split, purged FROM purged")
+@query("WITH " + SHORT_BLOCKS + " SELECT block, day, split, purged FROM purged")
 def purge_adjacent_blocks(spark, sf):
     return purged(spark, sf)
 
@@ -401,14 +400,14 @@ def verify_row_disjoint(spark, sf):
 SETS_CHECK = """SELECT check_name, CAST(v AS BIGINT) AS violations, v = 0 AS ok FROM (
  SELECT 'no_window_twice' AS check_name, count(*) AS v FROM (SELECT set_name, window_id FROM sets GROUP BY ALL HAVING count(*) > 1)
  UNION ALL SELECT 'right_split', count(*) FROM sets s JOIN placed p USING (window_id) WHERE p.split <> replace(s.set_name, '_natural', '')
- UNION ALL SELECT 'below_cap', count(*) FROM (SELECT set_name FROM sets GROUP BY set_name HAVING count(*) > CASE set_name WHEN 'train' THEN 1000 WHEN 'test_natural' THEN 500 ELSE 300 END)
+ UNION ALL SELECT 'below_cap', count(*) FROM (SELECT set_name FROM sets GROUP BY set_name HAVING count(*) > CASE set_name WHEN 'train' THEN 14000 WHEN 'test_natural' THEN 20000 ELSE 3000 END)
  UNION ALL SELECT 'exact_ratio', count(*) FROM (SELECT set_name FROM sets WHERE set_name <> 'test_natural' GROUP BY set_name HAVING count(*) FILTER (y_bin = 0) <> count(*) FILTER (y_bin = 1) * CASE set_name WHEN 'train' THEN 1 ELSE 5 END))"""
 
 
 @query(windowed(SETS_CHECK, *SETS))
 def verify_sets(spark, sf):
     p = placed(spark, sf)
-    return V.sets(S.make_sets(p, SEED), p, {"train": 1000, "val": 300, "test": 300, "test_natural": 500}, {"train": 1, "val": 5, "test": 5})
+    return V.sets(S.make_sets(p, SEED), p, {"train": 14000, "val": 3000, "test": 3000, "test_natural": 20000}, {"train": 1, "val": 5, "test": 5})
 
 
 LOACO_CHECK = """SELECT check_name, CAST(v AS BIGINT) AS violations, v = 0 AS ok FROM (
@@ -434,7 +433,7 @@ def verify_natural_novelty(spark, sf):
     return V.natural_novelty(novelty(spark, sf), p, S.nn_class_discovery(p, classes(spark, sf, True)))
 
 
-@query("WITH " + BLOCKS20 + """ SELECT check_name, CAST(v AS BIGINT) AS violations, v = 0 AS ok FROM (
+@query("WITH " + SHORT_BLOCKS + """ SELECT check_name, CAST(v AS BIGINT) AS violations, v = 0 AS ok FROM (
  SELECT 'kept_beside_test' AS check_name, count(*) AS v FROM purged a JOIN purged b ON a.day = b.day AND b.split = 'test' AND a.block - b.block IN (-1, 1) WHERE NOT a.purged AND a.split <> 'test'
  UNION ALL SELECT 'train_beside_val', count(*) FROM purged a JOIN purged b ON a.day = b.day AND b.split = 'val' AND NOT b.purged AND a.block - b.block IN (-1, 1) WHERE NOT a.purged AND a.split = 'train')""")
 def verify_purge(spark, sf):
