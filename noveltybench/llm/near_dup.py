@@ -117,23 +117,22 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     spark = links.sparkSession
     edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = stored(edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    labels = stored(edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component"), F.lit(True).alias("moved")), "labels")
     for _ in range(most_rounds):
-        around = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        seen = labels.join(around, "node")
-        hooks = seen.groupBy("component").agg(F.min("near").alias("near")).where("near < component")
-        hooks = stored(hooks, "hooks")
-        if not hooks.take(1):
-            return labels
+        around = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        hooks = labels.join(around, "node").groupBy("component").agg(F.min("near").alias("near")).where("near < component")
         jumped = hooks.join(hooks.select(F.col("component").alias("near"), F.col("near").alias("far")), "near", "left").select("component", F.coalesce("far", "near").alias("low"))
-        labels = stored(labels.join(jumped, "component", "left").select("node", F.coalesce("low", "component").alias("component")), "labels")
+        labels = stored(labels.drop("moved").join(jumped, "component", "left").select("node", F.coalesce("low", "component").alias("component"), F.col("low").isNotNull().alias("moved")), "labels")
+        if not labels.where("moved").take(1):
+            return labels.drop("moved")
     raise RuntimeError(f"no end after {most_rounds} rounds on {spark.sparkContext.applicationId}")
 
 
-def _centres(members: DataFrame) -> DataFrame:
+def _centres(members: DataFrame, weights: DataFrame) -> DataFrame:
     """The heaviest class of each bucket (the smaller id at a tie)."""
     best = F.max(F.struct("weight", (-F.col("rep")).alias("low")))
-    return members.groupBy("key").agg(best.alias("best")).select("key", (-F.col("best.low")).alias("centre"))
+    weighed = members.select("key", "rep").join(weights.hint("merge"), "rep")
+    return weighed.groupBy("key").agg(best.alias("best")).select("key", (-F.col("best.low")).alias("centre"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -147,7 +146,7 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     rarest of the other; o is at least percent / 100 of either size.
     """
     tokens = sets.select("rep", "component", F.size("grams").alias("n"), F.explode("grams").alias("token"))
-    counted = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ordered = tokens.join(counted.hint("merge"), "token").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     most = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     placed = ordered.select("rep", "component", "n", F.posexplode(F.slice("tokens", F.lit(1), most)).alias("place", "found"))
@@ -173,13 +172,12 @@ def settled(members: DataFrame, sets: DataFrame, compared: DataFrame, links: Dat
     """Components of ``links`` and of all links inside the large buckets, whose centres are in ``compared``."""
     labels = components(links)
     placed = members.where(F.col("size") > SMALL).join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = stored(placed, "placed")
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     unsettled = stored(placed.join(apart.hint("merge"), "key", "left_semi").select("rep", "component").distinct(), "unsettled")
     if not unsettled.take(1):
         return labels
     prefixes = rarest(stored(sets.join(unsettled.hint("merge"), "rep"), "unsettled-sets"), percent)
-    pairs = stored(possible_pairs(prefixes, percent).join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    pairs = possible_pairs(prefixes, percent).join(compared.hint("merge"), ["a", "b"], "left_anti")
     more = stored(confirmed(pairs, sets, percent), "links")
     return components(links.union(more)) if more.take(1) else labels
 
@@ -187,7 +185,7 @@ def settled(members: DataFrame, sets: DataFrame, compared: DataFrame, links: Dat
 def of_one_document(real: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between the classes of texts that share an id."""
     ends = F.struct(*PRINT)
-    repeated = stored(real.groupBy("doc_id").agg(F.min(ends).alias("low"), F.max(ends).alias("high")).where("low <> high").select("doc_id"), "repeated")
+    repeated = real.groupBy("doc_id").agg(F.min(ends).alias("low"), F.max(ends).alias("high")).where("low <> high").select("doc_id")
     own = real.select("doc_id", *PRINT).join(repeated, "doc_id", "left_semi").distinct().join(classes.select(*PRINT, "rep"), PRINT).select("doc_id", "rep")
     first = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
     return own.join(first, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
@@ -206,11 +204,10 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BA
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(keys.join(shared, "key").distinct(), "members")
     weights = stored(members.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("weight")), "weights")
-    members = stored(members.join(weights.hint("merge"), "rep").select("key", "rep", "size", "weight"), "members")
     wanted = classes.join(weights.hint("merge"), "rep", "left_semi").select(F.col("low").alias("doc_id"), "text_hash", "rep")
     sets = stored(class_sets(docs, wanted, shingle, key, text), "sets")
 
-    centred = members.join(_centres(members), "key")
+    centred = members.join(_centres(members, weights).hint("merge"), "key")
     small = members.where(F.col("size") <= SMALL)
     pairs = centred.select(F.col("rep").alias("a"), F.col("centre").alias("b")).union(
         small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b")
@@ -219,7 +216,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BA
     links = stored(confirmed(pairs, sets, percent).union(of_one_document(real, classes)), "links")
     labels = settled(members, sets, pairs, links, percent)
 
-    lows = stored(labels.join(classes.select(F.col("rep").alias("node"), "low"), "node").groupBy("component").agg(F.min("low").alias("group_id")), "lows")
+    lows = labels.join(classes.select(F.col("rep").alias("node"), "low"), "node").groupBy("component").agg(F.min("low").alias("group_id"))
     grouped = labels.join(lows.hint("merge"), "component").select(F.col("node").alias("rep"), "group_id")
     found = classes.join(grouped.hint("merge"), "rep", "left").where("copies > 1 or group_id <> low").select(*PRINT, F.coalesce("group_id", "low").alias("group_id"))
     answered = signed.select("doc_id", *PRINT).join(found, PRINT, "left")
