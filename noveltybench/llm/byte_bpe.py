@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-The vocabulary file (JSON of the tokenizers library) is a parameter.  A text is
+The vocabulary file (JSON of the tokenizers library, the same vocabulary as the
+rank file of that name; tests compare the ids) is a parameter.  A text is
 cut before each whitespace run: no match of the split pattern spans such a cut
 and merges stay inside one match, so the ids of a text are those of its pieces,
 and a piece seen before needs no second encoding.  New pieces are encoded
@@ -97,12 +98,10 @@ class ByteBpe:
         cut: list[list[str] | None] = [None if not t or _LOOSE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         known = self.spaced
         new = {p for pieces in cut if pieces for p in pieces[1:] if p not in known}
-        if new:
-            more = self._learn(sorted(new))
-            if len(known) + len(more) <= CACHE_PIECES:
-                known.update(more)
-            else:
-                known = _Either(more, known)
+        if len(known) + len(new) > CACHE_PIECES:  # pieces of older texts make room
+            known.clear()
+            new = {p for pieces in cut if pieces for p in pieces[1:]}
+        known.update(self._learn(sorted(new)))
         out = []
         for text, pieces in zip(texts, cut, strict=True):
             if pieces:
@@ -123,17 +122,6 @@ class ByteBpe:
         return char_at[np.cumsum(lengths) - lengths].tolist()
 
 
-class _Either(dict):
-    """Lookup in a batch's own pieces, then in the remembered ones."""
-
-    def __init__(self, more: dict[str, bytes], known: dict[str, bytes]):
-        super().__init__(more)
-        self.known = known
-
-    def __missing__(self, key: str) -> bytes:
-        return self.known[key]
-
-
 def decode_stream(parts: Iterable[bytes]) -> str:
     """Text of byte pieces whose characters may be split between them; broken bytes become U+FFFD."""
     reader = codecs.getincrementaldecoder("utf-8")("replace")

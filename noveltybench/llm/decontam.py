@@ -3,9 +3,9 @@
 Words are runs of digits, lower-cased ASCII letters and non-ASCII bytes.  A
 window is ``n`` consecutive words of an item; an item of fewer words is one
 window.  The windows go to the workers as a hash set when their number is
-within ``MAX_BROADCAST``; beyond it texts are first screened against a bitmap of
-fixed size and the windows that remain are joined by hash.  Either way every
-hit is verified word by word.
+within ``MAX_BROADCAST``; beyond it texts are first screened against a bitmap,
+sixteen bits a window and 2**MOST_BITS at most, and the windows that remain are
+joined by hash.  Either way every hit is verified word by word.
 
 Defined cases: null or word-less texts and items have no windows and no hits;
 repeated rows are each answered; an empty benchmark hits nothing; windows of
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noveltybench.llm.storage import with_fields
+from noveltybench.llm.storage import unused, with_fields
 from noveltybench.llm.textops import ALNUM, LOWER, ngram_hashes, slices, text_buffer, word_hashes, word_spans
 
-#: Most benchmark windows that are broadcast (about 20 MB of words), and bits of the screening bitmap.
+#: Most benchmark windows that are broadcast (about 20 MB of words), and the exponents of the least and largest bitmap (32 MB).
 MAX_BROADCAST = 200_000
-BITMAP_BITS = 24
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 def _row_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, n: int) -> bytes:
@@ -79,18 +79,29 @@ class WindowSet:
         return at[known[where] == grams[at]]
 
 
+class WindowRows:
+    """Broadcast windows; the set is made once in a worker, not in each of its tasks."""
+
+    def __init__(self, rows: list[tuple[str, int, int, bytes]]):
+        self.rows, self.made = rows, None
+
+    def get(self) -> WindowSet:
+        if self.made is None:
+            self.made = WindowSet(self.rows)
+        return self.made
+
+
 class BitmapSet:
-    """The fixed-size bitmap's view of too many windows: places that may hit."""
+    """A bitmap's view of too many windows: places that may hit."""
 
-    def __init__(self, lengths: list[int], words: list[tuple[int, int]]):
-        self.lengths = lengths
-        self.bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-        for at, value in words:
-            self.bits[at] = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
+    def __init__(self, lengths: list[int], bits: int, at: np.ndarray, values: np.ndarray):
+        self.lengths, self.bits = lengths, bits
+        self.words = np.zeros(1 << (bits - 6), np.uint64)
+        self.words[at] = values.view(np.uint64)
 
     def find(self, grams: np.ndarray) -> np.ndarray:
-        place = grams >> np.uint64(64 - BITMAP_BITS)
-        return np.flatnonzero((self.bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+        place = grams >> np.uint64(64 - self.bits)
+        return np.flatnonzero((self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
 
 
 def _slices_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -158,10 +169,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, n)
     kept = docs.drop("n_words", "n_hit", "items", "clean_text")
-    count = windows.limit(max_broadcast + 1).count()
-    if count <= max_broadcast:
-        shared = spark.sparkContext.broadcast([tuple(r) for r in windows.collect()])
-        return _mark(kept, lambda: WindowSet(shared.value), None, text, remove)
+    found = windows.limit(max_broadcast + 1).collect()
+    if len(found) <= max_broadcast:
+        shared = spark.sparkContext.broadcast(WindowRows([tuple(r) for r in found]))
+        return _mark(kept, lambda: shared.value.get(), None, text, remove)
     return _mark_joined(kept, windows, text, remove)
 
 
@@ -200,14 +211,17 @@ def _mark(kept: DataFrame, make, hits: str | None, text: str, remove: bool) -> D
 def _mark_joined(kept: DataFrame, windows: DataFrame, text: str, remove: bool) -> DataFrame:
     """The same answers for any number of windows: bitmap screen, then an equi-join on hash, length and words."""
     spark = kept.sparkSession
-    place = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
-    bits = windows.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITMAP_BITS}) & 63 as int))")).alias("bits"))
+    size = min(max((16 * windows.count() - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    place = F.shiftrightunsigned("hash", 64 - size)
+    bits = windows.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - size}) & 63 as int))")).alias("bits"))
     lengths = [r[0] for r in windows.select("n").distinct().collect()]
-    shared = spark.sparkContext.broadcast((lengths, [tuple(r) for r in bits.collect()]))  # at most 2**18 words
-    keyed = kept.withColumn("__key", F.struct(F.xxhash64(F.col(text)), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    words = bits.toArrow()  # at most 2**(MOST_BITS - 6) words
+    shared = spark.sparkContext.broadcast(BitmapSet(lengths, size, words.column("at").to_numpy(), words.column("bits").to_numpy()))
+    own, hit = unused("key", kept.columns), unused("hits", kept.columns)
+    keyed = kept.withColumn(own, F.struct(F.xxhash64(F.col(text)), F.md5(F.coalesce(F.col(text), F.lit("")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        screen = BitmapSet(*shared.value)
+        screen = shared.value
         for batch in batches:
             for first, _, part, _, starts, ends, before in _slices_of(batch.column(1)):
                 hashes = word_hashes(part, starts, ends)
@@ -222,11 +236,11 @@ def _mark_joined(kept: DataFrame, windows: DataFrame, text: str, remove: bool) -
                         names=["key", "at", "n", "hash", "words"],
                     )
 
-    texts = keyed.select(F.to_json("__key").alias("key"), F.col(text).cast("string")).dropDuplicates(["key"])
+    texts = keyed.select(F.to_json(own).alias("key"), F.col(text).cast("string")).dropDuplicates(["key"])
     possible = texts.mapInArrow(run, "key string, at int, n int, hash long, words binary")
-    hits = possible.join(windows, ["hash", "n", "words"]).groupBy("key").agg(F.collect_list(F.struct("at", "n", "item")).alias("__hits"))
-    marked = keyed.withColumn("__key", F.to_json("__key")).join(hits.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
-    return _mark(marked, None, "__hits", text, remove)
+    hits = possible.join(windows, ["hash", "n", "words"]).groupBy("key").agg(F.collect_list(F.struct("at", "n", "item")).alias(hit))
+    marked = keyed.withColumn(own, F.to_json(own)).join(hits.withColumnRenamed("key", own), own, "left").drop(own)
+    return _mark(marked, None, hit, text, remove)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "document", text: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
+import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from noveltybench.llm import quality, toxicity
+from noveltybench.llm import labelled, quality, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -66,3 +68,70 @@ def test_long_texts_count_to_their_end(spark):
 def test_threshold_by_quantile(spark):
     scored = spark.createDataFrame([(i, i / 100) for i in range(100)], "doc_id long, score double")
     assert quality.above_quantile(scored, 0.9).count() in (10, 11)
+
+
+TEXTS = ["", "One WORD word  Word, and ÉÈ漢 done", "a a a b\x01\t\n B", "x" * 300, "toxic " * 50 + "end"]
+
+
+def plain_style(text):
+    """The style vector, byte by byte."""
+    raw = text.encode()
+    out = [0.0] * quality.N_FEATURES
+    for b in raw:
+        out[96 if b < 32 else 97 if b > 127 else b - 32] += 1
+    out[:98] = [math.sqrt(c / max(len(raw), 1)) for c in out[:98]]
+    words = [w for w in __import__("re").split(rb"[ \t\n\x0b\x0c\r]+", raw) if w]
+    low = [w.lower() for w in words]
+    n = max(len(words), 1)
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / n
+    out[98], out[99] = math.log1p(len(raw)) / 10, math.log1p(len(words)) / 10
+    out[100], out[101] = mean / 10, math.sqrt(max(sum(x * x for x in sizes) / n - mean * mean, 0)) / 10
+    out[102], out[103] = sum(a == b for a, b in zip(low, low[1:], strict=False)) / n, len(set(low)) / n
+    out[104], out[105] = sum(sum(65 <= b <= 90 for b in w) > 2 for w in words) / n, float(not raw)
+    return out
+
+
+def test_style_equals_byte_by_byte():
+    ((_, _, x),) = quality.style(pa.array(TEXTS))
+    assert np.allclose(x, [plain_style(t) for t in TEXTS])
+
+
+def test_quality_rows_equal_the_model(spark):
+    """Scores of the query are the fitted curve over the plain style vectors; predictions cut them at 0.3."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit(docs, labels.where(quality.fold("doc_id") != 0))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in quality.digest(docs, labels).collect():
+        z = np.clip((np.array(plain_style(texts[r["doc_id"]])) - model.mean) / model.scale, -8, 8)
+        want = 1 / (1 + math.exp(-max(-40, min(40, model.slope * float(z @ model.weights) + model.offset))))
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_toxicity_features_and_scores_equal_plain_ones():
+    """A text's features are those of its five-byte runs and its words; a score is the logistic sum of their weights."""
+    ((_, _, rows, found),) = toxicity.presence(pa.array(TEXTS))
+    for row, text in enumerate(TEXTS):
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        grams = {int(toxicity._gram_hashes(np.frombuffer(low[i : i + 5], np.uint8))[0]) for i in range(len(low) - 4)}
+        words = set()
+        for w in (w for w in __import__("re").split(rb"[ \t\n\x0b\x0c\r]+", low) if w):
+            h = toxicity.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
+            words.add(int(toxicity.mix(h)[0] >> np.uint64(64 - toxicity.BITS)))
+        assert set(found[rows == row].tolist()) == grams | words
+    kept = np.unique(found)
+    weights = np.random.default_rng(1).normal(size=len(kept))
+    ((_, _, got),) = toxicity.Classifier(kept, weights, -0.5).scores(pa.array(TEXTS))
+    for row, s in enumerate(got.tolist()):
+        f = -0.5 + sum(weights[np.searchsorted(kept, k)] for k in found[rows == row])
+        assert math.isclose(s, 1 / (1 + math.exp(-max(-40, min(40, f)))))
+
+
+def test_few_rows_are_all_drawn(spark):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(300)] + [(None, 1), (7, None)], "k long, label int")
+    got = labelled.spread_ids(rows, "k", "label", 100, 5)
+    assert sorted(got) == sorted((i % 3, i) for i in range(300))
+    some = labelled.spread_ids(rows, "k", "label", 20, 5)
+    assert [sum(x == label for x, _ in some) for label in range(3)] == [20, 20, 20] and set(some) <= set(got)
+    same = spark.createDataFrame([(1,)] * 50 + [(2,)], "k long")
+    assert len(labelled.spread_ids(same, "k", None, 10, 5)) == 10

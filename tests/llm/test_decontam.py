@@ -74,3 +74,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert decontam.decontaminate(odd_docs, items).columns == odd_docs.columns
     assert decontam.digest(no_docs, items).collect() == []
     assert not any(r["contaminated"] for r in decontam.digest(odd_docs, items.where("false")).collect())
+
+
+def test_spans_and_names_in_the_second_way(spark):
+    """Beyond the broadcast bound the same spans go, and columns named like internal ones pass through."""
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, f"Before it. {passage.upper()}, after it.", 7, "x"), (2, "clean text stays as it is", 8, "y"), (1, f"Before it. {passage.upper()}, after it.", 7, "x"), (3, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, __key long, __hits string")
+    b = spark.createDataFrame([(5, passage), (6, "clean text")], "item_id long, text string")
+    for most in (decontam.MAX_BROADCAST, 0):
+        got = sorted(((r["doc_id"], r["n_hit"], r["clean_text"], r["__key"], r["__hits"]) for r in decontam.mark(d, b, remove=True, max_broadcast=most).collect()), key=str)
+        assert got == [(1, 11, "Before it. , after it.", 7, "x")] * 2 + [(2, 2, " stays as it is", 8, "y"), (3, 0, None, None, None)]

@@ -1,4 +1,6 @@
+import hashlib
 import os
+import zlib
 
 import pytest
 
@@ -48,6 +50,15 @@ def test_rows(odd_docs, no_docs):
     texts = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
     assert len(got) == odd_docs.count() and all(r["n_bytes"] == len((texts[r["doc_id"]] or "").encode()) for r in got)
     assert ogg.digest(no_docs).collect() == []
+    features = {}
+    for r in got:
+        text = (texts[r["doc_id"]] or "").encode()
+        payload = text + b"\xff" * (max(1, -(-len(text) // 576)) * 576 - len(text))
+        media = ogg.write(payload)
+        want = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == want
+        assert features.setdefault(text, r["feature"]) == r["feature"]
+    assert len(set(features.values())) > 3
     stored = ogg.store(odd_docs)
     n = ogg.packets(stored).groupBy("doc_id").count().collect()
     assert all(r["count"] == max(1, -(-len((texts[r["doc_id"]] or "").encode()) // 576)) for r in n if r["doc_id"] != 1)
