@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TREE_ROWS, TREES, NEIGHBOUR = 256, 50, 10
+TREE_ROWS, TREES, NEIGHBOUR = 256, 200, 10
 #: Reference rows and probes of a block of the kNN search, and tasks that share one reference block.
 BLOCK_ROWS, PROBE_ROWS, SALTS = 2_048, 512, 8
 
@@ -106,23 +106,11 @@ def pca_reconstruction(vectors: DataFrame, reference: DataFrame, explained: floa
     return scored(vectors, lambda x: (((x - mean) - (x - mean) @ top @ top.T) ** 2).mean(axis=1))
 
 
-def spread(reference: DataFrame, key: str, bins: int, seed: int, column: str = "x") -> DataFrame:
-    """(bin, x) of at most ``bins`` vectors: the first by hash in each hash bin."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    return reference.groupBy(F.pmod(h, F.lit(bins)).alias("bin")).agg(F.min_by(column, F.struct(h, F.col(key))).alias("x"))
-
-
-def spread_rows(reference: DataFrame, key: str, bins: int, seed: int, column: str = "x") -> np.ndarray:
-    """The vectors of ``spread``, by bin."""
-    return np.array([r["x"] for r in spread(reference, key, bins, seed, column).orderBy("bin").collect()], dtype=np.float64)
-
-
-def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR, bins: int | None = None) -> DataFrame:
+def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR) -> DataFrame:
     """Distance to the k-th neighbour (the farthest of fewer) in the whole L2-normalised reference.
 
     Reference and probes are dealt by hash into blocks; each pair of blocks meets in
     one row and gives every probe its k nearest of that block, merged by probe.
-    Only where ``bins`` is given the reference is a sample of so many rows at most.
     """
 
     def unit(x: np.ndarray) -> np.ndarray:
@@ -132,8 +120,6 @@ def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR,
         return rows.withColumn(name, F.pmod(F.xxhash64("x", F.lit(41)), F.lit(blocks)))
 
     x = F.col("x").cast("array<double>").alias("x")
-    if bins:
-        reference = spread(reference, key, bins, 41)
     blocks = max(1, -(-reference.count() // BLOCK_ROWS))
     # Rows of one vector are a block's rows several times over: they are counted, k of them at most matter.
     known = reference.select(x).groupBy("x").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
@@ -191,21 +177,23 @@ def _depths(tree: tuple, x: np.ndarray, rows: np.ndarray, depth: int, out: np.nd
 
 
 def isolation_forest(vectors: DataFrame, reference: DataFrame, key: str, trees: int = TREES, rows: int = TREE_ROWS) -> DataFrame:
-    """2 ** -(mean path / expected path); each tree is grown by a task from its own hash sample."""
-    spark = vectors.sparkSession
-    spread = reference.crossJoin(F.broadcast(spark.range(trees).withColumnRenamed("id", "tree")))
-    h = F.xxhash64(F.col(key), F.col("tree"))
-    sample = spread.groupBy("tree", F.pmod(h, F.lit(rows)).alias("bin")).agg(F.min_by("x", F.struct(h, F.col(key))).alias("x"))
+    """2 ** -(mean path / expected path); each tree is grown by a task from the ``rows`` rows of smallest hash under its number."""
+    # The trees a row may be in are found from its key alone; only rows drawn carry their vectors on.
+    n, spare = reference.count(), 2
+    limit = 2**63 - 1 if n <= spare * rows else int(2**63 * (spare * rows / n))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.col(key), t), 1).alias("h")))
+    sample = reference.select("x", F.explode(F.filter(draws, lambda d: d["h"] <= limit)).alias("d")).select(F.col("d.tree").alias("tree"), F.col("d.h").alias("h"), "x")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         import pickle
 
-        x = np.array(pdf.sort_values("bin")["x"].tolist(), dtype=np.float64)
+        x = np.array(pdf.sort_values("h")["x"].tolist()[:rows], dtype=np.float64)
         tree = _tree(x, np.random.default_rng(int(pdf["tree"].iloc[0])), int(np.ceil(np.log2(max(len(x), 2)))))
         return pd.DataFrame({"n": [len(x)], "tree": [pickle.dumps(tree)]})
 
     import pickle
 
+    spark = vectors.sparkSession
     grown = [(r["n"], pickle.loads(r["tree"])) for r in sample.groupBy("tree").applyInPandas(grow, "n long, tree binary").collect()]
     forest = spark.sparkContext.broadcast(grown)
 

@@ -235,14 +235,17 @@ def det_mahalanobis(spark, sf):
     return D.mahalanobis(probes(spark, sf), benign(spark, sf))
 
 
-@query()
+UNIT = "unit AS (SELECT vec_id, y, list_transform(x, lambda e: e / norm) AS u FROM (SELECT *, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS norm FROM vec))"
+
+
+@query(with_sql("SELECT p.vec_id, round(list_sort(list(list_distance(p.u, b.u)))[10], 6) AS score FROM unit p, unit b WHERE b.y = 0 GROUP BY p.vec_id", VEC, UNIT))
 def det_knn(spark, sf):
-    return D.knn(probes(spark, sf), benign(spark, sf), "vec_id")
+    return D.knn(probes(spark, sf), benign(spark, sf), "vec_id").withColumn("score", F.round("score", 6))
 
 
 @query()
 def det_pca_recon(spark, sf):
-    return D.pca_reconstruction(probes(spark, sf), benign(spark, sf), 0.9)
+    return D.pca_reconstruction(probes(spark, sf), benign(spark, sf))
 
 
 @query()
@@ -265,7 +268,7 @@ def whitener(spark, sf):
 def score_grid(spark, sf):
     """(detector, vec_id, score) of the reference-based detectors."""
     p, b = probes(spark, sf), benign(spark, sf)
-    made = {"mahalanobis": D.mahalanobis(p, b), "knn": D.knn(p, b, "vec_id"), "pca": D.pca_reconstruction(p, b, 0.9), "forest": D.isolation_forest(p, b, "vec_id")}
+    made = {"mahalanobis": D.mahalanobis(p, b), "knn": D.knn(p, b, "vec_id"), "pca": D.pca_reconstruction(p, b), "forest": D.isolation_forest(p, b, "vec_id")}
     parts = [df.select(F.lit(n).alias("detector"), "vec_id", "score") for n, df in made.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 

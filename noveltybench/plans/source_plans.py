@@ -26,8 +26,14 @@ def scan_csv_typed(spark, sf):
 
 @query('SELECT count(*) AS "rows" FROM orders')
 def scan_row_count_guard(spark, sf):
-    o = table(spark, sf, "orders")
-    return T.guarded_count(o, o.count())
+    """Orders written in two parts and read as one table, against the count recorded when they were written."""
+    path, orders = T.shared_path(spark, "guarded"), table(spark, sf, "orders")
+    recorded = 0
+    for odd in (0, 1):
+        part = orders.where(F.col("o_orderkey") % 2 == odd)
+        part.write.parquet(f"{path}/part={odd}")
+        recorded += part.count()
+    return T.guarded_count(spark.read.parquet(path), recorded)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")
@@ -104,15 +110,26 @@ def sink_results_json(spark, sf):
     return spark.read.schema("cls int, detector string, auc double, run long").json(path).groupBy(F.col("run").alias("seed")).agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query()
+FILES = [("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS \"rows\", (SELECT string_agg(column_name, ',') FROM (DESCRIBE {t})) AS columns FROM {t}" for t, _ in FILES))
 def content_manifest(spark, sf):
-    return T.content_manifest(spark, sf)
+    """Rows and columns of the tables kept as one file each; digests are compared in ``manifest_immutability``."""
+    return T.content_manifest(spark, sf).where(F.col("name").isin([f"{t}.parquet" for t, _ in FILES])).select("name", "rows", "columns")
 
 
-@query()
+@query("SELECT 'manifest' AS check_name, CAST(3 AS BIGINT) AS violations, FALSE AS ok FROM (SELECT count(*) FROM supplier)")
 def manifest_immutability(spark, sf):
-    now = T.content_manifest(spark, sf)
-    return V.check(T.manifest_changes(now, T.content_manifest(spark, sf)), "manifest")
+    """Suppliers by nation, one file each, against the manifest written before one file changed, one went and one came."""
+    path = T.shared_path(spark, "registered")
+    suppliers = table(spark, sf, "supplier")
+    for name, kept in (("a", "s_suppkey % 3 = 0"), ("b", "s_suppkey % 3 = 1"), ("c", "s_suppkey % 3 = 2")):
+        suppliers.where(kept).coalesce(1).write.parquet(f"{path}/{name}")
+    T.content_manifest(spark, path).write.parquet(f"{path}-manifest")
+    suppliers.where("s_suppkey % 3 = 1 and s_suppkey > 1").coalesce(1).write.mode("overwrite").parquet(f"{path}/b")
+    suppliers.where("s_suppkey % 3 = 2").withColumn("s_acctbal", F.col("s_acctbal") + 1).coalesce(1).write.parquet(f"{path}/d")
+    return V.check(T.manifest_changes(spark.read.parquet(f"{path}-manifest"), T.content_manifest(spark, path)), "manifest")
 
 
 @query(windowed("SELECT grp, rn, CAST(row_number() OVER (PARTITION BY grp ORDER BY rn) - 1 AS BIGINT) AS compact FROM (SELECT DISTINCT e.grp, e.rn FROM exploded e JOIN labels l ON l.grp = e.grp AND l.k = e.k WHERE l.n_attack >= 3)"))

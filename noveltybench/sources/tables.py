@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from functools import reduce
@@ -16,9 +18,22 @@ from noveltybench.operators.windows import materialize_windows
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder all executors see (spark.checkpoint.dir; a temporary one only where it is unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/noveltybench-{what}-{uuid.uuid4().hex}"
+    """A fresh path in the folder all executors see (spark.checkpoint.dir), removed when the application ends.
+
+    A temporary folder serves only where the setting is unset and Spark runs in one process (tests).
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/noveltybench-{what}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the gateway may be gone already
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(drop)
+    return path
 
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str, trim: list[str] | None = None) -> DataFrame:
@@ -90,14 +105,33 @@ def archive_report(spark: SparkSession, path: str, features: list[str]) -> DataF
 
 
 def content_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """(name, size, sha256, sha1) of each file; meant for files below 2 GB."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.sha1("content").alias("sha1"))
+    """(name, rows, columns, digest) of each Parquet file below ``path``, of any size.
+
+    The digest is the sum of the hashes of a file's rows, whatever their order; it is summed in part by the tasks that
+    read the file's row groups, so no task holds a file.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+    parts = None
+    for folder in sorted({_table_of(r["path"], path) for r in listed.collect()}):  # one entry a table
+        rows = spark.read.option("recursiveFileLookup", True).parquet(folder)
+        row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}), 256)
+        digests = [F.sum(F.conv(F.substring(row, 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")).cast("string") for k in (0, 1)]
+        hashed = rows.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *digests).alias("digest"))
+        part = hashed.select("name", "rows", F.lit(",".join(rows.columns)).alias("columns"), "digest")
+        parts = part if parts is None else parts.unionByName(part)
+    return spark.createDataFrame([], "name string, rows long, columns string, digest string") if parts is None else parts
+
+
+def _table_of(file: str, path: str) -> str:
+    """The table a file belongs to: the file itself, or the folder below ``path`` that holds it."""
+    inside = file.split(path.split("://")[-1].rstrip("/") + "/", 1)[1]
+    return f"{path.rstrip('/')}/{inside.split('/', 1)[0]}"
 
 
 def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(name, change) of registered files whose hash or size changed or that are gone."""
-    b = new.select("name", F.col("sha256").alias("__sha"), F.col("size").alias("__size"))
-    both = old.join(b, "name", "left")
-    change = F.when(F.col("__sha").isNull(), "gone").when(F.col("__size") != F.col("size"), "size").when(F.col("__sha") != F.col("sha256"), "hash")
+    """(name, change) of files whose rows, columns or digest differ from the manifest's, that are gone or that are new."""
+    a = old.select("name", F.struct("rows", "columns", "digest").alias("__a"))
+    both = a.join(new.select("name", F.struct("rows", "columns", "digest").alias("__b")), "name", "full_outer")
+    differs = [F.when(F.col(f"__a.{c}") != F.col(f"__b.{c}"), c) for c in ("columns", "rows", "digest")]
+    change = F.when(F.col("__b").isNull(), "gone").when(F.col("__a").isNull(), "new").otherwise(F.coalesce(*differs))
     return both.select("name", change.alias("change")).where("change is not null")

@@ -137,6 +137,36 @@ def test_ecusum_forms(spark):
     assert panel.ecusum_no_reset(df, 3.0).first()["first_alarm"] == first
 
 
+def scores_of(df):
+    return [r["score"] for r in df.orderBy("vec_id").collect()]
+
+
+def reconstructed(x, explained):
+    c = x - x.mean(axis=0)
+    _, sizes, basis = np.linalg.svd(c, full_matrices=False)
+    k = int(np.searchsorted(np.cumsum(sizes**2) / (sizes**2).sum(), explained)) + 1
+    return ((c - c @ basis[:k].T @ basis[:k]) ** 2).mean(axis=1)
+
+
+def test_forest_samples_are_whole_and_bounded(spark):
+    """A reference below the bound is used whole by every tree; a larger one by as many rows as asked."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>")
+    far = spark.createDataFrame([(-1, [9.0, 9.0, 9.0])], "vec_id long, x array<double>")
+    for part in (df.where("vec_id < 40"), df):
+        got = {r["vec_id"]: r["score"] for r in detectors.isolation_forest(far.unionByName(part), part, "vec_id", trees=30, rows=64).collect()}
+        assert got[-1] == max(got.values()) and got[-1] > 0.6 and np.median(list(got.values())) < 0.55
+
+
+def test_boosted_trees_learn_a_rule(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 3))
+    df = spark.createDataFrame([(i, v.tolist(), int(v[0] > 0)) for i, v in enumerate(x)], "vec_id long, x array<double>, y int")
+    got = scores_of(detectors.boosted_trees(df.where("vec_id < 200").select("x", "y"), df.where("vec_id >= 200").select("vec_id", "x")))
+    assert np.mean((np.array(got) > 0.5) == (x[200:, 0] > 0)) > 0.95
+
+
 def test_detectors_equal_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5))
@@ -150,12 +180,11 @@ def test_detectors_equal_numpy(spark):
     p = np.linalg.inv((1 - shrink) * s + shrink * mu * np.eye(5))
     got = {r["vec_id"]: r["score"] for r in detectors.mahalanobis(df, df).collect()}
     assert np.allclose([got[i] for i in range(300)], np.sqrt(np.einsum("ni,ij,nj->n", x - mean, p, x - mean)))
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    sample = detectors.spread_rows(df, "vec_id", 64, 41)
-    su = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    want = np.sort(np.linalg.norm(u[:, None] - su[None], axis=2), axis=1)[:, 9]
-    got = {r["vec_id"]: r["score"] for r in detectors.knn(df, df, "vec_id", bins=64).collect()}
-    assert np.allclose([got[i] for i in range(300)], want, atol=1e-6)
+    assert np.allclose(scores_of(detectors.pca_reconstruction(df, df, 0.9)), reconstructed(x, 0.9))
+    shrunk = 0.9 * s + 0.1 * mu * np.eye(5)
+    values, basis = np.linalg.eigh(shrunk)
+    white = basis @ np.diag(values**-0.5) @ basis.T
+    assert np.allclose(scores_of(detectors.whitened_norm(df, df)), np.linalg.norm((x - mean) @ white, axis=1))
     far = spark.createDataFrame([(1000, [50.0] * 5)], "vec_id long, x array<double>").unionByName(df)
     forest = {r["vec_id"]: r["score"] for r in detectors.isolation_forest(far, df, "vec_id", trees=20, rows=64).collect()}
     assert forest[1000] == max(forest.values())
@@ -171,7 +200,15 @@ def test_archive_is_closed(spark, tmp_path):
 
 
 def test_changed_files_are_found(spark, tmp_path):
-    (tmp_path / "x.parquet").write_bytes(b"one")
+    def write(name, values):
+        spark.createDataFrame([(v,) for v in values], "v long").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / name))
+        return next(p.name for p in (tmp_path / name).iterdir() if p.name.startswith("part-"))
+
+    same, gone = write("a", [1, 2]), write("b", [3])
     old = spark.createDataFrame(tables.content_manifest(spark, str(tmp_path)).collect())
-    (tmp_path / "x.parquet").write_bytes(b"two")
-    assert [r["change"] for r in tables.manifest_changes(old, tables.content_manifest(spark, str(tmp_path))).collect()] == ["hash"]
+    assert {(r["name"], r["rows"], r["columns"]) for r in old.collect()} == {(same, 2, "v"), (gone, 1, "v")}
+    new = write("b", [4])
+    found = {r["name"]: r["change"] for r in tables.manifest_changes(old, tables.content_manifest(spark, str(tmp_path))).collect()}
+    assert found == {gone: "gone", new: "new"}
+    edited = old.withColumn("digest", old["name"])
+    assert {r["change"] for r in tables.manifest_changes(edited, old).collect()} == {"digest"}
