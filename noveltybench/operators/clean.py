@@ -13,14 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noveltybench.operators.audit import finite
+from noveltybench.operators.ranks import quantile
 
 EPSILON = 1e-12
 
 
 def fit(train: DataFrame, columns: list[str], heavy: list[str]) -> DataFrame:
     """(place, feature, median, log1p, mean, std, dropped) of each numeric feature."""
-    medians = train.agg(*[F.coalesce(F.percentile(finite(c), 0.5), F.lit(0.0)).alias(f"__m_{c}") for c in columns], *[F.min(finite(c)).alias(f"__lo_{c}") for c in columns])
-    joined = train.crossJoin(F.broadcast(medians))
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), finite(c).cast("double").alias("value")) for c in columns])).alias("cell")).select("cell.*")
+    middle = quantile(long, ["feature"], "value", 0.5, "median")
+    medians = middle.agg(*[F.coalesce(F.max(F.when(F.col("feature") == c, F.col("median"))), F.lit(0.0)).alias(f"__m_{c}") for c in columns])
+    lowest = train.agg(*[F.min(finite(c)).alias(f"__lo_{c}") for c in columns])
+    joined = train.crossJoin(F.broadcast(medians)).crossJoin(F.broadcast(lowest))
 
     def log_flag(c: str) -> Column:
         lowest = F.least(F.coalesce(F.col(f"__lo_{c}"), F.col(f"__m_{c}")), F.col(f"__m_{c}"))

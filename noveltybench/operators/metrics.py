@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noveltybench.functions.sampling import md5_draw
-from noveltybench.operators.ranks import BUCKETS, midranks, normal_cdf, running
+from noveltybench.operators.ranks import BUCKETS, midranks, normal_cdf, quantile, running
 
 #: Two-sided 95 % points of the t distribution by degrees of freedom (fixed values).
 T_975 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262}
@@ -57,7 +57,7 @@ def d_prime(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def threshold_at_fpr(scores: DataFrame, keys: list[str], fpr: float) -> DataFrame:
     """The (1 - fpr) quantile of benign scores, interpolated."""
-    return scores.where("y = 0").groupBy(*keys).agg(F.percentile("score", 1 - fpr).alias("threshold"))
+    return quantile(scores.where("y = 0"), keys, "score", 1 - fpr, "threshold")
 
 
 def confusion(scores: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:

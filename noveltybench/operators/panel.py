@@ -6,11 +6,14 @@ partitioned by neither.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from noveltybench.functions.sampling import md5_draw, md5_unit
-from noveltybench.operators.ranks import normal_cdf, normal_quantile, running
+from noveltybench.operators.ranks import normal_cdf, normal_quantile, quantile, running
 
 
 def by_entity() -> WindowSpec:
@@ -30,8 +33,8 @@ def dense_panel(rows: DataFrame) -> DataFrame:
 
 def median_residual(panel: DataFrame, column: str = "s") -> DataFrame:
     """``panel`` with ``residual``: the value less its cross-sectional median."""
-    median = panel.groupBy("t").agg(F.percentile(column, 0.5).alias("__m"))
-    return panel.join(F.broadcast(median), "t").withColumn("residual", F.col(column) - F.col("__m")).drop("__m")
+    median = quantile(panel, ["t"], column, 0.5, "__m")
+    return panel.join(median, "t").withColumn("residual", F.col(column) - F.col("__m")).drop("__m")
 
 
 def unit(*keys: str) -> Column:
@@ -70,9 +73,18 @@ def p_lagged(series: DataFrame, column: str, length: int, gap: int, stride: int)
 
 def p_full_past(series: DataFrame, column: str, warm: int) -> DataFrame:
     """(entity, t, p): smoothed rank among all values so far, itself included; masked during warm-up."""
-    held = series.withColumn("__past", F.collect_list(column).over(so_far())).where(F.size("__past") > warm)
-    greater, equal = F.size(F.filter("__past", lambda x: x > F.col(column))), F.size(F.filter("__past", lambda x: x == F.col(column)))
-    return held.select("entity", "t", ((greater + unit("entity", "t") * equal) / F.size("__past")).alias("p"))
+    kind = series.schema["entity"].dataType.simpleString()
+    rows = series.select("entity", "t", F.col(column).cast("double").alias("x"), unit("entity", "t").alias("u"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, past, p = pdf.sort_values("t"), [], []
+        for x, u in zip(pdf["x"], pdf["u"], strict=True):
+            insort(past, x)  # kept in order, so a rank costs a search and not a pass
+            low, high = bisect_left(past, x), bisect_right(past, x)
+            p.append((len(past) - high + u * (high - low)) / len(past))
+        return pd.DataFrame({"entity": pdf["entity"], "t": pdf["t"], "p": p}).iloc[warm:]
+
+    return rows.groupBy("entity").applyInPandas(fold, f"entity {kind}, t int, p double")
 
 
 def power_e(p: Column, kappa: float, cap: float) -> Column:
@@ -133,7 +145,7 @@ def uniformity_gap(p: DataFrame, keys: list[str]) -> DataFrame:
 
 def exceedances(panel: DataFrame, column: str, q: float) -> DataFrame:
     """``panel`` with b: 1 where the value exceeds the entity's own (1 - q) quantile."""
-    cut = panel.groupBy("entity").agg(F.percentile(column, 1 - q).alias("__cut"))
+    cut = quantile(panel, ["entity"], column, 1 - q, "__cut", 1)
     return panel.join(cut, "entity").withColumn("b", (F.col(column) > F.col("__cut")).cast("int")).drop("__cut")
 
 

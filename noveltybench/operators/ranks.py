@@ -38,6 +38,25 @@ def midranks(rows: DataFrame, keys: list[str], value: str, out: str = "midrank",
     return rows.join(ranked, [*keys, value])
 
 
+def quantile(rows: DataFrame, keys: list[str], value: str, q: float, out: str, buckets: int = BUCKETS) -> DataFrame:
+    """(keys, out): the exact quantile of the values within the keys, interpolated; nulls don't count.
+
+    Values are counted, not gathered: no task holds all distinct values of a key.
+    """
+    levels = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    total = levels.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+    below = running(levels, keys, "__v", ["__n"], buckets)
+    placed = below.join(total, keys) if keys else below.crossJoin(F.broadcast(total))
+    at = F.lit(q) * (F.col("__all") - 1)
+
+    def holds(place: Column) -> Column:
+        return (F.col("__n_before") <= place) & (place < F.col("__n_before") + F.col("__n"))
+
+    low, high = F.max(F.when(holds(F.floor(at)), F.col("__v"))), F.max(F.when(holds(F.ceil(at)), F.col("__v")))
+    ends = placed.groupBy(*keys).agg(low.alias("__low"), high.alias("__high"), F.max(at - F.floor(at)).alias("__share"))
+    return ends.select(*keys, (F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__share")).alias(out))
+
+
 def normal_cdf(x: Column) -> Column:
     """Standard normal distribution function, by the complementary error function's rational form (error below 1.2e-7)."""
     z = F.abs(x) / F.sqrt(F.lit(2.0))

@@ -51,9 +51,17 @@ def class_codes(flows: DataFrame, cls: str = "cls") -> DataFrame:
     return flows.join(class_table(flows, cls), cls)
 
 
-def numbered(flows: DataFrame, time: str = "t_ms", row_id: str = "row_id") -> DataFrame:
-    """``flows`` with ``rn``, the place of a flow in its block from 0."""
-    return flows.withColumn("rn", (F.row_number().over(Window.partitionBy("grp").orderBy(time, row_id)) - 1).cast("long"))
+def numbered(flows: DataFrame, time: str = "t_ms", row_id: str = "row_id", slice_ms: float = 225_000.0) -> DataFrame:
+    """``flows`` with ``rn``, the place of a flow in its block from 0.
+
+    Slices of a block are put in order by tasks of their own; counts of the slices before carry over.
+    """
+    sliced = flows.withColumn("__slice", F.floor(F.col(time) / F.lit(slice_ms)))
+    counts = sliced.groupBy("grp", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("grp").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("grp", "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("grp", "__slice").orderBy(time, row_id)) - 1
+    return sliced.withColumn("__inside", inside).join(before, ["grp", "__slice"]).withColumn("rn", (F.col("__inside") + F.col("__before")).cast("long")).select(*flows.columns, "rn")
 
 
 def count_windows(flows: DataFrame, size: int, stride: int) -> DataFrame:
@@ -138,9 +146,11 @@ def dedupe_windows(windows: DataFrame, order: list[str] | None = None) -> DataFr
 
 def dedupe_label_conflicts(windows: DataFrame) -> DataFrame:
     """One row: neighbouring copies, in order of start, with different binary labels."""
-    w = Window.partitionBy("sha").orderBy("grp", "k")
-    changed = windows.withColumn("__before", F.lag("y_bin").over(w)).where(F.col("__before") != F.col("y_bin"))
-    return changed.agg(F.count(F.lit(1)).alias("conflicts"))
+    inside = F.lag("y_bin").over(Window.partitionBy("sha", "grp").orderBy("k"))
+    # Copies inside a block are compared there; only the first and last label of each block meet those of other blocks.
+    blocks = windows.withColumn("__changed", (inside != F.col("y_bin")).cast("long")).groupBy("sha", "grp").agg(F.coalesce(F.sum("__changed"), F.lit(0)).alias("inside"), F.min_by("y_bin", "k").alias("first"), F.max_by("y_bin", "k").alias("last"))
+    before = F.lag("last").over(Window.partitionBy("sha").orderBy("grp"))
+    return blocks.withColumn("across", F.coalesce((before != F.col("first")).cast("long"), F.lit(0))).agg(F.coalesce(F.sum(F.col("inside") + F.col("across")), F.lit(0)).alias("conflicts"))
 
 
 def family_table(classes: DataFrame, families: dict[str, list[str]]) -> DataFrame:
