@@ -21,11 +21,25 @@ def levels(scores: DataFrame, keys: list[str], weight: Column | None = None) ->
     return below.join(totals, keys) if keys else below.crossJoin(F.broadcast(totals))
 
 
+def _area() -> Column:
+    n = F.max("all_pos") * F.max("all_neg")
+    return F.when(n > 0, F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / n)
+
+
+def _precision() -> Column:
+    tp, fp = F.col("all_pos") - F.col("pos_before"), F.col("all_neg") - F.col("neg_before")
+    return F.sum(F.when(F.col("all_pos") > 0, F.col("pos") / F.col("all_pos") * tp / (tp + fp)).otherwise(0.0))
+
+
+def _rate(target: float) -> Column:
+    fpr = (F.col("all_neg") - F.col("neg_before")) / F.col("all_neg")
+    tpr = (F.col("all_pos") - F.col("pos_before")) / F.col("all_pos")
+    return F.max(F.when(fpr <= target, tpr).otherwise(0.0))
+
+
 def auc_of(leveled: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the ROC curve, ties counted half; null where a class is missing."""
-    area = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
-    n = F.max("all_pos") * F.max("all_neg")
-    return leveled.groupBy(*keys).agg(F.when(n > 0, area / n).alias("auc"))
+    return leveled.groupBy(*keys).agg(_area().alias("auc"))
 
 
 def auc(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,18 +48,17 @@ def auc(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def pr_auc(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Average precision over distinct thresholds; 0 without positives, 1 without negatives."""
-    at = levels(scores, keys)
-    tp, fp = F.col("all_pos") - F.col("pos_before"), F.col("all_neg") - F.col("neg_before")
-    step = F.when(F.col("all_pos") > 0, F.col("pos") / F.col("all_pos") * tp / (tp + fp)).otherwise(0.0)
-    return at.groupBy(*keys).agg(F.sum(step).alias("pr_auc"))
+    return levels(scores, keys).groupBy(*keys).agg(_precision().alias("pr_auc"))
 
 
 def tpr_at_fpr(scores: DataFrame, keys: list[str], target: float) -> DataFrame:
     """Highest true positive rate among thresholds whose false positive rate is at most ``target`` (0 if none is)."""
-    at = levels(scores, keys)
-    fpr = (F.col("all_neg") - F.col("neg_before")) / F.col("all_neg")
-    tpr = (F.col("all_pos") - F.col("pos_before")) / F.col("all_pos")
-    return at.groupBy(*keys).agg(F.max(F.when(fpr <= target, tpr).otherwise(0.0)).alias("tpr"))
+    return levels(scores, keys).groupBy(*keys).agg(_rate(target).alias("tpr"))
+
+
+def ranking_summary(scores: DataFrame, keys: list[str], target: float) -> DataFrame:
+    """(keys, auc, pr_auc, tpr): the three ranking measures from one table of levels."""
+    return levels(scores, keys).groupBy(*keys).agg(_area().alias("auc"), _precision().alias("pr_auc"), _rate(target).alias("tpr"))
 
 
 def d_prime(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -144,7 +157,7 @@ def percentile_interval(replicates: DataFrame, keys: list[str], value: str) -> D
 def group_bootstrap_auc(scores: DataFrame, keys: list[str], group: str, reps: int, seed: int) -> DataFrame:
     """(keys, rep, auc) of resampled whole groups; rows are summed by group and score before any replicate."""
     summed = scores.groupBy(*keys, group, "score", "y").agg(F.count(F.lit(1)).alias("__n"))
-    drawn = summed.join(F.broadcast(draws(scores, group, reps, seed)), group)
+    drawn = summed.join(draws(scores, group, reps, seed), group)
     by = [*keys, "rep"]
     return auc_of(levels(drawn, by, F.col("__n") * F.col("times")), by)
 
@@ -154,7 +167,7 @@ def two_way_bootstrap(cells: DataFrame, unit: str, seeds: str, value: str, reps:
     a = draws(cells, unit, reps, seed).withColumnRenamed("times", "__a")
     b = draws(cells, seeds, reps, seed + 1).withColumnRenamed("times", "__b")
     w = F.col("__a") * F.col("__b")
-    drawn = cells.join(F.broadcast(a), unit).join(F.broadcast(b), ["rep", seeds])
+    drawn = cells.join(a, unit).join(b, ["rep", seeds])
     return drawn.groupBy("rep").agg((F.sum(w * F.col(value)) / F.sum(w)).alias("mean"))
 
 

@@ -116,7 +116,7 @@ def metric_mcc(spark, sf):
 def detection_summary(spark, sf):
     s, k = scores(spark, sf), ["detector"]
     c = confused(spark, sf)
-    return M.auc(s, k).join(M.pr_auc(s, k), k).join(M.tpr_at_fpr(s, k, 0.05), k).join(M.d_prime(s, k), k).join(M.macro_f1(c, k), k).join(M.mcc(c, k), k)
+    return M.ranking_summary(s, k, 0.05).join(M.d_prime(s, k), k).join(M.macro_f1(c, k), k).join(M.mcc(c, k), k)
 
 
 @query(with_sql("""SELECT detector, (rank() OVER (PARTITION BY detector ORDER BY score) + (count(*) OVER (PARTITION BY detector, score) - 1) / 2.0 - 1) / (count(*) OVER (PARTITION BY detector) - 1) AS rank01, vec_id FROM scores""", SCORES))

@@ -14,7 +14,9 @@ CORE = """time_blocks count_windows window_label_majority window_class_mask dedu
 natural_novelty_sets rolling_feasibility purge_adjacent_blocks verify_sets verify_purge audit_nan_inf audit_sorted_in_file reconcile_published_counts
 clean_mean_std clean_transform metric_auc metric_pr_auc metric_tpr_at_fpr metric_mcc spearman_rho delong_test group_bootstrap_metric pool_by_dimension
 protocol_agreement pvalue_train_ref pvalue_lagged_reference ecusum_no_reset ecusum_reset coordination_circular_test ebh_reject own_history_scan
-window_power linear_filter_recurrence embed_centroid_score rank_normalise wasserstein_1d scan_csv_typed source_archive stream_cusum_alarms""".split()
+window_power linear_filter_recurrence embed_centroid_score rank_normalise wasserstein_1d scan_csv_typed source_archive stream_cusum_alarms
+gated_reference_alarms purge_quarantine_pool stream_windowed_sums verify_recorded_hashes protocol_agreement_rollup gate_dose_response identify_conformal_knn
+calibrate_roc_slope det_knn sort_by_time manifest_immutability schema_check""".split()
 NAMES = [n for n in registry.queries() if n in registry.oracle_sql() and (os.environ.get("FULL") or n in CORE)]
 
 
