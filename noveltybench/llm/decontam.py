@@ -244,14 +244,16 @@ def _mark_joined(kept: DataFrame, windows: DataFrame, text: str, remove: bool) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "document", text: str = "text") -> DataFrame:
-    """``docs`` without contaminated documents, or (``mode="span"``) with the hit spans cut out of their texts."""
-    if mode == "document":
-        marked = mark(docs, benchmark, n, text)
-        return marked.where("n_hit = 0").select(*docs.columns)
-    if mode != "span":
+    """``docs`` without contaminated documents, or (``mode="span"``) with the hit spans cut out of their texts.
+
+    All columns pass through whatever their names.
+    """
+    if mode not in ("document", "span"):
         raise ValueError(f"mode is 'document' or 'span', not {mode!r}")
-    marked = mark(docs, benchmark, n, text, remove=True)
-    return marked.select(*[F.col("clean_text").alias(c) if c == text else F.col(c) for c in docs.columns])
+    clashing = {c: unused(c, docs.columns) for c in docs.columns if c in ("n_words", "n_hit", "items", "clean_text")}
+    marked = mark(docs.withColumnsRenamed(clashing), benchmark, n, text, remove=mode == "span")
+    kept = marked.where("n_hit = 0") if mode == "document" else marked
+    return kept.select(*[F.col("clean_text" if mode == "span" and c == text else clashing.get(c, c)).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

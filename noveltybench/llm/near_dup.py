@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noveltybench.llm.storage import stored
+from noveltybench.llm.storage import stored, unused
 from noveltybench.llm.textops import mix, row_shingles, splitmix
 
 BANDS, ROWS = 9, 3
@@ -226,5 +226,6 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BA
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 10) -> DataFrame:
     """One document of each group of near-duplicates (the smallest id; rows that repeat it stay with it)."""
-    removed = groups(docs, shingle, percent, bands=bands).where(~F.col("kept")).select(F.col("doc_id").alias("__removed")).distinct()
-    return docs.join(removed, docs["doc_id"].cast("long") == F.col("__removed"), "left_anti")
+    name = unused("removed", docs.columns)
+    removed = groups(docs, shingle, percent, bands=bands).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(removed, docs["doc_id"].cast("long") == F.col(name), "left_anti")

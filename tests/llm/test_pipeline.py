@@ -31,3 +31,17 @@ def test_stages_on_small_tables(spark, sf):
 def test_language_stage_keeps_labelled_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert language.keep_identified(docs).count() >= 0.99 * docs.count()
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf, odd_docs, no_docs):
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {}
+    for name in ("language_id", "line_dedup", "near_dedup", "decontamination"):
+        got = stages[name](spark, odd_docs, sf)
+        assert got.columns == odd_docs.columns and got.schema.simpleString() == odd_docs.schema.simpleString(), name
+        kept[name] = sorted((r["doc_id"] for r in got.collect()), key=lambda d: (d is None, d))
+        assert stages[name](spark, no_docs, sf).collect() == [], name
+    assert not {2, 3, 4, 5} & set(kept["language_id"]) and {1, 6, 8} <= set(kept["language_id"])  # null, empty, no letters
+    assert kept["line_dedup"] == kept["near_dedup"] == [1, 1, 2, 3, 4, 5, 6, 7, None]  # 8 repeats 1
+    assert kept["decontamination"] == [1, 1, 2, 3, 4, 5, 6, 7, 8, None]
+    assert stages["byte_bpe"](spark, odd_docs, sf).count() == odd_docs.count() and stages["byte_bpe"](spark, no_docs, sf).count() == 0
