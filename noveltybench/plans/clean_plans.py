@@ -25,7 +25,7 @@ FEATURES = """feat AS (SELECT l_orderkey, l_partkey, l_linenumber, l_linestatus
   CASE WHEN l_orderkey % 997 = 0 THEN 'Infinity'::DOUBLE WHEN l_partkey % 991 = 0 THEN 'NaN'::DOUBLE ELSE l_extendedprice END AS price, l_discount AS discount, l_tax AS tax, l_quantity AS copy, 1.0::DOUBLE AS constant FROM lineitem)"""
 
 
-@query()
+@query("SELECT column_name AS \"column\", CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS type, (SELECT count(*) FROM lineitem) AS \"rows\" FROM (DESCRIBE WITH " + FEATURES + " SELECT * FROM feat)")
 def audit_shape_types(spark, sf):
     return A.shape_types(features(spark, sf))
 
