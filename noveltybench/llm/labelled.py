@@ -15,23 +15,26 @@ def fold(key: str, mod: int = 5):
 
 
 def spread_ids(rows: DataFrame, key: str, by: str | None, most: int, seed: int) -> list[tuple]:
-    """(label, key) of the ``most`` rows of smallest hash for each value of ``by``, all where there are no more.
+    """(label, key) of the ``most`` distinct keys of smallest hash for each value of ``by``, all where there are no more.
 
-    Rows are counted first; then those of the smallest hashes, about SPARE * most of them, are put in order.  Should
-    repeated keys leave too few, all are.  A repeated key counts each time.
+    Keys are counted first (about); then only those of the smallest hashes, SPARE * most of them, are made distinct and put
+    in order.  Should they be too few, the bound is raised.  A repeated key counts once.
     """
     hashed = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), 1)
     named = rows.where(F.col(key).isNotNull()).select((F.col(by) if by else F.lit(0)).alias("label"), F.col(key).alias("key"), hashed.alias("hash")).where("label is not null")
-    sizes = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def smallest(spare: int | None) -> list[tuple]:
-        limit = F.lit(2**63 - 1)
-        for label, n in sizes.items():
-            if spare and n > spare * most:
-                limit = F.when(F.col("label") == label, F.lit(int(2**63 * (spare * most / n)))).otherwise(limit)
+    sizes = {r["label"]: max(r["n"], 1) for r in named.groupBy("label").agg(F.approx_count_distinct("hash").alias("n")).collect()}
+    found: list[tuple] = []
+    open_, spare = dict(sizes), SPARE
+    while open_:
+        limit, whole = F.lit(None).cast("long"), set()
+        for label, n in open_.items():
+            if n <= spare * most:
+                whole.add(label)
+            limit = F.when(F.col("label") == label, F.lit(2**63 - 1 if label in whole else int(2**63 * (spare * most / n)))).otherwise(limit)
         place = F.row_number().over(Window.partitionBy("label").orderBy("hash", "key"))
-        return [(r["label"], r["key"]) for r in named.where(F.col("hash") <= limit).withColumn("place", place).where(F.col("place") <= most).collect()]
-
-    found = smallest(SPARE)
-    enough = all(sum(x == label for x, _ in found) >= min(most, n) for label, n in sizes.items())
-    return sorted(found if enough else smallest(None))
+        got = [(r["label"], r["key"]) for r in named.where(F.col("hash") <= limit).distinct().withColumn("place", place).where(F.col("place") <= most).collect()]
+        done = {label for label in open_ if label in whole or sum(x == label for x, _ in got) >= most}
+        found += [(label, k) for label, k in got if label in done]
+        open_ = {label: n for label, n in open_.items() if label not in done}
+        spare *= 8
+    return sorted(found)
