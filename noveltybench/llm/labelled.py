@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noveltybench.llm.storage import stored
+
 #: Candidates drawn for each row wanted, so that what is put in order doesn't grow with the table.
 SPARE = 2
 
@@ -38,3 +40,14 @@ def spread_ids(rows: DataFrame, key: str, by: str | None, most: int, seed: int)
         open_ = {label: n for label, n in open_.items() if label not in done}
         spare *= 8
     return sorted(found)
+
+
+def one_text(docs: DataFrame, key: str, text: str, sample: DataFrame) -> DataFrame:
+    """``sample`` (column ``key`` and others, a bounded table) with the text of each key: of rows that share it, the one of smallest hash.
+
+    Written to the shared folder, as fits read it more than once.
+    """
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null")
+    met = texts.join(F.broadcast(sample), "key")  # the sample is bounded by its parameters
+    first = met.groupBy(*sample.columns).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return stored(first, "learned")

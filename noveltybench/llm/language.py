@@ -258,7 +258,9 @@ def sample(rows: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             chosen.setdefault((name, k), place)
     if not chosen:
         return ()
-    texts = usable.where(F.col(key).isin(sorted({k for _, k in chosen}))).select(F.col(lang).cast("string"), key, F.substring(text, 1, ROW_CHARS)).collect()
+    met = usable.where(F.col(key).isin(sorted({k for _, k in chosen})))
+    one = F.min_by(F.substring(text, 1, ROW_CHARS), F.struct(F.xxhash64(text), F.col(text)))  # of rows that share an id and a language
+    texts = met.groupBy(F.col(lang).cast("string"), key).agg(one).collect()
     by_lang: dict[str, dict] = {}
     for name, k, t in texts:
         if (name, k) in chosen:

@@ -6,7 +6,8 @@ loss on feature differences; the ranking score is then put on 0..1 by a logistic
 curve that knows the share of good labels.  `above_quantile` thresholds by a
 quantile of the scores.
 
-Fitting uses at most ROWS labelled texts of either label (those of smallest hash) and PAIRS pairs.
+Fitting uses at most ROWS labelled texts of either label (those of smallest hash; of rows that share an id, the text of
+smallest hash) and PAIRS pairs.
 
 Defined cases: a null or empty text has the vector of no bytes and a score like
 any other; with only one label present every score is that label's share.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noveltybench.llm.labelled import fold, spread_ids
+from noveltybench.llm.labelled import fold, one_text, spread_ids
 from noveltybench.llm.storage import with_fields
 from noveltybench.llm.textops import LOWER, NON_SPACE, slices, text_buffer, word_hashes, word_spans
 
@@ -141,9 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     share = known.agg(F.avg((F.col(label) > 0).cast("double"))).first()[0]
     chosen = {k: bool(good) for good, k in spread_ids(known.select(key, (F.col(label) > 0).alias("good")), key, "good", ROWS, 29)}
-    rows = features(docs.where(F.col(key).isin(list(chosen))), key, text).collect() if chosen else []
-    x = np.array([r["style"] for r in rows]).reshape(-1, N_FEATURES)
-    good = np.array([chosen[r["key"]] for r in rows], bool)
+    if not chosen:
+        return Constant(0.5 if share is None else share)
+    sample = docs.sparkSession.createDataFrame(sorted(chosen.items()), f"key {docs.schema[key].dataType.simpleString()}, good boolean")
+    rows = {r["key"]: r["style"] for r in features(one_text(docs, key, text, sample), "key", "text").collect()}
+    x = np.array([rows[k] for k in sorted(rows)]).reshape(-1, N_FEATURES)
+    good = np.array([chosen[k] for k in sorted(rows)], bool)
     if not good.any() or good.all():
         return Constant(0.5 if share is None else share)
     return Ranking(x, good, share)

@@ -33,6 +33,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order.  Sorted and compared: numpy's own hashes integers, fifty times slower on millions."""
+    ordered = np.sort(values)
+    if len(ordered) < 2:
+        return ordered
+    new = np.empty(len(ordered), bool)
+    new[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]
+
+
 _BYTE = splitmix(256, 11)
 _NGRAM = int(splitmix(1, 13)[0]) | 1
 _places = [splitmix(SEGMENT_BYTES * 2, 14)]
@@ -147,7 +158,7 @@ def row_shingles(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
         for row in range(first, last):
             a, b = before[row - first], before[row - first + 1]
             if b - a >= n:
-                yield row, np.unique(grams[a : b - n + 1])
+                yield row, distinct(grams[a : b - n + 1])
             elif b > a:
                 yield row, ngram_hashes(words[a:b], int(b - a))
             else:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from noveltybench.llm.labelled import spread_ids
 from noveltybench.llm.storage import with_fields
-from noveltybench.llm.textops import mix, slices, text_buffer
+from noveltybench.llm.textops import distinct, mix, slices, text_buffer
 
 GRAMS, BITS, ROWS, LONGEST = (3, 4, 5), 18, 2_000, 4_096
 #: The rules of the registered query: (rule, verdict).
@@ -74,7 +74,7 @@ def grams(hosts: pa.Array, paths: pa.Array) -> Iterator[tuple[int, int, np.ndarr
                     rows = np.searchsorted(at, np.arange(n), side="right") - 1
                     good = np.arange(n) + size <= at[rows + 1]
                     found.append(rows[good].astype(np.int64) << BITS | (mix(packed[good]) >> np.uint64(64 - BITS)).astype(np.int64))
-        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        both = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
         yield first, last, both >> BITS, both & ((1 << BITS) - 1)
 
 
