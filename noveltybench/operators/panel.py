@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from noveltybench.functions.sampling import md5_draw, md5_unit
+from noveltybench.functions.sampling import md5_unit
+from noveltybench.operators.coordination import statistic
 from noveltybench.operators.ranks import normal_cdf, normal_quantile, quantile, running
 
 
@@ -143,29 +144,10 @@ def uniformity_gap(p: DataFrame, keys: list[str]) -> DataFrame:
     return joined.groupBy(*keys).agg(F.max(F.greatest(upper, lower)).alias("gap"))
 
 
-def exceedances(panel: DataFrame, column: str, q: float) -> DataFrame:
-    """``panel`` with b: 1 where the value exceeds the entity's own (1 - q) quantile."""
-    cut = quantile(panel, ["entity"], column, 1 - q, "__cut", 1)
-    return panel.join(cut, "entity").withColumn("b", (F.col(column) > F.col("__cut")).cast("int")).drop("__cut")
-
-
-def coordination_stat(exceeded: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Sum over times of k (k - 1) / 2 where k entities exceed together."""
-    by = by or []
-    k = exceeded.groupBy(*by, "t").agg(F.sum("b").alias("k"))
-    return k.groupBy(*by).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("stat"))
-
-
-def coordination_circular_test(exceeded: DataFrame, perms: int, seed: int) -> DataFrame:
-    """One row: the statistic, and its p-value among circular shifts drawn for each entity."""
-    spark = exceeded.sparkSession
-    span = exceeded.agg((F.max("t") + 1).alias("__T"))
-    hits = exceeded.where("b = 1").crossJoin(F.broadcast(span)).crossJoin(F.broadcast(spark.range(perms).withColumnRenamed("id", "perm")))
-    shift = md5_draw(F.concat_ws(":", F.lit(str(seed)), "perm", "entity"), F.col("__T"))
-    moved = hits.select("perm", F.pmod(F.col("t") + shift, F.col("__T")).alias("t"), "b")
-    null = coordination_stat(moved, ["perm"]).withColumnRenamed("stat", "__s")
-    observed = coordination_stat(exceeded)
-    return null.crossJoin(F.broadcast(observed)).groupBy("stat").agg(((F.count_if(F.col("__s") >= F.col("stat")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+def exceedances(panel: DataFrame, column: str, q: float, keys: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """``panel`` with b: 1 where the value exceeds the entity's own (1 - q) quantile, or that of all the ``keys``."""
+    cut = quantile(panel, list(keys), column, 1 - q, "__cut", 1)
+    return panel.join(cut, list(keys)).withColumn("b", (F.col(column) > F.col("__cut")).cast("int")).drop("__cut")
 
 
 def coordination_naive_test(exceeded: DataFrame) -> DataFrame:
@@ -173,7 +155,7 @@ def coordination_naive_test(exceeded: DataFrame) -> DataFrame:
     rates = exceeded.groupBy("entity").agg(F.avg("b").alias("r"))
     pairs = rates.agg(((F.pow(F.sum("r"), F.lit(2)) - F.sum(F.col("r") * F.col("r"))) / 2).alias("__r"), ((F.pow(F.sum(F.col("r") * F.col("r")), F.lit(2)) - F.sum(F.pow("r", F.lit(4)))) / 2).alias("__r2"))
     n = exceeded.select("t").distinct().agg(F.count(F.lit(1)).alias("__T"))
-    out = coordination_stat(exceeded).crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(n))
+    out = statistic(exceeded).crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(n))
     expected, variance = F.col("__T") * F.col("__r"), F.col("__T") * (F.col("__r") - F.col("__r2"))
     return out.select("stat", expected.alias("expected"), ((F.col("stat") - expected) / F.sqrt(variance)).alias("z"))
 

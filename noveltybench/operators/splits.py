@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noveltybench.functions import bitset
 from noveltybench.functions.sampling import md5_order
 
 TRAIN, GAP, VAL, TEST = "train", "gap", "val", "test"
@@ -104,8 +105,8 @@ def make_sets(windows: DataFrame, seed: int, train_ratio: int = 1, eval_ratio: i
 
 
 def has_class(mask: str, code: Column) -> Column:
-    """Does the bitset hold the class?"""
-    return F.col(mask).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), code.cast("int"))) != 0
+    """Does the window's bitset hold the class?"""
+    return bitset.has(F.col(mask), code)
 
 
 def loaco_folds(windows: DataFrame, classes: DataFrame, seed: int, min_train: int = 200, train_ratio: int = 1, eval_ratio: int = 5, train_cap: int = 14_000, eval_cap: int = 3_000) -> DataFrame:
@@ -140,8 +141,8 @@ def nn_class_discovery(windows: DataFrame, classes: DataFrame, least: int = 20)
 
 def natural_novelty_sets(windows: DataFrame, novel: DataFrame, seed: int, train_ratio: int = 1, eval_ratio: int = 5, train_cap: int = 14_000, eval_cap: int = 3_000) -> DataFrame:
     """(part, cls, window_id, y_bin): train and val without any novel class, one test set for each novel class."""
-    mask = novel.agg(F.coalesce(F.bit_or(F.expr("shiftleft(1L, code)")), F.lit(0).cast("long")).alias("__novel"))
-    clean = windows.crossJoin(F.broadcast(mask)).where(F.col("class_mask").bitwiseAND(F.col("__novel")) == 0).drop("__novel")
+    mask = novel.agg(bitset.gathered(F.col("code")).alias("__novel"))  # one row
+    clean = windows.crossJoin(F.broadcast(mask)).where(~bitset.overlaps(F.col("class_mask"), F.col("__novel"))).drop("__novel")
     train = balance_exact_ratio(clean.where(F.col("split") == TRAIN), train_ratio, train_cap, seed).select(F.lit(TRAIN).alias("part"), F.lit(0).alias("cls"), "window_id", "y_bin")
     val = balance_exact_ratio(clean.where(F.col("split") == VAL), eval_ratio, eval_cap, seed).select(F.lit(VAL).alias("part"), F.lit(0).alias("cls"), "window_id", "y_bin")
     spread = windows.where(F.col("split") == TEST).crossJoin(F.broadcast(novel.select(F.col("code").alias("cls")))).where((F.col("y_bin") == 0) | (F.col("y_cls") == F.col("cls")))

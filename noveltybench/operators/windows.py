@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noveltybench.functions import bitset
 from noveltybench.operators.ranks import running
 
 BENIGN = "Benign"
@@ -87,7 +88,7 @@ def window_labels(exploded: DataFrame, size: int, code: str = "code") -> DataFra
     """(grp, k, start_rn, y_bin, y_cls, n_modes, purity, class_mask, n_attack) of each window.
 
     y_cls is the most frequent attack class (the lower code at a tie), 0 without attacks; purity is the share of
-    flows that carry it; bit c of class_mask is set if class c occurs.
+    flows that carry it; class_mask is the bitset (array of longs) of the classes that occur, of any number.
     """
     counts = exploded.groupBy("grp", "k", code).agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("first"))
     attack = F.col(code) > 0
@@ -97,7 +98,7 @@ def window_labels(exploded: DataFrame, size: int, code: str = "code") -> DataFra
         best.alias("best"),
         F.collect_list(F.when(attack, F.col("n"))).alias("ns"),
         F.sum(F.when(attack, F.col("n")).otherwise(0)).alias("n_attack"),
-        F.bit_or(F.expr(f"shiftleft(1L, {code})")).alias("class_mask"),
+        F.collect_list(code).alias("codes"),
     )
     y_cls = F.coalesce(-F.col("best.low"), F.lit(0)).cast("int")
     return per.select(
@@ -108,7 +109,7 @@ def window_labels(exploded: DataFrame, size: int, code: str = "code") -> DataFra
         y_cls.alias("y_cls"),
         F.when(F.col("n_attack") > 0, F.size(F.filter("ns", lambda n: n == F.col("best.n")))).otherwise(0).cast("int").alias("n_modes"),
         (F.coalesce(F.col("best.n"), F.lit(size)) / F.lit(float(size))).alias("purity"),
-        "class_mask",
+        bitset.from_bits(F.col("codes")).alias("class_mask"),
         F.col("n_attack").cast("long").alias("n_attack"),
     )
 

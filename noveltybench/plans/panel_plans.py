@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noveltybench.operators import attacks as K
+from noveltybench.operators import coordination as C
 from noveltybench.operators import panel as P
 from noveltybench.plans.base import kept, millis, query, table, with_sql
 
@@ -141,6 +143,38 @@ def detection_delay(spark, sf):
     return P.detection_delay(P.ecusum_reset(evals(spark, sf), 3.0), top)
 
 
+def attacked(spark, sf):
+    """Attacks in four settings: an entity's day of highest activity begins one of 3, of 5 and of 10 days; ``twice`` are two that overlap."""
+    top = panel(spark, sf).groupBy("entity").agg(F.max_by("t", F.struct("s", (-F.col("t")).alias("early"))).alias("t0"))
+    kinds = [("d3", 0, 3), ("d5", 0, 5), ("d10", 0, 10), ("twice", 0, 5), ("twice", -2, 6)]
+    spread = F.explode(F.array(*[F.struct(F.lit(k).alias("setting"), F.lit(d).alias("by"), F.lit(n).alias("duration")) for k, d, n in kinds])).alias("a")
+    return top.select("entity", "t0", spread).select("entity", "a.setting", (F.col("t0") + F.col("a.by")).alias("t0"), "a.duration")
+
+
+def alarmed(spark, sf):
+    """Evaluated steps with p, e and whether the e-CUSUM with restarts alarms."""
+    steps = lagged(spark, sf).withColumn("e", P.power_e(F.col("p"), 0.5, 20.0))
+    alarms = P.ecusum_reset(steps.select("entity", "t", "e"), 3.0).select("entity", F.explode("alarms").alias("t"), F.lit(True).alias("alarm"))
+    return steps.join(alarms, ["entity", "t"], "left").fillna(False, ["alarm"])
+
+
+ATTACKED = """top AS (SELECT entity, arg_max(t, s) AS t0 FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY s DESC, t) AS r FROM panel) WHERE r = 1 GROUP BY entity),
+attacked AS (SELECT setting, entity, t0 + later AS t0, duration FROM top, (VALUES ('d3', 0, 3), ('d5', 0, 5), ('d10', 0, 10), ('twice', 0, 5), ('twice', -2, 6)) v(setting, later, duration)),
+alarmed AS (SELECT l.entity, l.t, l.p, e.e, w.hit IS NOT NULL AS alarm FROM lagged l JOIN evals e USING (entity, t) LEFT JOIN (SELECT entity, ts[i] AS t, hit FROM walk WHERE hit) w ON w.entity = l.entity AND w.t = l.t),
+each AS (SELECT a.setting, a.entity, a.t0, a.duration, count(s.t) AS evaluated, CAST(min(CASE WHEN s.alarm THEN s.t END) - a.t0 AS DOUBLE) AS delay, coalesce(sum(ln(s.e)), 0.0) AS log_e, avg(CASE WHEN s.t IS NOT NULL THEN CAST(s.p <= 0.1 AS INTEGER) END) AS share
+ FROM attacked a LEFT JOIN alarmed s ON s.entity = a.entity AND s.t >= a.t0 AND s.t < a.t0 + a.duration GROUP BY ALL)"""
+
+
+@query(recursive("SELECT setting, entity, t0, duration, evaluated, delay, log_e, share FROM each", PANEL, RESIDUAL, LAGGED, EVAL, RESET, ATTACKED))
+def attack_outcomes(spark, sf):
+    return K.each_attack(alarmed(spark, sf), attacked(spark, sf), level=0.1)
+
+
+@query(recursive("SELECT setting, count(*) AS attacks, CAST(sum(evaluated) AS BIGINT) AS windows, avg(CAST(delay IS NOT NULL AS INTEGER)) AS detected, quantile_cont(delay, 0.5) AS median_delay, sum(log_e) / sum(evaluated) AS mean_log_e, CASE WHEN sum(log_e) > 0 THEN ln(3.0) / (sum(log_e) / sum(evaluated)) END AS predicted_delay, avg(share) AS tpr FROM each GROUP BY setting", PANEL, RESIDUAL, LAGGED, EVAL, RESET, ATTACKED))
+def detection_delay_summary(spark, sf):
+    return K.detection_summary(attack_outcomes(spark, sf), 3.0)
+
+
 @query(with_sql("SELECT max(greatest(abs(i / n - p), abs(lo / n - p))) AS gap FROM (SELECT p, rank() OVER (ORDER BY p) AS lo, (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1)::DOUBLE AS i, (count(*) OVER ())::DOUBLE AS n FROM lagged)", PANEL, RESIDUAL, LAGGED))
 def uniformity_gap(spark, sf):
     return P.uniformity_gap(lagged(spark, sf), [])
@@ -159,15 +193,77 @@ def exceedance_indicator(spark, sf):
     return exceeded(spark, sf).select("entity", "t", "b")
 
 
+def stat(rows):
+    return rows.withColumn("stat", F.col("stat").cast("double"))
+
+
 @query(with_sql(f"SELECT CAST({STAT} AS DOUBLE) AS stat", PANEL, B))
 def coordination_stat(spark, sf):
-    return P.coordination_stat(exceeded(spark, sf)).select(F.col("stat").cast("double").alias("stat"))
+    return stat(C.statistic(exceeded(spark, sf)))
+
+
+#: Hits of a table ``exc`` in bins of four days, and the statistic of a table of hits (perm, entity, t) over n steps.
+BINNED = "exc4 AS (SELECT entity, t // 4 AS t, max(b) AS b FROM exc GROUP BY ALL)"
+
+
+def moved_sql(source: str, draw: str, out: str = "moved") -> str:
+    """CTEs: 50 seeded shifts of the hits of ``source`` (n steps), permutation -1 the hits as they are."""
+    return f"""line AS (SELECT CAST(max(t) + 1 AS BIGINT) AS n FROM {source}),
+{out} AS (SELECT perm, entity, CASE WHEN perm < 0 THEN t ELSE (t + {draw}) % n END AS t, n FROM {source}, line, (SELECT unnest(range(-1, 50)) AS perm) WHERE b = 1)"""
+
+
+def draws(limit: str) -> str:
+    return f"CAST('0x' || substr(md5('3:' || perm || ':' || entity), 1, 8) AS BIGINT) % {limit}"
+
+
+def pairs_sql(lag: int, source: str = "moved") -> str:
+    """CTE ``stats`` (perm, s): pairs of entities that hit at most ``lag`` steps apart."""
+    return f"""stats AS (SELECT p.perm, count(b.t) AS s FROM (SELECT unnest(range(-1, 50)) AS perm) p LEFT JOIN (SELECT *, unnest(range(-{lag}, {lag + 1})) AS l FROM {source}) a ON a.perm = p.perm
+ LEFT JOIN {source} b ON b.perm = a.perm AND b.entity > a.entity AND b.t = (a.t + a.l + a.n) % a.n GROUP BY p.perm)"""
+
+
+TESTED = "SELECT CAST(o.s AS DOUBLE) AS stat, (SELECT count(*) + 1 FROM stats WHERE perm >= 0 AND s >= o.s) / 51 AS p FROM stats o WHERE perm = -1"
+
+
+@query(with_sql("SELECT CAST(s AS DOUBLE) AS stat FROM stats WHERE perm = -1", PANEL, B, moved_sql("exc", "0"), pairs_sql(3)))
+def coordination_stat_lag3(spark, sf):
+    return stat(C.statistic(exceeded(spark, sf), 3))
+
+
+@query(with_sql("SELECT CAST(s AS DOUBLE) AS stat FROM stats WHERE perm = -1", PANEL, B, BINNED, moved_sql("exc4", "0"), pairs_sql(0)))
+def coordination_stat_bin4(spark, sf):
+    return stat(C.statistic(C.binned(exceeded(spark, sf), 4)))
 
 
 @query(with_sql(f"""SELECT CAST({STAT} AS DOUBLE) AS stat, (count(*) FILTER (s >= {STAT}) + 1) / (count(*) + 1) AS p FROM (SELECT perm, sum(k * (k - 1) / 2) AS s FROM (SELECT perm, (t + CAST('0x' || substr(md5('3:' || perm || ':' || entity), 1, 8) AS BIGINT) % n) % n AS u, count(*) AS k
  FROM exc, (SELECT unnest(range(0, 50)) AS perm), (SELECT max(t) + 1 AS n FROM exc) WHERE b = 1 GROUP BY ALL) GROUP BY perm)""", PANEL, B))
 def coordination_circular_test(spark, sf):
-    return P.coordination_circular_test(exceeded(spark, sf), 50, 3).withColumn("stat", F.col("stat").cast("double"))
+    return stat(C.shift_test(exceeded(spark, sf), 50, 3))
+
+
+@query(with_sql(TESTED, PANEL, B, moved_sql("exc", draws("n")), pairs_sql(3)))
+def coordination_circular_lag3_test(spark, sf):
+    return stat(C.shift_test(exceeded(spark, sf), 50, 3, lag=3))
+
+
+@query(with_sql(TESTED, PANEL, B, BINNED, moved_sql("exc4", draws("n")), pairs_sql(0)))
+def coordination_circular_bin4_test(spark, sf):
+    return stat(C.shift_test(C.binned(exceeded(spark, sf), 4), 50, 3))
+
+
+@query(with_sql(TESTED, PANEL, B, moved_sql("exc", "7 * (" + draws("(n // 7)") + ")"), pairs_sql(0)))
+def coordination_phase_test(spark, sf):
+    """Shifts by whole weeks, so weekly habits stay in phase."""
+    return stat(C.shift_test(exceeded(spark, sf), 50, 3, period=7))
+
+
+@query(with_sql("SELECT CAST(max(s) FILTER (period = last) AS DOUBLE) AS stat, (count(*) FILTER (period < last AND s >= now) + 1) / (count(*) FILTER (period < last) + 1) AS p FROM (SELECT *, max(period) OVER () AS last, last_value(s) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM spans)", PANEL,
+                "excp AS (SELECT entity, t, t // 5 AS period, CAST(s > quantile_cont(s, 0.9) OVER (PARTITION BY entity, t // 5) AS INTEGER) AS b FROM panel)",
+                "spans AS (SELECT period, sum(k * (k - 1) / 2) AS s FROM (SELECT period, t, sum(b) AS k FROM excp GROUP BY ALL) WHERE (period + 1) * 5 <= (SELECT max(t) + 1 FROM panel) GROUP BY period)"))
+def coordination_historical_test(spark, sf):
+    """The last five days against all earlier five days, each with thresholds of its own."""
+    spans = panel(spark, sf).withColumn("period", F.floor(F.col("t") / 5))
+    return stat(C.historical_test(P.exceedances(spans, "s", 0.1, ("entity", "period")), 5))
 
 
 @query(with_sql(f"SELECT CAST({STAT} AS DOUBLE) AS stat, n * r1 AS expected, ({STAT} - n * r1) / sqrt(n * (r1 - r2)) AS z FROM (SELECT (pow(sum(r), 2) - sum(r * r)) / 2 AS r1, (pow(sum(r * r), 2) - sum(pow(r, 4))) / 2 AS r2 FROM (SELECT entity, avg(b) AS r FROM exc GROUP BY entity)), (SELECT count(DISTINCT t) AS n FROM exc)", PANEL, B))

@@ -91,9 +91,10 @@ def window_purity(spark, sf):
     return windows(spark, sf).select("grp", "k", "purity")
 
 
-@query(windowed("SELECT grp, k, class_mask FROM labels"))
+@query(windowed("SELECT grp, k, CAST(code // 64 AS INTEGER) AS word, CAST(bit_or(CAST(1 AS BIGINT) << (code % 64)) AS BIGINT) AS class_mask FROM percls GROUP BY ALL"))
 def window_class_mask(spark, sf):
-    return windows(spark, sf).select("grp", "k", "class_mask")
+    """One row a word of a window's class bitset."""
+    return windows(spark, sf).select("grp", "k", F.posexplode("class_mask").alias("word", "class_mask"))
 
 
 @query(windowed("SELECT grp, k, n_attack FROM labels"))
@@ -101,11 +102,11 @@ def window_n_attack(spark, sf):
     return windows(spark, sf).select("grp", "k", "n_attack")
 
 
-@query(windowed("SELECT grp, k, class_mask FROM win WHERE (class_mask & (1 << (SELECT code FROM codes WHERE cls = 'error'))) <> 0"))
+@query(windowed("SELECT grp, k, CAST(code // 64 AS INTEGER) AS word, CAST(bit_or(CAST(1 AS BIGINT) << (code % 64)) AS BIGINT) AS class_mask FROM percls p WHERE EXISTS (SELECT 1 FROM percls x JOIN codes c USING (code) WHERE x.grp = p.grp AND x.k = p.k AND c.cls = 'error') GROUP BY ALL"))
 def filter_mask_contains(spark, sf):
     error = classes(spark, sf).where("cls = 'error'").select(F.col("code").alias("__c"))
     w = windows(spark, sf).crossJoin(F.broadcast(error))
-    return w.where(S.has_class("class_mask", F.col("__c"))).select("grp", "k", "class_mask")
+    return w.where(S.has_class("class_mask", F.col("__c"))).select("grp", "k", F.posexplode("class_mask").alias("word", "class_mask"))
 
 
 @query(windowed("SELECT w.window_id, w.grp FROM win w WHERE grp IN (SELECT grp FROM (SELECT grp, count(*) AS n FROM win GROUP BY grp) WHERE n % 2 = 0)"))
