@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noveltybench.functions.sampling import md5_draw
-from noveltybench.operators.ranks import BUCKETS, midranks, normal_cdf, quantile, running
+from noveltybench.operators.ranks import midranks, normal_cdf, quantile, running
 
 #: Two-sided 95 % points of the t distribution by degrees of freedom (fixed values).
 T_975 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262}
@@ -106,7 +106,7 @@ def mean_ci_t(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return summed.select(*keys, "n", "mean", F.when(F.col("n") > 1, point * F.col("__s") / F.sqrt("n")).alias("half_width"))
 
 
-def spearman(pairs: DataFrame, keys: list[str], x: str, y: str, buckets: int = BUCKETS) -> DataFrame:
+def spearman(pairs: DataFrame, keys: list[str], x: str, y: str, buckets: int | None = None) -> DataFrame:
     """Rank correlation over pairs without nulls; null below three pairs or without two values on either side.  ``buckets=1`` is for small groups."""
     ranked = midranks(midranks(pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, x, "__rx", buckets), keys, y, "__ry", buckets)
     varied = (F.min("__rx") < F.max("__rx")) & (F.min("__ry") < F.max("__ry"))
@@ -124,12 +124,12 @@ def kendall_tau(rows: DataFrame, keys: list[str], item: str, x: str, y: str) ->
 
 
 def draws(units: DataFrame, unit: str, reps: int, seed: int) -> DataFrame:
-    """(rep, unit, times): bootstrap draws of a small unit table, by md5 of seed, replicate and slot."""
-    numbered = units.select(unit).distinct().withColumn("__at", F.row_number().over(Window.orderBy(unit)) - 1)
+    """(rep, unit, times): bootstrap draws of the units, by md5 of seed, replicate and slot."""
+    numbered = running(units.select(unit).distinct().withColumn("__one", F.lit(1)), [], unit, ["__one"]).select(unit, F.col("__one_before").alias("__at"))
     count = numbered.agg(F.count(F.lit(1)).alias("__n"))
     slots = numbered.select(F.col("__at").alias("__slot")).crossJoin(F.broadcast(count)).crossJoin(units.sparkSession.range(reps).withColumnRenamed("id", "rep"))
     drawn = slots.select("rep", md5_draw(F.concat_ws(":", F.lit(str(seed)), "rep", "__slot"), F.col("__n")).alias("__at"))
-    return drawn.groupBy("rep", "__at").agg(F.count(F.lit(1)).alias("times")).join(F.broadcast(numbered), "__at").select("rep", unit, "times")
+    return drawn.groupBy("rep", "__at").agg(F.count(F.lit(1)).alias("times")).join(numbered, "__at").select("rep", unit, "times")
 
 
 def draws_within(units: DataFrame, stratum: str, unit: str, reps: int, seed: int) -> DataFrame:

@@ -28,7 +28,7 @@ def so_far() -> WindowSpec:
 def dense_panel(rows: DataFrame) -> DataFrame:
     """Every entity at every time that occurs, missing cells 0."""
     summed = rows.groupBy("entity", "t").agg(F.sum("s").alias("s"))
-    grid = summed.select("entity").distinct().crossJoin(F.broadcast(summed.select("t").distinct()))
+    grid = summed.select("entity").distinct().crossJoin(summed.select("t").distinct())
     return grid.join(summed, ["entity", "t"], "left").fillna(0.0, ["s"])
 
 

@@ -1,8 +1,9 @@
 """Running sums and midranks over very large groups.
 
-A window without partition keys sorts all rows in one task.  Here rows are first
-summed to distinct values, values are dealt to buckets by approximate quantiles,
-each bucket is summed on its own, and bucket totals (a few rows) carry over.
+A window sorts all rows of its keys in one task.  Here rows are first summed to
+distinct values; the largest group is counted, and where it has more values than a
+task should sort, values are dealt to as many buckets as that needs by approximate
+quantiles, each bucket is summed on its own, and bucket totals (a few rows) carry over.
 """
 
 from __future__ import annotations
@@ -10,16 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Distinct values of a group that one task sorts.
+PER_BUCKET = 100_000
 
 
-def running(levels: DataFrame, keys: list[str], value: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """``levels`` (distinct values within the keys) with ``<sum>_before``: the sums over smaller values of the same keys."""
+def fitting(levels: DataFrame, keys: list[str]) -> int:
+    """Buckets that the largest group needs; counts the groups, so it runs a job."""
+    if not keys:
+        return max(1, -(-levels.count() // PER_BUCKET))
+    largest = levels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return max(1, -(-(largest or 0) // PER_BUCKET))
+
+
+def running(levels: DataFrame, keys: list[str], value: str, sums: list[str], buckets: int | None = None) -> DataFrame:
+    """``levels`` (distinct values within the keys) with ``<sum>_before``: the sums over smaller values of the same keys.
+
+    Answers don't depend on the number of buckets; without it, it follows from the size of the largest group.
+    """
+    buckets = fitting(levels, keys) if buckets is None else buckets
     if buckets <= 1:  # small groups: one window over each is enough
         inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return levels.select("*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"{s}_before") for s in sums])
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = levels.groupBy(*keys).agg(F.percentile_approx(value, points, 1000).alias("__cuts"))
+    cuts = levels.groupBy(*keys).agg(F.percentile_approx(value, points, max(1_000, 20 * buckets)).alias("__cuts"))
     dealt = levels.join(cuts, keys) if keys else levels.crossJoin(F.broadcast(cuts))
     dealt = dealt.withColumn("__bucket", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     inside = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -31,14 +45,14 @@ def running(levels: DataFrame, keys: list[str], value: str, sums: list[str], buc
     return summed.select(*kept, *[(F.col(f"__{s}_inside") + F.col(f"__{s}_carried")).alias(f"{s}_before") for s in sums])
 
 
-def midranks(rows: DataFrame, keys: list[str], value: str, out: str = "midrank", buckets: int = BUCKETS) -> DataFrame:
+def midranks(rows: DataFrame, keys: list[str], value: str, out: str = "midrank", buckets: int | None = None) -> DataFrame:
     """``rows`` with the average rank (from 1) of ``value`` within the keys."""
     levels = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running(levels, keys, value, ["__n"], buckets).select(*keys, value, (F.col("__n_before") + (F.col("__n") + 1) / 2).alias(out))
     return rows.join(ranked, [*keys, value])
 
 
-def quantile(rows: DataFrame, keys: list[str], value: str, q: float, out: str, buckets: int = BUCKETS) -> DataFrame:
+def quantile(rows: DataFrame, keys: list[str], value: str, q: float, out: str, buckets: int | None = None) -> DataFrame:
     """(keys, out): the exact quantile of the values within the keys, interpolated; nulls don't count.
 
     Values are counted, not gathered: no task holds all distinct values of a key.

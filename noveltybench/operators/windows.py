@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noveltybench.functions import bitset
-from noveltybench.operators.ranks import running
+from noveltybench.operators.ranks import fitting, running
 
 BENIGN = "Benign"
 
@@ -55,8 +55,11 @@ def class_codes(flows: DataFrame, cls: str = "cls") -> DataFrame:
 def numbered(flows: DataFrame, time: str = "t_ms", row_id: str = "row_id", slice_ms: float = 225_000.0) -> DataFrame:
     """``flows`` with ``rn``, the place of a flow in its block from 0.
 
-    Slices of a block are put in order by tasks of their own; counts of the slices before carry over.
+    Slices of a block are put in order by tasks of their own; counts of the slices before carry over.  Blocks that a task
+    can sort whole need no slices: the largest is counted first.
     """
+    if fitting(flows, ["grp"]) == 1:
+        return flows.withColumn("rn", (F.row_number().over(Window.partitionBy("grp").orderBy(time, row_id)) - 1).cast("long"))
     sliced = flows.withColumn("__slice", F.floor(F.col(time) / F.lit(slice_ms)))
     counts = sliced.groupBy("grp", "__slice").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy("grp").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)

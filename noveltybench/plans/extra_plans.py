@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from noveltybench.functions.sampling import md5_order
 from noveltybench.operators import metrics as M
+from noveltybench.operators import packages as N
 from noveltybench.operators import splits as S
 from noveltybench.operators import stateful as Z
 from noveltybench.operators import verify as V
-from noveltybench.plans.base import PLACED, SEED, SPLIT_GAP, kept, query, windowed, with_sql
+from noveltybench.plans.base import PLACED, SEED, SPLIT_GAP, balance_sql, kept, query, windowed, with_sql
 from noveltybench.plans.metric_plans import CUBE, draws_sql, mid, result_cube
 from noveltybench.plans.panel_plans import PANEL, RESIDUAL, U, recursive, residuals
 from noveltybench.plans.score_plans import VEC, vectors
-from noveltybench.plans.window_plans import HEAD_TAIL, placed, windows
+from noveltybench.plans.window_plans import HEAD_TAIL, NOVEL, classes, placed, windows
 
 
 SERIES = f"series AS (SELECT entity, list(residual ORDER BY t) AS xs, list({U} ORDER BY t) AS us, list(t ORDER BY t) AS ts FROM residuals GROUP BY entity)"
@@ -154,43 +155,53 @@ def verify_target_only(spark, sf):
     )
 
 
-# ---- novelty package: head trains, tail validates, the first benign test windows anchor -------------------------
+# ---- novelty package: head trains, tail validates, the first benign test windows anchor, novel classes test ---------
 
-PACKAGE = """sided AS (SELECT p.window_id, p.grp, p.k, p.y_bin, CASE WHEN p.split = 'test' THEN 'test' ELSE side END AS side FROM placed p LEFT JOIN ht ON ht.grp = p.grp WHERE side IS NOT NULL OR p.split = 'test'),
-anchors AS (SELECT window_id, grp FROM sided WHERE side = 'test' AND y_bin = 0 ORDER BY grp, k LIMIT 20),
-package AS (SELECT side AS part, window_id, grp, y_bin FROM sided WHERE side <> 'test' UNION ALL SELECT 'anchor', window_id, grp, 0 FROM anchors UNION ALL SELECT 'test', window_id, grp, y_bin FROM sided WHERE side = 'test' AND grp NOT IN (SELECT grp FROM anchors))"""
+#: The fixture has a few hundred test windows, so its anchor sets are smaller than the operator's 100 and 500.
+ANCHORS = (20, 60)
+PACKAGE = [SPLIT_GAP, PLACED, HEAD_TAIL, NOVEL, "masked AS (SELECT CAST(coalesce(sum(1 << code), 0) AS BIGINT) AS m FROM novel)",
+           "clean AS (SELECT p.window_id, p.grp, p.y_bin, h.side FROM placed p JOIN ht h ON h.grp = p.grp, masked WHERE p.split = 'train' AND (class_mask & m) = 0)",
+           "head AS (SELECT * FROM clean WHERE side = 'head')", "tail AS (SELECT * FROM clean WHERE side = 'tail')", balance_sql("head", "trained", 1, 14_000), balance_sql("tail", "validated", 5, 3_000),
+           "tested AS (SELECT * FROM placed WHERE split = 'test')", "anchors AS (SELECT window_id, grp, row_number() OVER (ORDER BY grp, k) AS place FROM tested WHERE y_bin = 0 QUALIFY place <= 60)",
+           "pool AS (SELECT * FROM tested WHERE grp NOT IN (SELECT grp FROM anchors))",
+           """package AS (SELECT 'train' AS set_name, window_id, grp, y_bin FROM trained UNION ALL SELECT 'val', window_id, grp, y_bin FROM validated UNION ALL SELECT 'anchor_20', window_id, grp, 0 FROM anchors WHERE place <= 20
+ UNION ALL SELECT 'anchor_60', window_id, grp, 0 FROM anchors UNION ALL (SELECT 'test_benign', window_id, grp, y_bin FROM pool WHERE y_bin = 0 ORDER BY md5(window_id || ':17'), window_id LIMIT 2500)
+ UNION ALL SELECT 'test/' || cls, window_id, grp, y_bin FROM (SELECT p.*, c.cls, row_number() OVER (PARTITION BY y_cls ORDER BY md5(window_id || ':17'), window_id) AS place FROM pool p JOIN novel n ON n.code = p.y_cls JOIN codes c ON c.code = n.code) WHERE place <= 500)"""]
+
+
+@kept("novel_classes")
+def novel_classes(spark, sf):
+    found = S.nn_class_discovery(placed(spark, sf, True), classes(spark, sf, True)).select("code")
+    return found.join(classes(spark, sf, True), "code")
 
 
 @kept("package")
 def package(spark, sf):
-    p = placed(spark, sf)
-    sides = S.head_tail_train(p).select("grp", "side")
-    train = p.join(sides, "grp").select(F.col("side").alias("part"), "window_id", "grp", "y_bin")
-    test = p.where("split = 'test'")
-    anchors = test.where("y_bin = 0").orderBy("grp", "k").limit(20)
-    rest = test.join(anchors.select("grp").distinct(), "grp", "left_anti")
-    return train.unionByName(anchors.select(F.lit("anchor").alias("part"), "window_id", "grp", "y_bin")).unionByName(rest.select(F.lit("test").alias("part"), "window_id", "grp", "y_bin"))
+    return N.novelty_package(placed(spark, sf, True), novel_classes(spark, sf), SEED, ANCHORS)
 
 
-@query(windowed("SELECT part, window_id, y_bin FROM package", SPLIT_GAP, PLACED, HEAD_TAIL, PACKAGE))
+@query(windowed("SELECT set_name, window_id, y_bin FROM package", *PACKAGE, late=True))
 def novelty_package(spark, sf):
-    return package(spark, sf).select("part", "window_id", "y_bin")
+    return package(spark, sf).select("set_name", "window_id", "y_bin")
 
 
 @query(windowed("""SELECT check_name, CAST(v AS BIGINT) AS violations, v = 0 AS ok FROM (
- SELECT 'tail_after_head' AS check_name, count(*) AS v FROM package WHERE part = 'tail' AND grp <= (SELECT max(grp) FROM package WHERE part = 'head')
- UNION ALL SELECT 'test_without_anchor_groups', count(*) FROM package WHERE part = 'test' AND grp IN (SELECT grp FROM package WHERE part = 'anchor')
- UNION ALL SELECT 'anchors_benign', count(*) FROM package WHERE part = 'anchor' AND y_bin = 1
- UNION ALL SELECT 'no_window_twice', count(*) FROM (SELECT window_id FROM package GROUP BY window_id HAVING count(*) > 1))""", SPLIT_GAP, PLACED, HEAD_TAIL, PACKAGE))
+ SELECT 'learned_in_train' AS check_name, count(*) AS v FROM full_rows WHERE set_name IN ('train', 'val') AND split <> 'train'
+ UNION ALL SELECT 'head_and_tail_apart', count(DISTINCT grp) FROM full_rows WHERE set_name = 'train' AND grp IN (SELECT grp FROM full_rows WHERE set_name = 'val')
+ UNION ALL SELECT 'tail_after_head', count(*) FROM full_rows WHERE set_name = 'val' AND grp <= (SELECT max(grp) FROM full_rows WHERE set_name = 'train')
+ UNION ALL SELECT 'no_novel_flow_learned', count(*) FROM full_rows, masked WHERE set_name IN ('train', 'val') AND (class_mask & m) <> 0
+ UNION ALL SELECT 'val_has_both_labels', 2 - count(DISTINCT y_bin) FROM full_rows WHERE set_name = 'val'
+ UNION ALL SELECT 'tested_in_test', count(*) FROM full_rows WHERE set_name LIKE 'test%' AND split <> 'test'
+ UNION ALL SELECT 'test_without_anchor_groups', count(*) FROM full_rows WHERE set_name LIKE 'test%' AND grp IN (SELECT grp FROM full_rows WHERE set_name LIKE 'anchor%')
+ UNION ALL SELECT 'anchors_benign', count(*) FROM full_rows WHERE set_name LIKE 'anchor%' AND y_bin <> 0
+ UNION ALL SELECT 'anchors_nested', count(*) FROM full_rows WHERE set_name = 'anchor_20' AND window_id NOT IN (SELECT window_id FROM full_rows WHERE set_name = 'anchor_60')
+ UNION ALL SELECT 'test_benign_is_benign', count(*) FROM full_rows WHERE set_name = 'test_benign' AND y_bin <> 0
+ UNION ALL SELECT 'class_sets_hold_their_class', count(*) FROM full_rows f LEFT JOIN (SELECT * FROM codes JOIN novel USING (code)) c ON 'test/' || c.cls = f.set_name WHERE set_name LIKE 'test/%' AND c.code IS DISTINCT FROM f.y_cls
+ UNION ALL SELECT 'class_sets_not_empty', count(*) FROM novel n JOIN codes c USING (code) WHERE 'test/' || c.cls NOT IN (SELECT set_name FROM full_rows)
+ UNION ALL SELECT 'novel_class_not_learned', count(*) FROM full_rows WHERE set_name IN ('train', 'val') AND y_cls IN (SELECT code FROM novel)
+ UNION ALL SELECT 'no_window_twice', count(*) FROM (SELECT set_name, window_id FROM package GROUP BY ALL HAVING count(*) > 1))""", *PACKAGE, "full_rows AS (SELECT m.set_name, p.* FROM package m JOIN placed p USING (window_id))", late=True))
 def verify_package(spark, sf):
-    p = package(spark, sf)
-    last = p.where("part = 'head'").agg(F.max("grp").alias("last"))
-    return V.together(
-        V.check(p.where("part = 'tail'").crossJoin(F.broadcast(last)).where("grp <= last"), "tail_after_head"),
-        V.check(p.where("part = 'test'").join(p.where("part = 'anchor'").select("grp").distinct(), "grp", "left_semi"), "test_without_anchor_groups"),
-        V.check(p.where("part = 'anchor' and y_bin = 1"), "anchors_benign"),
-        V.check(p.groupBy("window_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "no_window_twice"),
-    )
+    return N.verify_package(package(spark, sf), placed(spark, sf, True), novel_classes(spark, sf))
 
 
 # ---- resampled rank correlations of the cube's points ------------------------------------------------------------

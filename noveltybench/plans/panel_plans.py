@@ -162,7 +162,7 @@ ATTACKED = """top AS (SELECT entity, arg_max(t, s) AS t0 FROM (SELECT *, row_num
 attacked AS (SELECT setting, entity, t0 + later AS t0, duration FROM top, (VALUES ('d3', 0, 3), ('d5', 0, 5), ('d10', 0, 10), ('twice', 0, 5), ('twice', -2, 6)) v(setting, later, duration)),
 alarmed AS (SELECT l.entity, l.t, l.p, e.e, w.hit IS NOT NULL AS alarm FROM lagged l JOIN evals e USING (entity, t) LEFT JOIN (SELECT entity, ts[i] AS t, hit FROM walk WHERE hit) w ON w.entity = l.entity AND w.t = l.t),
 each AS (SELECT a.setting, a.entity, a.t0, a.duration, count(s.t) AS evaluated, CAST(min(CASE WHEN s.alarm THEN s.t END) - a.t0 AS DOUBLE) AS delay, coalesce(sum(ln(s.e)), 0.0) AS log_e, avg(CASE WHEN s.t IS NOT NULL THEN CAST(s.p <= 0.1 AS INTEGER) END) AS share
- FROM attacked a LEFT JOIN alarmed s ON s.entity = a.entity AND s.t >= a.t0 AND s.t < a.t0 + a.duration GROUP BY ALL)"""
+ FROM attacked a LEFT JOIN alarmed s ON s.entity = a.entity AND s.t >= a.t0 AND s.t < a.t0 + a.duration GROUP BY a.setting, a.entity, a.t0, a.duration)"""
 
 
 @query(recursive("SELECT setting, entity, t0, duration, evaluated, delay, log_e, share FROM each", PANEL, RESIDUAL, LAGGED, EVAL, RESET, ATTACKED))

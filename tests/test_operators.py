@@ -89,8 +89,27 @@ def test_audit_finds_unsorted_chunks(spark):
 def test_running_sums_over_buckets(spark):
     values = [float(v) for v in np.random.default_rng(1).normal(size=700).round(2)]
     levels = spark.createDataFrame([(v, 1.0) for v in values], "v double, n double").groupBy("v").agg(F.sum("n").alias("n"))
-    got = {r["v"]: r["n_before"] for r in ranks.running(levels, [], "v", ["n"], 8).collect()}
-    assert got == {v: float(sum(x < v for x in values)) for v in set(values)}
+    want = {v: float(sum(x < v for x in values)) for v in set(values)}
+    for buckets in (1, 8, None):
+        assert {r["v"]: r["n_before"] for r in ranks.running(levels, [], "v", ["n"], buckets).collect()} == want
+
+
+def test_buckets_follow_the_largest_group(spark, monkeypatch):
+    """Answers stay the same when a task may sort few values; the number of buckets comes from counts."""
+    rng = np.random.default_rng(2)
+    rows = [("a", float(v)) for v in rng.normal(size=200).round(2)] + [("b", float(v)) for v in rng.normal(size=5).round(2)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {k: float(np.quantile([v for g, v in rows if g == k], 0.3)) for k in "ab"}
+    flow = spark.createDataFrame([(i, float(rng.integers(0, 900)), i % 2) for i in range(400)], "row_id long, t_ms double, grp int")
+    places = {r["row_id"]: r["rn"] for r in windows.numbered(flow, slice_ms=50.0).collect()}
+    for most in (100_000, 9):
+        monkeypatch.setattr(ranks, "PER_BUCKET", most)
+        got = {r["k"]: r["q"] for r in ranks.quantile(df, ["k"], "v", 0.3, "q").collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+        assert {r["row_id"]: r["rn"] for r in windows.numbered(flow, slice_ms=50.0).collect()} == places
+    levels = df.groupBy("k", "v").count()
+    n = levels.where("k = 'a'").count()
+    assert ranks.fitting(levels, ["k"]) == -(-n // 9) and ranks.fitting(levels.where("false"), ["k"]) == 1
 
 
 def test_auc_and_delong(spark):
