@@ -233,10 +233,50 @@ def cusum_path(series: DataFrame, z: str, k: float, h: float) -> DataFrame:
     return path.select("entity", "t", "path", first.alias("first_alarm"))
 
 
-def ewma_path(series: DataFrame, column: str, weight: float) -> DataFrame:
-    """(entity, last): exponentially weighted mean after the last step, started at 0."""
-    steps = series.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("t", F.col(column).alias("x")))).alias("steps"))
-    return steps.select("entity", F.aggregate("steps", F.lit(0.0), lambda s, x: (1 - weight) * s + weight * x["x"]).alias("last"))
+def affine_scan(series: DataFrame, factor: float, added: str, steps: int, start: DataFrame | None = None, length: int = 64) -> DataFrame:
+    """(entity, t, before, after): v = ``factor`` v + ``added`` along t = 0, 1 .. ``steps`` - 1, without gaps; v before and after each step.
+
+    ``start`` (entity, start) is v before the first step, 0 without it.  A step is an affine map, and so is a slice of
+    steps: slices of ``length`` steps are summed on their own from 0, the maps of whole slices are a shorter series of
+    the same kind, and what a slice begins with is added to its steps.  One long series is so many keys.
+    """
+    if not 0 < factor <= 1:
+        raise ValueError("the factor must be in (0, 1]")
+    while length > 2 and factor**length < 1e-150:  # powers of the factor must be doubles
+        length //= 2
+    rows = series.select("entity", F.col("t").cast("long").alias("t"), F.floor(F.col("t") / length).alias("__s"), F.pmod(F.col("t"), F.lit(length)).alias("__j"), F.col(added).cast("double").alias("__a"))
+    inside = Window.partitionBy("entity", "__s").orderBy("__j")
+    power = F.pow(F.lit(factor), F.col("__j"))
+    local = rows.withColumn("__local", power * F.sum(F.col("__a") / power).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    local = local.withColumn("__earlier", F.coalesce(F.lag("__local").over(inside), F.lit(0.0)))
+    if steps <= length:
+        begun = local.join(start.select("entity", F.col("start").cast("double").alias("__begin")), "entity", "left") if start is not None else local.withColumn("__begin", F.lit(0.0))
+    else:
+        moved = local.groupBy("entity", F.col("__s").alias("t")).agg(F.max_by("__local", "__j").alias("__moved"))
+        slices = affine_scan(moved, max(factor**length, 1e-300), "__moved", -(-steps // length), start)
+        begun = local.join(slices.select("entity", F.col("t").alias("__s"), F.col("before").alias("__begin")), ["entity", "__s"], "left")
+    begin = F.coalesce("__begin", F.lit(0.0))
+    return begun.select("entity", "t", (F.col("__earlier") + power * begin).alias("before"), (F.col("__local") + power * F.lit(factor) * begin).alias("after"))
+
+
+def ewma_last(series: DataFrame, column: str, weight: float, steps: int) -> DataFrame:
+    """(entity, last): exponentially weighted mean after the last step of times 0 .. ``steps`` - 1, started at 0."""
+    moved = affine_scan(series.withColumn("__x", F.lit(weight) * F.col(column)), 1 - weight, "__x", steps)
+    return moved.groupBy("entity").agg(F.max_by("after", "t").alias("last"))
+
+
+def ewma_path(series: DataFrame, column: str, reference: int, steps: int, weight: float = 0.05, base_weight: float = 0.005) -> DataFrame:
+    """(entity, t, path) from t = ``reference`` on: the EWMA of the standardised residual, in units of its own deviation.
+
+    Mean and deviation (divisor n) come from the times before ``reference``; the mean then follows the series at
+    ``base_weight``, so slow changes are absorbed.  A reference without spread has a null path.
+    """
+    fitted = series.where(F.col("t") < reference).groupBy("entity").agg(F.avg(column).alias("start"), F.stddev_pop(column).alias("sd"))
+    watched = series.where(F.col("t") >= reference).select("entity", (F.col("t") - reference).cast("long").alias("t"), F.col(column).cast("double").alias("x"))
+    base = affine_scan(watched.withColumn("__x", F.lit(base_weight) * F.col("x")), 1 - base_weight, "__x", steps - reference, fitted)
+    residual = watched.join(base.select("entity", "t", "before"), ["entity", "t"]).join(fitted, "entity").select("entity", "t", F.when(F.col("sd") > 0, F.lit(weight) * (F.col("x") - F.col("before")) / F.col("sd")).otherwise(0.0).alias("__r"))
+    path = affine_scan(residual, 1 - weight, "__r", steps - reference).join(fitted.select("entity", "sd"), "entity")
+    return path.select("entity", (F.col("t") + reference).cast("int").alias("t"), F.when(F.col("sd") > 0, F.col("after") / F.lit((weight / (2 - weight)) ** 0.5)).alias("path"))
 
 
 def critical_amplitude(statistics: DataFrame, onset: int, length: int, threshold: float) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noveltybench.sources.tables import remove, shared_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -29,18 +31,24 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str, str], tuple[SparkSession, str]] = {}
 
 
 def kept(name: str):
-    """A fixture that fans out to several readers of one query: persisted once for an application and data folder."""
+    """A fixture that fans out to several readers: written once to the shared folder for an application and data folder.
+
+    Readers scan the table, so their plans stay short, no executor holds it in memory and a lost one costs nothing.
+    ``forget`` removes all such tables, and so does the end of the application.
+    """
 
     def wrap(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def get(spark: SparkSession, sf: str, late: bool = False) -> DataFrame:
             key = (spark.sparkContext.applicationId, sf, f"{name}{late}")
             if key not in _KEPT:
-                _KEPT[key] = (make(spark, sf, late) if late else make(spark, sf)).persist()
-            return _KEPT[key]
+                path = shared_path(spark, name)
+                (make(spark, sf, late) if late else make(spark, sf)).write.parquet(path)
+                _KEPT[key] = (spark, path)
+            return spark.read.parquet(_KEPT[key][1])
 
         return get
 
@@ -48,9 +56,9 @@ def kept(name: str):
 
 
 def forget() -> None:
-    """Drops all persisted fixtures."""
-    for df in _KEPT.values():
-        df.unpersist()
+    """Removes all kept fixtures."""
+    for spark, path in _KEPT.values():
+        remove(spark, path)
     _KEPT.clear()
 
 

@@ -327,6 +327,21 @@ def cusum_path(spark, sf):
     return P.cusum_path(residuals(spark, sf), "residual", 5.0, 60.0)
 
 
-@query(with_sql("SELECT entity, list_reduce(list_prepend(0.0::DOUBLE, list(residual ORDER BY t)), lambda a, x: 0.8 * a + 0.2 * x) AS last FROM residuals GROUP BY entity", PANEL, RESIDUAL))
+def days(spark, sf) -> int:
+    """Length of the panel."""
+    return panel(spark, sf).agg(F.max("t")).first()[0] + 1
+
+
+@query(with_sql("SELECT entity, round(list_reduce(list_prepend(0.0::DOUBLE, list(residual ORDER BY t)), lambda a, x: 0.8 * a + 0.2 * x), 6) AS last FROM residuals GROUP BY entity", PANEL, RESIDUAL))
+def ewma_last(spark, sf):
+    return P.ewma_last(residuals(spark, sf), "residual", 0.2, days(spark, sf)).withColumn("last", F.round("last", 6))
+
+
+WATCHED = """fitted AS (SELECT entity, avg(residual) AS mean, stddev_pop(residual) AS sd FROM residuals WHERE t < 10 GROUP BY entity),
+watch AS (SELECT entity, 9 AS t, mean, sd, 0.0::DOUBLE AS e FROM fitted UNION ALL
+ SELECT w.entity, r.t, 0.98 * w.mean + 0.02 * r.residual, w.sd, 0.8 * w.e + 0.2 * (r.residual - w.mean) / w.sd FROM watch w JOIN residuals r ON r.entity = w.entity AND r.t = w.t + 1)"""
+
+
+@query(recursive("SELECT entity, t, round(CASE WHEN sd > 0 THEN e / sqrt(0.2 / 1.8) END, 6) AS path FROM watch WHERE t >= 10", PANEL, RESIDUAL, WATCHED))
 def ewma_path(spark, sf):
-    return P.ewma_path(residuals(spark, sf), "residual", 0.2)
+    return P.ewma_path(residuals(spark, sf), "residual", 10, days(spark, sf), 0.2, 0.02).withColumn("path", F.round("path", 6))

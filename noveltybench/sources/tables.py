@@ -18,24 +18,28 @@ from noveltybench.operators.windows import materialize_windows
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder all executors see (spark.checkpoint.dir), removed when the application ends.
+    """A fresh path in the folder all executors see (spark.checkpoint.dir, or what setCheckpointDir chose), removed when the application ends.
 
-    A temporary folder serves only where the setting is unset and Spark runs in one process (tests).
+    A temporary folder serves only where neither is set and Spark runs in one process (tests).
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = chosen.get() if chosen.isDefined() else None
     if not root and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/noveltybench-{what}-{uuid.uuid4().hex}"
 
-    def drop() -> None:
-        with contextlib.suppress(Exception):  # the gateway may be gone already
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-    atexit.register(drop)
+    atexit.register(remove, spark, path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the gateway may be gone already
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str, trim: list[str] | None = None) -> DataFrame:
     """CSV with a header and fixed column types; label columns are trimmed; malformed rows are errors."""
     df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
