@@ -3,6 +3,9 @@
 Moments are summed by Spark and only matrices of the vectors' width reach the
 driver.  kNN searches the whole reference in blocks; the isolation forest uses a
 bounded, reproducible sample of it (``TREE_ROWS`` rows a tree).  Every row is scored.
+
+A vector that is null, empty, or holds a null or non-finite entry is left out of the reference, and its own score is
+null; without a usable reference every score is null.  This holds for all detectors here but the boosted trees.
 """
 
 from __future__ import annotations
@@ -26,13 +29,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def usable(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, matrix) of the vectors without null or non-finite entries, of ``width`` entries if given."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = np.asarray(column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), float)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+    ends = np.cumsum(sizes)
+    good = (sizes > 0) & (bad[ends] == bad[ends - sizes])
+    width = int(sizes[good][0]) if width is None and good.any() else width or 0
+    rows = np.flatnonzero(good & (sizes == width))
+    return rows, values[(ends - sizes)[rows][:, None] + np.arange(width)]
+
+
 def moments(vectors: DataFrame, column: str = "x") -> tuple[float, np.ndarray, np.ndarray]:
-    """(n, mean, covariance with divisor n): partial sums of each partition, added up by Spark."""
+    """(n, mean, covariance with divisor n) of the usable vectors: partial sums of each partition, added up by Spark.
+
+    Vectors that are null, or hold a null or non-finite entry, don't count; without any, n is 0 and the rest empty.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            x = _matrix(b.column(0))
+            _, x = usable(b.column(0), None if total is None else len(total) - 1)
             if len(x):
                 z = np.hstack([np.ones((len(x), 1)), x])
                 total = z.T @ z if total is None else total + z.T @ z
@@ -41,6 +61,8 @@ def moments(vectors: DataFrame, column: str = "x") -> tuple[float, np.ndarray, n
             yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "s"])
 
     rows = vectors.select(column).mapInArrow(partial, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    if not rows:
+        return 0.0, np.zeros(0), np.zeros((0, 0))
     d = max(r["i"] for r in rows) + 1
     m = np.zeros((d, d))
     for r in rows:
@@ -49,61 +71,76 @@ def moments(vectors: DataFrame, column: str = "x") -> tuple[float, np.ndarray, n
     return n, mean, m[1:, 1:] / n - np.outer(mean, mean)
 
 
-def scored(vectors: DataFrame, f: Callable[[np.ndarray], np.ndarray], column: str = "x", out: str = "score") -> DataFrame:
-    """``vectors`` without the vector column, with a score of each row."""
+def scored(vectors: DataFrame, f: Callable[[np.ndarray], np.ndarray], column: str = "x", out: str = "score", width: int | None = None) -> DataFrame:
+    """``vectors`` without the vector column, with a score of each row; null where the vector is unusable or not as wide as asked."""
     rest = [c for c in vectors.columns if c != column]
     kept = vectors.select(*rest, column)
     schema = ", ".join([*[f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in rest], f"`{out}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column(len(rest)))
-            score = f(x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(score.astype(np.float64))], names=[*rest, out])
+            rows, x = usable(b.column(len(rest)), width)
+            score, known = np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            if len(x):
+                score[rows], known[rows] = f(x), True
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(score, mask=~known)], names=[*rest, out])
 
     return kept.mapInArrow(run, schema)
 
 
+def unscored(vectors: DataFrame) -> DataFrame:
+    """What every detector answers without a usable reference: null scores."""
+    return vectors.drop("x").withColumn("score", F.lit(None).cast("double"))
+
+
 def ledoit_wolf(reference: DataFrame, column: str = "x") -> tuple[np.ndarray, np.ndarray]:
     """(mean, shrunk covariance): shrinkage min(beta, delta) / delta towards the mean variance, from moments alone."""
     n, mean, s = moments(reference, column)
     d = len(mean)
+    if not n:
+        return mean, s
     mu = np.trace(s) / d
     delta = ((s - mu * np.eye(d)) ** 2).sum()
-    fourth = scored(reference.select(column), lambda x: ((x - mean) ** 2).sum(axis=1) ** 2, column).agg(F.sum("score")).first()[0]
+    fourth = scored(reference.select(column), lambda x: ((x - mean) ** 2).sum(axis=1) ** 2, column, width=d).agg(F.sum("score")).first()[0]
     beta = (fourth / n - (s**2).sum()) / n
     shrink = min(beta, delta) / delta if delta > 0 else 0.0
     return mean, (1 - shrink) * s + shrink * mu * np.eye(d)
 
 
 def mahalanobis(vectors: DataFrame, reference: DataFrame) -> DataFrame:
+    """Distance from the reference's mean under its shrunk covariance (a pseudo-inverse where that is singular)."""
     mean, cov = ledoit_wolf(reference)
-    precision = np.linalg.inv(cov)
-    return scored(vectors, lambda x: np.sqrt(np.maximum(np.einsum("ni,ij,nj->n", x - mean, precision, x - mean), 0)))
+    if not len(mean):
+        return unscored(vectors)
+    precision = np.linalg.pinv(cov, hermitian=True)
+    return scored(vectors, lambda x: np.sqrt(np.maximum(np.einsum("ni,ij,nj->n", x - mean, precision, x - mean), 0)), width=len(mean))
 
 
-def whitener(reference: DataFrame, shrinkage: float = 0.1) -> np.ndarray:
-    """Inverse square root of the covariance shrunk by ``shrinkage`` of its mean variance."""
-    _, _, s = moments(reference)
+def whitener(s: np.ndarray, shrinkage: float = 0.1) -> np.ndarray:
+    """Inverse square root of a covariance shrunk by ``shrinkage`` of its mean variance."""
     d = len(s)
     values, vectors = np.linalg.eigh((1 - shrinkage) * s + shrinkage * np.trace(s) / d * np.eye(d))
     return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-12))) @ vectors.T
 
 
 def whitened_norm(vectors: DataFrame, reference: DataFrame) -> DataFrame:
-    _, mean, _ = moments(reference)
-    w = whitener(reference)
-    return scored(vectors, lambda x: np.linalg.norm((x - mean) @ w, axis=1))
+    n, mean, s = moments(reference)
+    if not n:
+        return unscored(vectors)
+    w = whitener(s)
+    return scored(vectors, lambda x: np.linalg.norm((x - mean) @ w, axis=1), width=len(mean))
 
 
 def pca_reconstruction(vectors: DataFrame, reference: DataFrame, explained: float = 0.95) -> DataFrame:
     """Mean squared error after projection on the leading components that explain ``explained`` of the variance."""
-    _, mean, s = moments(reference)
+    n, mean, s = moments(reference)
+    if not n:
+        return unscored(vectors)
     values, basis = np.linalg.eigh(s)
     values, basis = values[::-1], basis[:, ::-1]
-    k = int(np.searchsorted(np.cumsum(values) / values.sum(), explained)) + 1
+    k = int(np.searchsorted(np.cumsum(values) / max(values.sum(), 1e-300), explained)) + 1
     top = basis[:, :k]
-    return scored(vectors, lambda x: (((x - mean) - (x - mean) @ top @ top.T) ** 2).mean(axis=1))
+    return scored(vectors, lambda x: (((x - mean) - (x - mean) @ top @ top.T) ** 2).mean(axis=1), width=len(mean))
 
 
 def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR) -> DataFrame:
@@ -119,12 +156,18 @@ def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR)
     def dealt(rows: DataFrame, blocks: int, name: str) -> DataFrame:
         return rows.withColumn(name, F.pmod(F.xxhash64("x", F.lit(41)), F.lit(blocks)))
 
+    whole = F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    first = reference.where(whole).select(F.size("x")).first()
+    if first is None:
+        return unscored(vectors)
+    whole = whole & (F.size("x") == first[0])
+    reference, given = reference.where(whole), vectors.where(whole)
     x = F.col("x").cast("array<double>").alias("x")
     blocks = max(1, -(-reference.count() // BLOCK_ROWS))
     # Rows of one vector are a block's rows several times over: they are counted, k of them at most matter.
     known = reference.select(x).groupBy("x").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
     known = dealt(known, blocks, "block").groupBy("block").agg(F.collect_list(F.struct("x", "n")).alias("known"))
-    probes = vectors.select(x).distinct()
+    probes = given.select(x).distinct()
     chunks = dealt(probes, max(1, -(-vectors.count() // PROBE_ROWS)), "chunk").groupBy("chunk").agg(F.collect_list("x").alias("xs"))
     left = chunks.select("xs", F.pmod("chunk", F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     right = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.col("block").cast("long").alias("block"), F.col("salt").cast("long").alias("salt"), F.col("known.x").alias("ys"), F.col("known.n").alias("ns"))
@@ -146,7 +189,7 @@ def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR)
     merged = tops.select("x", F.explode("top").alias("d")).groupBy("x").agg(F.sort_array(F.collect_list("d")).alias("all"))
     answered = merged.select(F.col("x").alias("__x"), F.sqrt(F.element_at("all", F.least(F.lit(k), F.size("all")))).alias("score"))
     rest = [c for c in vectors.columns if c != "x"]
-    return vectors.withColumn("__y", x).join(answered.hint("merge"), F.col("__y") == F.col("__x")).select(*rest, "score")
+    return vectors.withColumn("__y", x).join(answered.hint("merge"), F.col("__y") == F.col("__x"), "left").select(*rest, "score")
 
 
 def _tree(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:
@@ -179,6 +222,8 @@ def _depths(tree: tuple, x: np.ndarray, rows: np.ndarray, depth: int, out: np.nd
 def isolation_forest(vectors: DataFrame, reference: DataFrame, key: str, trees: int = TREES, rows: int = TREE_ROWS) -> DataFrame:
     """2 ** -(mean path / expected path); each tree is grown by a task from the ``rows`` rows of smallest hash under its number."""
     # The trees a row may be in are found from its key alone; only rows drawn carry their vectors on.
+    whole = F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    reference = reference.where(whole)
     n, spare = reference.count(), 2
     limit = 2**63 - 1 if n <= spare * rows else int(2**63 * (spare * rows / n))
     draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.col(key), t), 1).alias("h")))
@@ -194,6 +239,8 @@ def isolation_forest(vectors: DataFrame, reference: DataFrame, key: str, trees:
     import pickle
 
     spark = vectors.sparkSession
+    if not n:
+        return unscored(vectors)
     grown = [(r["n"], pickle.loads(r["tree"])) for r in sample.groupBy("tree").applyInPandas(grow, "n long, tree binary").collect()]
     forest = spark.sparkContext.broadcast(grown)
 
@@ -204,7 +251,8 @@ def isolation_forest(vectors: DataFrame, reference: DataFrame, key: str, trees:
         expected = np.mean([_path(n) for n, _ in forest.value])
         return 2 ** (-out / len(forest.value) / max(expected, 1e-9))
 
-    return scored(vectors, score)
+    first = reference.select(F.size("x")).first()
+    return scored(vectors, score, width=first[0])
 
 
 def boosted_trees(train: DataFrame, vectors: DataFrame, depth: int = 4, rounds: int = 8, rate: float = 0.1, subsample: float = 1.0) -> DataFrame:

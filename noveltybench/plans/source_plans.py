@@ -119,17 +119,26 @@ def content_manifest(spark, sf):
     return T.content_manifest(spark, sf).where(F.col("name").isin([f"{t}.parquet" for t, _ in FILES])).select("name", "rows", "columns")
 
 
-@query("SELECT 'manifest' AS check_name, CAST(3 AS BIGINT) AS violations, FALSE AS ok FROM (SELECT count(*) FROM supplier)")
+REGISTERED = """old AS (SELECT chr(CAST(97 + s_suppkey % 5 AS INTEGER)) AS name, s_suppkey, s_name, s_acctbal FROM supplier),
+later AS (SELECT * FROM old WHERE name IN ('a', 'd') UNION ALL SELECT * FROM old WHERE name = 'b' AND s_suppkey > 1 UNION ALL SELECT name, s_suppkey, s_name, s_acctbal + 1 FROM old WHERE name = 'c' UNION ALL SELECT 'f', s_suppkey, s_name, s_acctbal FROM old WHERE name = 'e'),
+a AS (SELECT name, count(*) AS n, sum(CAST(hash(s_suppkey, s_name, s_acctbal) AS HUGEINT)) AS h FROM old GROUP BY name),
+b AS (SELECT name, count(*) AS n, sum(CAST(hash(s_suppkey, s_name, s_acctbal) AS HUGEINT)) AS h FROM later GROUP BY name)"""
+
+
+@query(with_sql("SELECT name, change FROM (SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.n IS NULL THEN 'gone' WHEN a.n IS NULL THEN 'new' WHEN a.n <> b.n THEN 'rows' WHEN a.h <> b.h THEN 'digest' END AS change FROM a FULL JOIN b ON a.name = b.name) WHERE change IS NOT NULL", REGISTERED))
 def manifest_immutability(spark, sf):
-    """Suppliers by nation, one file each, against the manifest written before one file changed, one went and one came."""
+    """Suppliers in five folders against the manifest written before rows went from one, changed in one, and one moved."""
     path = T.shared_path(spark, "registered")
-    suppliers = table(spark, sf, "supplier")
-    for name, kept in (("a", "s_suppkey % 3 = 0"), ("b", "s_suppkey % 3 = 1"), ("c", "s_suppkey % 3 = 2")):
-        suppliers.where(kept).coalesce(1).write.parquet(f"{path}/{name}")
-    T.content_manifest(spark, path).write.parquet(f"{path}-manifest")
-    suppliers.where("s_suppkey % 3 = 1 and s_suppkey > 1").coalesce(1).write.mode("overwrite").parquet(f"{path}/b")
-    suppliers.where("s_suppkey % 3 = 2").withColumn("s_acctbal", F.col("s_acctbal") + 1).coalesce(1).write.parquet(f"{path}/d")
-    return V.check(T.manifest_changes(spark.read.parquet(f"{path}-manifest"), T.content_manifest(spark, path)), "manifest")
+    suppliers = table(spark, sf, "supplier").withColumn("__name", F.chr(F.lit(97) + F.col("s_suppkey") % 5))
+    part = {name: suppliers.where(F.col("__name") == name).drop("__name") for name in "abcde"}
+    for name, rows in part.items():
+        rows.write.parquet(f"{path}/{name}")
+    T.content_manifest(spark, path, folders=True).write.parquet(f"{path}-manifest")
+    part["b"].where("s_suppkey > 1").write.mode("overwrite").parquet(f"{path}/b")
+    part["c"].withColumn("s_acctbal", F.col("s_acctbal") + 1).write.mode("overwrite").parquet(f"{path}/c")
+    T.remove(spark, f"{path}/e")
+    part["e"].write.parquet(f"{path}/f")
+    return T.manifest_changes(spark.read.parquet(f"{path}-manifest"), T.content_manifest(spark, path, folders=True))
 
 
 @query(windowed("SELECT grp, rn, CAST(row_number() OVER (PARTITION BY grp ORDER BY rn) - 1 AS BIGINT) AS compact FROM (SELECT DISTINCT e.grp, e.rn FROM exploded e JOIN labels l ON l.grp = e.grp AND l.k = e.k WHERE l.n_attack >= 3)"))

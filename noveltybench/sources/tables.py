@@ -108,8 +108,8 @@ def archive_report(spark: SparkSession, path: str, features: list[str]) -> DataF
     return counted.crossJoin(F.broadcast(used)).select("rows_materialised", "windows_referenced", F.lit(len([c for c in features if c in flows.columns])).cast("long").alias("n_features"), (F.col("odd") + F.col("lost")).alias("violations"))
 
 
-def content_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """(name, rows, columns, digest) of each Parquet file below ``path``, of any size.
+def content_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet", folders: bool = False) -> DataFrame:
+    """(name, rows, columns, digest) of each Parquet file below ``path``, of any size; or of each folder that holds such files.
 
     The digest is the sum of the hashes of a file's rows, whatever their order; it is summed in part by the tasks that
     read the file's row groups, so no task holds a file.
@@ -120,7 +120,7 @@ def content_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet")
         rows = spark.read.option("recursiveFileLookup", True).parquet(folder)
         row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}), 256)
         digests = [F.sum(F.conv(F.substring(row, 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")).cast("string") for k in (0, 1)]
-        hashed = rows.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *digests).alias("digest"))
+        hashed = rows.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -2 if folders else -1).alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *digests).alias("digest"))
         part = hashed.select("name", "rows", F.lit(",".join(rows.columns)).alias("columns"), "digest")
         parts = part if parts is None else parts.unionByName(part)
     return spark.createDataFrame([], "name string, rows long, columns string, digest string") if parts is None else parts
