@@ -21,22 +21,34 @@ from noveltybench.plans.window_plans import HEAD_TAIL, NOVEL, classes, placed, w
 SERIES = f"series AS (SELECT entity, list(residual ORDER BY t) AS xs, list({U} ORDER BY t) AS us, list(t ORDER BY t) AS ts FROM residuals GROUP BY entity)"
 
 
-def folded_sql(admits: str, reference: str, columns: str) -> str:
+POWER, MIXTURE = "0.5 * pow(greatest({p}, 1e-12), -0.5)", "(1 - {q} + {q} * ln({q})) / ({q} * ln({q}) * ln({q}))"
+
+
+def folded_sql(admits: str, reference: str, e: str = POWER, stride: int = 1, anchor: str = "") -> str:
     """CTE ``walk``: series folded step by step; i counts the steps done and lo + 1 .. hi is the lagged span.
 
-    ``ok`` and ``pool`` are the usable steps and the standing pool, ``admits`` the value of ok after a step.
+    ``ok`` and ``pool`` are the usable steps and the standing pool, ``admits`` the value of ok after a step; ``anchor`` is
+    the slice of xs that is frozen as a second reference.
     """
-    return f"""walk AS (SELECT entity, xs, us, ts, 10 AS i, 1.0::DOUBLE AS m, list_transform(range(0, 10), lambda k: TRUE) AS ok, xs[1:10] AS pool, range(1, 11) AS held, 0.0::DOUBLE AS p, 1.0::DOUBLE AS shown, FALSE AS hit FROM series WHERE len(xs) >= 10 UNION ALL
- SELECT entity, xs, us, ts, i + 1, CASE WHEN m1 >= 4 THEN 1.0 ELSE m1 END, {admits}, pool1, held1, p1, m1, m1 >= 4 FROM (
- SELECT *, greatest(m, 1.0) * 0.5 * pow(greatest(p1, 1e-12), -0.5) AS m1 FROM (
- SELECT *, (len(list_filter(pool1, lambda v: v > xs[i + 1])) + us[i + 1]) / (len(pool1) + 1) AS p1 FROM (
+
+    def evalue(p: str) -> str:
+        return e.format(p=p, q=f"least(greatest({p}, 1e-12), 1 - 1e-12)")
+
+    second = f"greatest(ma, 1.0) * {evalue('pa')}" if anchor else "1.0"
+    frozen = f"(len(list_filter(xs[{anchor}], lambda v: v > xs[i + 1])) + (us[i + 1] * 65536) % 1) / (len(xs[{anchor}]) + 1)" if anchor else "1.0"
+    return f"""walk AS (SELECT entity, xs, us, ts, 10 AS i, 1.0::DOUBLE AS m, 1.0::DOUBLE AS ma, list_transform(range(0, 10), lambda k: TRUE) AS ok, xs[1:10] AS pool, range(1, 11) AS held, 0.0::DOUBLE AS p, 1.0::DOUBLE AS shown, FALSE AS hit FROM series WHERE len(xs) >= 10 UNION ALL
+ SELECT entity, xs, us, ts, i + 1, CASE WHEN NOT due THEN m WHEN hit1 THEN 1.0 ELSE m1 END, CASE WHEN NOT due THEN ma WHEN hit1 THEN 1.0 ELSE ma1 END, {admits}, CASE WHEN due THEN pool1 ELSE pool END, CASE WHEN due THEN held1 ELSE held END, p1, m1, due AND hit1 FROM (
+ SELECT *, (i - 10) % {stride} = 0 AS due, m1 >= 4 OR ma1 >= 4 AS hit1 FROM (
+ SELECT *, greatest(m, 1.0) * {evalue('p1')} AS m1, {second} AS ma1 FROM (
+ SELECT *, (len(list_filter(pool1, lambda v: v > xs[i + 1])) + us[i + 1]) / (len(pool1) + 1) AS p1, {frozen} AS pa FROM (
  SELECT *, list_transform(held1, lambda k: xs[k]) AS pool1 FROM (
  SELECT *, {reference} AS held1 FROM (
  SELECT *, list_filter(span, lambda k: ok[k]) AS usable FROM (
- SELECT *, range(greatest(i - 9, 0) + 1, greatest(i - 1, 0) + 1) AS span FROM walk WHERE i < len(xs)))))))){columns}"""
+ SELECT *, range(greatest(i - 9, 0) + 1, greatest(i - 1, 0) + 1) AS span FROM walk WHERE i < len(xs)))))))))"""
 
 
-GATE_WALK = folded_sql("list_append(ok, m1 < 2)", "CASE WHEN len(usable) >= 4 THEN usable ELSE span END", "")
+GATE = ("list_append(ok, CASE WHEN due THEN m1 < 2 ELSE ok[len(ok)] END)", "CASE WHEN len(usable) >= 4 THEN usable ELSE span END")
+GATE_WALK = folded_sql(*GATE)
 
 
 @query(recursive("SELECT entity, ts[i] AS t, p, round(shown, 9) AS m, hit AS alarm FROM walk WHERE i > 10", PANEL, RESIDUAL, SERIES, GATE_WALK))
@@ -45,19 +57,32 @@ def gated_reference_alarms(spark, sf):
     return found.withColumn("m", F.round("m", 9))
 
 
+@query(recursive("SELECT entity, ts[i] AS t, p, round(shown, 9) AS m, hit AS alarm FROM walk WHERE i > 10 AND (i - 11) % 2 = 0", PANEL, RESIDUAL, SERIES, folded_sql(*GATE, MIXTURE, 2)))
+def gated_reference_stride(spark, sf):
+    """Every second day is tested, by the mixture calibrator."""
+    found = Z.gated_reference(residuals(spark, sf), "residual", Z.Gated(10, 8, 1, 4.0, 4, stride=2, mixture=True, gate=2.0))
+    return found.withColumn("m", F.round("m", 9))
+
+
 #: ok covers all steps here: an alarm closes three steps before it and two after it, also those still to come.
-POOL_WALK = folded_sql(
-    "CASE WHEN m1 >= 4 THEN list_transform(range(1, len(xs) + 1), lambda k: coalesce(ok[k], TRUE) AND NOT (k >= i + 1 - 3 AND k <= i + 1 + 2)) ELSE ok END",
+POOL_RULE = (
+    "CASE WHEN due AND hit1 THEN list_transform(range(1, len(xs) + 1), lambda k: coalesce(ok[k], TRUE) AND NOT (k >= i + 1 - 3 AND k <= i + 1 + 2)) ELSE ok END",
     "CASE WHEN len(usable) >= 4 THEN usable ELSE held END",
-    "",
-).replace("list_transform(range(0, 10), lambda k: TRUE) AS ok", "list_transform(xs, lambda x: TRUE) AS ok")
-POOL = [PANEL, RESIDUAL, SERIES, POOL_WALK,
-        "final AS (SELECT entity, arg_max(ok, i) AS ok, max(len(xs)) AS n, list(i) FILTER (hit) AS hits FROM walk GROUP BY entity)",
-        "used AS (SELECT DISTINCT entity, unnest(held) AS k FROM walk WHERE i > 10)",
-        """pools AS (SELECT f.entity, s.ts[g.k] AS t, coalesce(list_contains(f.hits, g.k), FALSE) AS alarm, u.k IS NOT NULL AS admitted, f.ok[g.k] AS vetted, f.ok[g.k] AND g.k > n - 9 AND g.k <= n - 1 AS in_final_pool
+)
+
+
+def pool_sql(*rule) -> list[str]:
+    walk = folded_sql(*POOL_RULE, *rule).replace("list_transform(range(0, 10), lambda k: TRUE) AS ok", "list_transform(xs, lambda x: TRUE) AS ok")
+    return [PANEL, RESIDUAL, SERIES, walk,
+            "final AS (SELECT entity, arg_max(ok, i) AS ok, max(len(xs)) AS n, list(i) FILTER (hit) AS hits FROM walk GROUP BY entity)",
+            "used AS (SELECT DISTINCT entity, unnest(held) AS k FROM walk WHERE i > 10)",
+            """pools AS (SELECT f.entity, s.ts[g.k] AS t, coalesce(list_contains(f.hits, g.k), FALSE) AS alarm, u.k IS NOT NULL AS admitted, f.ok[g.k] AS vetted, f.ok[g.k] AND g.k > n - 9 AND g.k <= n - 1 AS in_final_pool
  FROM final f JOIN series s USING (entity) JOIN (SELECT entity, unnest(range(1, len(xs) + 1)) AS k FROM series) g ON g.entity = f.entity LEFT JOIN used u ON u.entity = f.entity AND u.k = g.k)"""]
 
 
+POOL = pool_sql()
+
+
 def pools(spark, sf):
     return Z.quarantined_pool(residuals(spark, sf), "residual", Z.Quarantined(10, 8, 1, 4.0, 4, purge=3, quarantine=2))
 
@@ -67,6 +92,13 @@ def purge_quarantine_pool(spark, sf):
     return pools(spark, sf)
 
 
+@query(recursive("SELECT * FROM pools", *pool_sql(MIXTURE, 2, "3:8")))
+def purge_quarantine_anchor(spark, sf):
+    """Every second day is tested by the mixture calibrator, against the pool and against days 3 to 8 of the warm-up, frozen."""
+    rule = Z.Quarantined(10, 8, 1, 4.0, 4, stride=2, mixture=True, purge=3, quarantine=2, anchor=(2, 8))
+    return Z.quarantined_pool(residuals(spark, sf), "residual", rule)
+
+
 @query(recursive("SELECT p.entity, coalesce(avg(CASE WHEN in_final_pool THEN CAST(t >= t0 AS INTEGER) END), 0.0) AS share, count(*) FILTER (admitted AND t >= t0) AS ever_admitted FROM pools p JOIN (SELECT entity, t AS t0 FROM residuals QUALIFY row_number() OVER (PARTITION BY entity ORDER BY residual DESC, t DESC) = 1) a USING (entity) GROUP BY p.entity", *POOL))
 def contamination_fraction(spark, sf):
     """An entity's day of highest residual counts as the start of its attack."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from noveltybench.operators.stateful import Evidence, Gated
+from noveltybench.operators.stateful import Evidence, Gated, Quarantined
 
 
 def windowed_sums(stream: DataFrame, width: str, delay: str) -> DataFrame:
@@ -36,8 +36,8 @@ def _timeout(idle_ms: int | None) -> str:
     return GroupStateTimeout.EventTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
 
 
-def gated(stream: DataFrame, rule: Gated, delay: str = "1 day", idle_ms: int | None = None) -> DataFrame:
-    """(entity, event_time, p, m, alarm) of the gated reference (see `noveltybench.operators.stateful`), step by step.
+def gated(stream: DataFrame, rule: Gated | Quarantined, delay: str = "1 day", idle_ms: int | None = None) -> DataFrame:
+    """(entity, event_time, p, m, alarm) of the gated reference, or of a quarantined pool (see `noveltybench.operators.stateful`), step by step.
 
     A step's tie-breaking uniform comes from the entity and the number of steps before it.
     """
@@ -53,12 +53,12 @@ def gated(stream: DataFrame, rule: Gated, delay: str = "1 day", idle_ms: int | N
             u = int(hashlib.md5(f"{key[0]}:{kept.seen}".encode()).hexdigest()[:8], 16) / 2**32
             kept, step = rule(kept, float(x), u)
             steps.append(step)
-        state.update((kept.seen, kept.m, list(kept.values), list(kept.usable), list(kept.pool), kept.closed_until))
+        state.update((kept.seen, kept.m, list(kept.values), list(kept.usable), list(kept.pool), kept.closed_until, kept.ma, list(kept.anchor)))
         _until(state, rows, idle_ms)
         yield pd.concat([rows[["entity", "event_time"]].reset_index(drop=True), pd.DataFrame(steps)[["p", "m", "alarm"]]], axis=1)
 
     held = stream.withWatermark("event_time", delay)
-    state = "seen int, m double, values array<double>, usable array<boolean>, pool array<double>, closed_until int"
+    state = "seen int, m double, values array<double>, usable array<boolean>, pool array<double>, closed_until int, ma double, anchor array<double>"
     return held.groupBy("entity").applyInPandasWithState(fold, "entity long, event_time timestamp, p double, m double, alarm boolean", state, "append", _timeout(idle_ms))
 
 
