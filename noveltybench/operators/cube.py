@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noveltybench.operators.metrics import spearman
@@ -75,6 +75,41 @@ def protocol_agreement(means: DataFrame, keys: list[str] | None = None) -> DataF
     return whole.join(discordant, keys) if keys else whole.crossJoin(F.broadcast(discordant))
 
 
+def agreement_ranks(means: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """What choosing by protocol a costs under protocol b, from (keys, detector, family, a, b, c, d): one row, or one a key.
+
+    a and b are a measure under either protocol, c and d a second one (a rate at a fixed false-alarm rate, say).  Ranks run
+    from 1 for the greatest value, ties by detector name.  ``pick`` is the detector that leads under a.
+    """
+    keys = keys or []
+
+    def rank(value: str, name: str = "detector") -> Column:
+        return F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), name))
+
+    ranked = means.withColumn("__ra", rank("a")).withColumn("__rb", rank("b"))  # a table of detectors
+    shift = F.abs(F.col("__ra") - F.col("__rb"))
+
+    def of(place: str, value: str) -> Column:
+        return F.max(F.when(F.col(place) == 1, F.col(value)))
+
+    whole = ranked.groupBy(*keys).agg(
+        F.avg(shift).alias("mean_rank_shift"),
+        F.max(shift).alias("max_rank_shift"),
+        F.count_if((F.col("a") - 0.5) * (F.col("b") - 0.5) < 0).alias("chance_side_flips"),
+        of("__ra", "detector").alias("pick"),
+        of("__ra", "__rb").alias("pick_rank"),
+        of("__ra", "b").alias("pick_value"),
+        of("__ra", "d").alias("pick_second"),
+        (of("__rb", "b") - of("__ra", "b")).alias("regret"),
+        (of("__rb", "d") - of("__ra", "d")).alias("second_regret"),
+        F.avg(F.col("d") - F.col("c")).alias("mean_second_delta"),
+        F.avg(F.abs(F.col("d") - F.col("c"))).alias("mean_abs_second_delta"),
+    )
+    families = means.groupBy(*keys, "family").agg(F.avg("a").alias("a"), F.avg("b").alias("b")).withColumn("__ra", rank("a", "family")).withColumn("__rb", rank("b", "family"))
+    leaders = families.groupBy(*keys).agg(of("__ra", "family").alias("leader_a"), of("__rb", "family").alias("leader_b")).withColumn("leader_flip", F.col("leader_a") != F.col("leader_b"))
+    return whole.join(leaders, keys) if keys else whole.crossJoin(leaders)
+
+
 def agreement_rollup(agreements: DataFrame) -> DataFrame:
     """One row over configurations (their agreement and rho): counts, ranges and medians."""
     return agreements.agg(

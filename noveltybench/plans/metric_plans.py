@@ -255,6 +255,27 @@ def protocol_agreement(spark, sf):
     return C.protocol_agreement(lohi(spark, sf))
 
 
+def seeds_apart(spark, sf):
+    """Detectors under two protocols (even and odd classes) for each seed, with the least area as a second measure."""
+    odd = F.col("cls") % 2 == 1
+    sides = [f(F.when(side, F.col("auc"))).alias(name) for name, f, side in (("a", F.avg, ~odd), ("b", F.avg, odd), ("c", F.min, ~odd), ("d", F.min, odd))]
+    means = result_cube(spark, sf).groupBy("seed", "detector").agg(*sides)
+    return means.withColumn("family", F.create_map(*[F.lit(x) for kv in FAMILY_OF.items() for x in kv])[F.col("detector")])
+
+
+RANKED = [f"sm AS (SELECT seed, detector, {FAM} AS family, avg(auc) FILTER (cls % 2 = 0) AS a, avg(auc) FILTER (cls % 2 = 1) AS b, min(auc) FILTER (cls % 2 = 0) AS c, min(auc) FILTER (cls % 2 = 1) AS d FROM cube0 GROUP BY ALL)",
+          "sr AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY a DESC, detector) AS ra, row_number() OVER (PARTITION BY seed ORDER BY b DESC, detector) AS rb FROM sm)",
+          "sf AS (SELECT seed, arg_max(family, a) AS leader_a, arg_max(family, b) AS leader_b FROM (SELECT seed, family, avg(a) AS a, avg(b) AS b FROM sm GROUP BY ALL) GROUP BY seed)"]
+
+
+@query(with_sql("""SELECT seed, avg(abs(ra - rb)) AS mean_rank_shift, max(abs(ra - rb)) AS max_rank_shift, CAST(count(*) FILTER ((a - 0.5) * (b - 0.5) < 0) AS BIGINT) AS chance_side_flips,
+ max(detector) FILTER (ra = 1) AS pick, max(rb) FILTER (ra = 1) AS pick_rank, max(b) FILTER (ra = 1) AS pick_value, max(d) FILTER (ra = 1) AS pick_second, max(b) FILTER (rb = 1) - max(b) FILTER (ra = 1) AS regret,
+ max(d) FILTER (rb = 1) - max(d) FILTER (ra = 1) AS second_regret, avg(d - c) AS mean_second_delta, avg(abs(d - c)) AS mean_abs_second_delta, any_value(leader_a) AS leader_a, any_value(leader_b) AS leader_b, any_value(leader_a <> leader_b) AS leader_flip
+ FROM sr JOIN sf USING (seed) GROUP BY seed""", CUBE, *RANKED))
+def protocol_agreement_ranks(spark, sf):
+    return C.agreement_ranks(seeds_apart(spark, sf), ["seed"])
+
+
 @query(with_sql("SELECT low, high, reps FROM (SELECT count(mean) AS reps, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM (SELECT rep, sum(a.times * b.times * auc) / sum(a.times * b.times) AS mean FROM quad q JOIN da a USING (cls) JOIN db b USING (rep, seed) GROUP BY rep))",
                 CUBE, "quad AS (SELECT * FROM cube0 WHERE detector = 'quad')", draws_sql("quad", "cls", 200, 7, "da"), draws_sql("quad", "seed", 200, 8, "db")))
 def bootstrap_unit_seed(spark, sf):
