@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TREE_ROWS, TREES, NEIGHBOUR = 256, 200, 10
@@ -143,6 +143,27 @@ def pca_reconstruction(vectors: DataFrame, reference: DataFrame, explained: floa
     return scored(vectors, lambda x: (((x - mean) - (x - mean) @ top @ top.T) ** 2).mean(axis=1), width=len(mean))
 
 
+def centroid(vectors: DataFrame, reference: DataFrame) -> DataFrame:
+    """Distance from the reference's mean."""
+    n, mean, _ = moments(reference)
+    return scored(vectors, lambda x: np.linalg.norm(x - mean, axis=1), width=len(mean)) if n else unscored(vectors)
+
+
+def score_grid(vectors: DataFrame, reference: DataFrame, checkpoints: dict[str, Column], fitted: dict[str, Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:
+    """(checkpoint, detector, the other columns of ``vectors``, score): every detector under every representation of ``x``.
+
+    A checkpoint is an expression over ``x``.  A detector is fitted once a checkpoint on the whole reference and scores all
+    rows; evaluation sets are a column of ``vectors`` that stays with them.
+    """
+    out = None
+    for checkpoint, x in checkpoints.items():
+        shown, known = vectors.withColumn("x", x), reference.withColumn("x", x)
+        for name, detector in fitted.items():
+            part = detector(shown, known).select(F.lit(checkpoint).alias("checkpoint"), F.lit(name).alias("detector"), *[c for c in vectors.columns if c != "x"], "score")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR) -> DataFrame:
     """Distance to the k-th neighbour (the farthest of fewer) in the whole L2-normalised reference.
 

@@ -279,3 +279,20 @@ def reanchor(spark, sf):
     p, b = probes(spark, sf), benign(spark, sf)
     one = D.mahalanobis(p, b.where("vec_id % 2 = 0")).withColumn("condition", F.lit("source"))
     return one.unionByName(D.mahalanobis(p, b.where("vec_id % 2 = 1")).withColumn("condition", F.lit("anchor")))
+
+
+GRID = ["shown AS (SELECT 'whole' AS checkpoint, * FROM vec UNION ALL SELECT 'front', vec_id, cls, y, x[1:32] FROM vec)",
+        "scaled AS (SELECT *, list_transform(x, lambda e: e / norm) AS u FROM (SELECT *, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS norm FROM shown))",
+        "means AS (SELECT checkpoint, list(m ORDER BY i) AS mean FROM (SELECT checkpoint, i, avg(x[i]) AS m FROM (SELECT checkpoint, x, unnest(range(1, len(x) + 1)) AS i FROM shown WHERE y = 0) GROUP BY ALL) GROUP BY checkpoint)"]
+SETS = "CASE WHEN {v}cls < 5 THEN 'benign' WHEN {v}cls < 8 THEN 'near' ELSE 'far' END AS set_name"
+
+
+@query(with_sql(f"""SELECT checkpoint, 'centroid' AS detector, vec_id, {SETS.format(v='')}, round(list_distance(x, mean), 6) AS score FROM shown JOIN means USING (checkpoint)
+ UNION ALL SELECT p.checkpoint, 'knn', p.vec_id, any_value(p.set_name), round(list_sort(list(list_distance(p.u, b.u)))[10], 6) FROM (SELECT *, {SETS.format(v='')} FROM scaled) p JOIN scaled b ON b.checkpoint = p.checkpoint AND b.y = 0 GROUP BY p.checkpoint, p.vec_id""", VEC, *GRID))
+def score_grid_sets(spark, sf):
+    """Two representations (all entries, the first 32), three evaluation sets, detectors whose scores SQL can express."""
+    v = vectors(spark, sf)
+    sets = F.when(F.col("cls") < 5, "benign").when(F.col("cls") < 8, "near").otherwise("far")
+    made = {"centroid": D.centroid, "knn": lambda p, b: D.knn(p, b, "vec_id")}
+    grid = D.score_grid(v.select("vec_id", sets.alias("set_name"), "x"), v.where("y = 0").select("vec_id", "x"), {"whole": F.col("x"), "front": F.slice("x", 1, 32)}, made)
+    return grid.withColumn("score", F.round("score", 6))
