@@ -6,14 +6,12 @@ partitioned by neither.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from noveltybench.functions.sampling import md5_unit
 from noveltybench.operators.coordination import statistic
+from noveltybench.operators.past import SLICE_ROWS, past_ranks
 from noveltybench.operators.ranks import normal_cdf, normal_quantile, quantile, running
 
 
@@ -72,20 +70,13 @@ def p_lagged(series: DataFrame, column: str, length: int, gap: int, stride: int)
     return held.select("entity", "t", conformal_p(greater, equal, F.lit(length), unit("entity", "t")).alias("p"))
 
 
-def p_full_past(series: DataFrame, column: str, warm: int) -> DataFrame:
-    """(entity, t, p): smoothed rank among all values so far, itself included; masked during warm-up."""
-    kind = series.schema["entity"].dataType.simpleString()
-    rows = series.select("entity", "t", F.col(column).cast("double").alias("x"), unit("entity", "t").alias("u"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, past, p = pdf.sort_values("t"), [], []
-        for x, u in zip(pdf["x"], pdf["u"], strict=True):
-            insort(past, x)  # kept in order, so a rank costs a search and not a pass
-            low, high = bisect_left(past, x), bisect_right(past, x)
-            p.append((len(past) - high + u * (high - low)) / len(past))
-        return pd.DataFrame({"entity": pdf["entity"], "t": pdf["t"], "p": p}).iloc[warm:]
+def p_full_past(series: DataFrame, column: str, warm: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(entity, t, p): smoothed rank among all values so far, itself included; masked during warm-up.
 
-    return rows.groupBy("entity").applyInPandas(fold, f"entity {kind}, t int, p double")
+    Steps are what ``past.past_ranks`` says; a series of any length is shared by tasks.
+    """
+    ranked = past_ranks(series, column, slice_rows).where(F.col("place") >= warm)
+    return ranked.select("entity", "t", ((F.col("above") + unit("entity", "t") * (F.col("same") + 1)) / (F.col("place") + 1)).alias("p"))
 
 
 def power_e(p: Column, kappa: float, cap: float) -> Column:

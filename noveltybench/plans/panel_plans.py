@@ -67,6 +67,17 @@ def pvalue_online_full_past(spark, sf):
     return P.p_full_past(residuals(spark, sf), "residual", 5)
 
 
+STEPS = "steps AS (SELECT event_type AS entity, event_id AS t, round(value, 2) AS v FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL)"
+
+
+@query(with_sql(f"""SELECT entity, t, (above + {U} * same) / n AS p FROM (
+ SELECT p.entity, p.t, count(*) AS n, count(*) FILTER (r.v > p.v) AS above, count(*) FILTER (r.v = p.v) AS same FROM steps p JOIN steps r ON r.entity = p.entity AND r.t <= p.t GROUP BY p.entity, p.t) WHERE n > 50""", STEPS))
+def pvalue_online_sliced(spark, sf):
+    """All events of a type as one long series, cut into slices of 500 steps (or more: 1,000 slices at most)."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("entity"), F.col("event_id").alias("t"), F.round("value", 2).alias("v"))
+    return P.p_full_past(e, "v", 50, 500)
+
+
 @query(with_sql(f"SELECT entity, t, ((SELECT count(*) FROM panel r WHERE r.t = p.t AND r.s > p.s) + {U.replace('entity', 'p.entity').replace('t),', 'p.t),')} * ((SELECT count(*) FROM panel r WHERE r.t = p.t AND r.s = p.s AND r.entity <> p.entity) + 1)) / (SELECT count(*) FROM panel r WHERE r.t = p.t) AS p FROM panel p", PANEL))
 def pvalue_conformal_ties(spark, sf):
     """Each cell against its peers of the same time, ties smoothed."""
