@@ -5,7 +5,7 @@ driver.  kNN searches the whole reference in blocks; the isolation forest uses a
 bounded, reproducible sample of it (``TREE_ROWS`` rows a tree).  Every row is scored.
 
 A vector that is null, empty, or holds a null or non-finite entry is left out of the reference, and its own score is
-null; without a usable reference every score is null.  This holds for all detectors here but the boosted trees.
+null; without a usable reference every score is null.
 """
 
 from __future__ import annotations
@@ -274,13 +274,3 @@ def isolation_forest(vectors: DataFrame, reference: DataFrame, key: str, trees:
 
     first = reference.select(F.size("x")).first()
     return scored(vectors, score, width=first[0])
-
-
-def boosted_trees(train: DataFrame, vectors: DataFrame, depth: int = 4, rounds: int = 8, rate: float = 0.1, subsample: float = 1.0) -> DataFrame:
-    """P(attack) of gradient-boosted trees fitted by Spark ML on (x, y)."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    model = GBTClassifier(featuresCol="__v", labelCol="y", maxDepth=depth, maxIter=rounds, stepSize=rate, subsamplingRate=subsample, seed=17).fit(train.select(array_to_vector(F.col("x").cast("array<double>")).alias("__v"), F.col("y").cast("double").alias("y")))
-    out = model.transform(vectors.withColumn("__v", array_to_vector(F.col("x").cast("array<double>"))))
-    return out.select(*[c for c in vectors.columns if c != "x"], F.element_at(vector_to_array("probability"), 2).alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noveltybench.functions.sampling import md5_draw
+from noveltybench.operators import boosting as B
 from noveltybench.operators import detectors as D
 from noveltybench.operators import scores as K
 from noveltybench.operators.ranks import running
@@ -253,10 +254,22 @@ def det_isolation_forest(spark, sf):
     return D.isolation_forest(probes(spark, sf), benign(spark, sf), "vec_id")
 
 
+def labelled_half(spark, sf):
+    """Even ids to learn from, odd ids to score."""
+    v = vectors(spark, sf)
+    return v.where("vec_id % 2 = 0").select("x", "y"), v.where("vec_id % 2 = 1").select("vec_id", "x")
+
+
 @query()
 def det_gbt_supervised(spark, sf):
-    v = vectors(spark, sf)
-    return D.boosted_trees(v.where("vec_id % 2 = 0").select("x", "y"), v.where("vec_id % 2 = 1").select("vec_id", "x"))
+    """300 trees of depth 6, all rows and entries."""
+    return B.boosted_trees(*labelled_half(spark, sf))
+
+
+@query()
+def det_gbt_subsampled(spark, sf):
+    """The seeded variant: each tree sees 0.8 of the rows and of the entries."""
+    return B.boosted_trees(*labelled_half(spark, sf), rows=0.8, columns=0.8)
 
 
 @query()

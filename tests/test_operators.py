@@ -178,14 +178,6 @@ def test_forest_samples_are_whole_and_bounded(spark):
         assert got[-1] == max(got.values()) and got[-1] > 0.6 and np.median(list(got.values())) < 0.55
 
 
-def test_boosted_trees_learn_a_rule(spark):
-    rng = np.random.default_rng(7)
-    x = rng.normal(size=(400, 3))
-    df = spark.createDataFrame([(i, v.tolist(), int(v[0] > 0)) for i, v in enumerate(x)], "vec_id long, x array<double>, y int")
-    got = scores_of(detectors.boosted_trees(df.where("vec_id < 200").select("x", "y"), df.where("vec_id >= 200").select("vec_id", "x")))
-    assert np.mean((np.array(got) > 0.5) == (x[200:, 0] > 0)) > 0.95
-
-
 def test_detectors_equal_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5))
