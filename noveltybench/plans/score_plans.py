@@ -231,9 +231,40 @@ def probes(spark, sf):
     return vectors(spark, sf).select("vec_id", "x")
 
 
-@query()
+def distance_sql(references: str, shrink: str) -> list[str]:
+    """CTEs ending in ``far`` (condition, vec_id, score): distances under the inverse of each reference's shrunk covariance, swept row by row.
+
+    ``references`` selects (condition, x); ``shrink`` is an expression over the moments n, mu, beta and delta.
+    """
+    return [f"refs AS ({references})",
+            "centre AS (SELECT condition, i, avg(x[i]) AS m, count(*) AS n FROM refs, (SELECT unnest(range(1, 65)) AS i) GROUP BY condition, i)",
+            "centres AS (SELECT condition, list(m ORDER BY i) AS mean FROM centre GROUP BY condition)",
+            "apart AS (SELECT r.condition, list_transform(range(1, 65), lambda i: r.x[i] - c.mean[i]) AS d FROM refs r JOIN centres c USING (condition))",
+            "spread AS (SELECT condition, i, j, avg(d[i] * d[j]) AS s FROM apart, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) GROUP BY condition, i, j)",
+            "level AS (SELECT condition, sum(s) FILTER (i = j) / 64 AS mu, sum(s * s) AS squares FROM spread GROUP BY condition)",
+            "fourth AS (SELECT condition, count(*) AS n, avg(pow(list_sum(list_transform(d, lambda e: e * e)), 2)) AS f FROM apart GROUP BY condition)",
+            "shape AS (SELECT s.condition, any_value(mu) AS mu, any_value((f - squares) / n) AS beta, sum(pow(s - CASE WHEN i = j THEN mu ELSE 0 END, 2)) AS delta FROM spread s JOIN level USING (condition) JOIN fourth USING (condition) GROUP BY s.condition)",
+            f"shrunk AS (SELECT condition, i, j, (1 - a) * s + CASE WHEN i = j THEN a * mu ELSE 0 END AS v FROM spread JOIN (SELECT condition, mu, {shrink} AS a FROM shape) USING (condition))",
+            """swept AS (SELECT condition, 1 AS k, i, j, v FROM shrunk UNION ALL
+  SELECT a.condition, a.k + 1, a.i, a.j, CASE WHEN a.i = a.k AND a.j = a.k THEN 1 / p.v WHEN a.i = a.k THEN a.v / p.v WHEN a.j = a.k THEN -a.v / p.v ELSE a.v - c.v * r.v / p.v END
+  FROM swept a JOIN swept p ON p.condition = a.condition AND p.i = a.k AND p.j = a.k JOIN swept r ON r.condition = a.condition AND r.i = a.k AND r.j = a.j JOIN swept c ON c.condition = a.condition AND c.i = a.i AND c.j = a.k WHERE a.k <= 64)""",
+            "precise AS (SELECT condition, i, j, v FROM swept WHERE k = 65)",
+            "rows_of AS (SELECT condition, i, list(v ORDER BY j) AS row FROM precise GROUP BY condition, i)",
+            "away AS (SELECT condition, vec_id, list_transform(range(1, 65), lambda i: x[i] - mean[i]) AS d FROM vec, centres)",
+            "far AS (SELECT condition, vec_id, sqrt(sum(d[i] * list_dot_product(d, row))) AS score FROM away JOIN rows_of USING (condition) GROUP BY condition, vec_id)"]
+
+
+LEDOIT_WOLF = "least(beta, delta) / delta"
+ONE = "SELECT 'one' AS condition, x FROM vec WHERE y = 0"
+
+
+def recursive(select: str, *parts: str) -> str:
+    return with_sql(select, *parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(recursive("SELECT vec_id, round(score, 6) AS score FROM far", VEC, *distance_sql(ONE, LEDOIT_WOLF)))
 def det_mahalanobis(spark, sf):
-    return D.mahalanobis(probes(spark, sf), benign(spark, sf))
+    return D.mahalanobis(probes(spark, sf), benign(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 UNIT = "unit AS (SELECT vec_id, y, list_transform(x, lambda e: e / norm) AS u FROM (SELECT *, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS norm FROM vec))"
@@ -272,9 +303,9 @@ def det_gbt_subsampled(spark, sf):
     return B.boosted_trees(*labelled_half(spark, sf), rows=0.8, columns=0.8)
 
 
-@query()
+@query(recursive("SELECT vec_id, round(score, 6) AS score FROM far", VEC, *distance_sql(ONE, "0.1")))
 def whitener(spark, sf):
-    return D.whitened_norm(probes(spark, sf), benign(spark, sf))
+    return D.whitened_norm(probes(spark, sf), benign(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -286,12 +317,13 @@ def score_grid(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query()
+@query(recursive("SELECT condition, vec_id, round(score, 6) AS score FROM far", VEC, *distance_sql("SELECT CASE WHEN vec_id % 2 = 0 THEN 'source' ELSE 'anchor' END AS condition, x FROM vec WHERE y = 0", LEDOIT_WOLF)))
 def reanchor(spark, sf):
     """Mahalanobis scores under the first and under a second benign reference, by condition."""
     p, b = probes(spark, sf), benign(spark, sf)
     one = D.mahalanobis(p, b.where("vec_id % 2 = 0")).withColumn("condition", F.lit("source"))
-    return one.unionByName(D.mahalanobis(p, b.where("vec_id % 2 = 1")).withColumn("condition", F.lit("anchor")))
+    both = one.unionByName(D.mahalanobis(p, b.where("vec_id % 2 = 1")).withColumn("condition", F.lit("anchor")))
+    return both.withColumn("score", F.round("score", 6))
 
 
 GRID = ["shown AS (SELECT 'whole' AS checkpoint, * FROM vec UNION ALL SELECT 'front', vec_id, cls, y, x[1:32] FROM vec)",

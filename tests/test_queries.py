@@ -16,7 +16,7 @@ clean_mean_std clean_transform metric_auc metric_pr_auc metric_tpr_at_fpr metric
 protocol_agreement pvalue_train_ref pvalue_lagged_reference ecusum_no_reset ecusum_reset coordination_circular_test ebh_reject own_history_scan
 window_power linear_filter_recurrence embed_centroid_score rank_normalise wasserstein_1d scan_csv_typed source_archive stream_cusum_alarms
 gated_reference_alarms purge_quarantine_pool stream_windowed_sums verify_recorded_hashes protocol_agreement_rollup gate_dose_response identify_conformal_knn
-calibrate_roc_slope pvalue_online_full_past pvalue_online_sliced det_knn sort_by_time manifest_immutability schema_check""".split()
+calibrate_roc_slope pvalue_online_full_past pvalue_online_sliced det_mahalanobis reanchor whitener det_knn sort_by_time manifest_immutability schema_check""".split()
 NAMES = [n for n in registry.queries() if n in registry.oracle_sql() and (os.environ.get("FULL") or n in CORE)]
 
 
