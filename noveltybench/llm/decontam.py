@@ -2,10 +2,12 @@
 
 Words are runs of digits, lower-cased ASCII letters and non-ASCII bytes.  A
 window is ``n`` consecutive words of an item; an item of fewer words is one
-window.  The windows go to the workers as a hash set when their number is
-within ``MAX_BROADCAST``; beyond it texts are first screened against a bitmap,
-sixteen bits a window and 2**MOST_BITS at most, and the windows that remain are
-joined by hash.  Either way every hit is verified word by word.
+window.  The windows are written once, counted and measured, and go to the
+workers as a hash set when their number is within ``MAX_BROADCAST`` and their
+words and item ids within ``MAX_BYTES``; beyond either, texts are first screened
+against a bitmap, sixteen bits a window and 2**MOST_BITS at most, and the
+windows that remain are joined by hash.  Either way every hit is verified word
+by word.
 
 Defined cases: null or word-less texts and items have no windows and no hits;
 repeated rows are each answered; an empty benchmark hits nothing; windows of
@@ -22,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noveltybench.llm.storage import unused, with_fields
+from noveltybench.llm.storage import stored, unused, with_fields
 from noveltybench.llm.textops import ALNUM, LOWER, ngram_hashes, slices, text_buffer, word_hashes, word_spans
 
-#: Most benchmark windows that are broadcast (about 20 MB of words), and the exponents of the least and largest bitmap (32 MB).
-MAX_BROADCAST = 200_000
+#: Most benchmark windows, and bytes of their words and item ids, that are broadcast; exponents of the least and largest bitmap (32 MB).
+MAX_BROADCAST, MAX_BYTES = 200_000, 64_000_000
 LEAST_BITS, MOST_BITS = 20, 28
 
 
@@ -161,19 +163,19 @@ def _answers(column: pa.Array, hits_of, remove: bool) -> Iterator[tuple[int, int
         yield first, last, out
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", remove: bool = False, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", remove: bool = False, max_broadcast: int = MAX_BROADCAST, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, items (array, sorted) and, with ``remove``, ``clean_text`` without the hit spans.
 
     Columns of ``docs`` with these names are replaced.
     """
     spark = docs.sparkSession
-    windows = benchmark_windows(benchmark, n)
+    windows = stored(benchmark_windows(benchmark, n), "windows")
     kept = docs.drop("n_words", "n_hit", "items", "clean_text")
-    found = windows.limit(max_broadcast + 1).collect()
-    if len(found) <= max_broadcast:
-        shared = spark.sparkContext.broadcast(WindowRows([tuple(r) for r in found]))
+    count, size = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0))), F.lit(0))).first()
+    if count <= max_broadcast and size <= max_bytes:
+        shared = spark.sparkContext.broadcast(WindowRows([tuple(r) for r in windows.collect()]))
         return _mark(kept, lambda: shared.value.get(), None, text, remove)
-    return _mark_joined(kept, windows, text, remove)
+    return _mark_joined(kept, windows, count, text, remove)
 
 
 def _mark(kept: DataFrame, make, hits: str | None, text: str, remove: bool) -> DataFrame:
@@ -208,10 +210,10 @@ def _mark(kept: DataFrame, make, hits: str | None, text: str, remove: bool) -> D
     return kept.mapInArrow(run, schema)
 
 
-def _mark_joined(kept: DataFrame, windows: DataFrame, text: str, remove: bool) -> DataFrame:
+def _mark_joined(kept: DataFrame, windows: DataFrame, count: int, text: str, remove: bool) -> DataFrame:
     """The same answers for any number of windows: bitmap screen, then an equi-join on hash, length and words."""
     spark = kept.sparkSession
-    size = min(max((16 * windows.count() - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    size = min(max((16 * count - 1).bit_length(), LEAST_BITS), MOST_BITS)
     place = F.shiftrightunsigned("hash", 64 - size)
     bits = windows.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - size}) & 63 as int))")).alias("bits"))
     lengths = [r[0] for r in windows.select("n").distinct().collect()]

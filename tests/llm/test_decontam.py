@@ -46,12 +46,12 @@ def sample(seed):
     return docs + [(100, None), (101, "")], items
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
-def test_both_ways_equal_brute_force(spark, most, monkeypatch):
+@pytest.mark.parametrize(("most", "most_bytes"), [(200_000, 64_000_000), (0, 64_000_000), (200_000, 100)])
+def test_both_ways_equal_brute_force(spark, most, most_bytes):
+    """Within the bounds of a broadcast, beyond its number of windows, beyond its bytes."""
     docs, items = sample(4)
-    monkeypatch.setattr(decontam, "MAX_BROADCAST", most)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    marked = decontam.mark(d, b, max_broadcast=most)
+    marked = decontam.mark(d, b, max_broadcast=most, max_bytes=most_bytes)
     got = sorted((r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["n_hit"] > 0) for r in marked.collect())
     assert got == brute(docs, items)
 
