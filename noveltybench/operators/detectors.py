@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TREE_ROWS, TREES, NEIGHBOUR = 256, 200, 10
-#: Reference rows and probes of a block of the kNN search, and tasks that share one reference block.
-BLOCK_ROWS, PROBE_ROWS, SALTS = 2_048, 512, 8
+#: Reference rows and probes whose distances the kNN search holds at once, and most probes of a task.
+BLOCK_ROWS, PROBE_ROWS, PART_ROWS = 2_048, 512, 65_536
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -167,16 +167,13 @@ def score_grid(vectors: DataFrame, reference: DataFrame, checkpoints: dict[str,
 def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR) -> DataFrame:
     """Distance to the k-th neighbour (the farthest of fewer) in the whole L2-normalised reference.
 
-    Reference and probes are dealt by hash into blocks; each pair of blocks meets in
-    one row and gives every probe its k nearest of that block, merged by probe.
+    Probes are dealt by hash into parts that a task holds.  The reference streams past each part in blocks, and only
+    the k nearest so far are kept, so a probe leaves its task as one row however large the reference is.
     """
 
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    def dealt(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-        return rows.withColumn(name, F.pmod(F.xxhash64("x", F.lit(41)), F.lit(blocks)))
-
     whole = F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     first = reference.where(whole).select(F.size("x")).first()
     if first is None:
@@ -184,31 +181,57 @@ def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR)
     whole = whole & (F.size("x") == first[0])
     reference, given = reference.where(whole), vectors.where(whole)
     x = F.col("x").cast("array<double>").alias("x")
-    blocks = max(1, -(-reference.count() // BLOCK_ROWS))
-    # Rows of one vector are a block's rows several times over: they are counted, k of them at most matter.
+    # Rows of one vector are counted, k of them at most matter.
     known = reference.select(x).groupBy("x").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
-    known = dealt(known, blocks, "block").groupBy("block").agg(F.collect_list(F.struct("x", "n")).alias("known"))
-    probes = given.select(x).distinct()
-    chunks = dealt(probes, max(1, -(-vectors.count() // PROBE_ROWS)), "chunk").groupBy("chunk").agg(F.collect_list("x").alias("xs"))
-    left = chunks.select("xs", F.pmod("chunk", F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    right = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.col("block").cast("long").alias("block"), F.col("salt").cast("long").alias("salt"), F.col("known.x").alias("ys"), F.col("known.n").alias("ns"))
-    met = left.withColumn("salt", F.col("salt").cast("long")).join(right.hint("merge"), ["block", "salt"]).select("xs", "ys", "ns")
+    probes, rows = given.select(x).distinct(), vectors.count()
+    parts = max(1, -(-rows // PART_ROWS), min(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-rows // PROBE_ROWS)))
+    held = probes.select(F.pmod(F.xxhash64("x", F.lit(41)), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("n"), "x")
+    passing = known.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "n", "x")
+    met = held.unionByName(passing).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "n")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, given, probe, top, seen = None, [], None, None, 0
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            most, start = min(k, seen), 0
+            for column in given:
+                score = np.sqrt(np.partition(top[start : start + len(column)], most - 1, axis=1)[:, most - 1])
+                start += len(column)
+                yield pa.RecordBatch.from_arrays([column, pa.array(score)], names=["__x", "score"])
+
         for b in batches:
-            for i in range(b.num_rows):
-                given, ref = b.column(0)[i].values, unit(_matrix(b.column(1)[i].values))
-                ref = np.repeat(ref, np.asarray(b.column(2)[i].values), axis=0)
-                probe = unit(_matrix(given))
-                most = min(k, len(ref))
-                d = np.maximum(2 - 2 * probe @ ref.T, 0)
-                top = np.partition(d, most - 1, axis=1)[:, :most]
-                offsets = pa.array(np.arange(len(probe) + 1) * most, pa.int32())
-                yield pa.RecordBatch.from_arrays([given, pa.ListArray.from_arrays(offsets, pa.array(top.ravel()))], names=["x", "top"])
-
-    tops = met.mapInArrow(nearest, "x array<double>, top array<double>")
-    merged = tops.select("x", F.explode("top").alias("d")).groupBy("x").agg(F.sort_array(F.collect_list("d")).alias("all"))
-    answered = merged.select(F.col("x").alias("__x"), F.sqrt(F.element_at("all", F.least(F.lit(k), F.size("all")))).alias("score"))
+            ids, counts = np.asarray(b.column(0)), np.asarray(b.column(1))
+            cuts = np.flatnonzero((np.diff(ids) != 0) | ((counts[1:] > 0) != (counts[:-1] > 0))) + 1
+            for i, j in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                if i == j:
+                    continue
+                if part != ids[i]:
+                    if given:
+                        yield from answered()
+                    part, given, probe, top, seen = ids[i], [], None, None, 0
+                column = b.column(2).slice(i, j - i)
+                if counts[i] == 0:  # probes come first
+                    given.append(column)
+                    continue
+                if not given:
+                    continue
+                if probe is None:
+                    probe = np.vstack([unit(_matrix(c)) for c in given])
+                    top = np.full((len(probe), k), np.inf)
+                passed = np.repeat(unit(_matrix(column)), counts[i:j], axis=0)
+                seen += len(passed)
+                for r in range(0, len(passed), BLOCK_ROWS):
+                    ref = passed[r : r + BLOCK_ROWS]
+                    for p in range(0, len(probe), PROBE_ROWS):
+                        d = np.maximum(2 - 2 * probe[p : p + PROBE_ROWS] @ ref.T, 0)
+                        if d.shape[1] > k:
+                            d = np.partition(d, k - 1, axis=1)[:, :k]
+                        mine = top[p : p + PROBE_ROWS]
+                        mine[:] = np.partition(np.hstack([mine, d]), k - 1, axis=1)[:, :k]
+        if given:
+            yield from answered()
+
+    answered = met.mapInArrow(nearest, "__x array<double>, score double")
     rest = [c for c in vectors.columns if c != "x"]
     return vectors.withColumn("__y", x).join(answered.hint("merge"), F.col("__y") == F.col("__x"), "left").select(*rest, "score")
 
