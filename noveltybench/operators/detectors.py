@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noveltybench.sources.tables import shared_path
+
 TREE_ROWS, TREES, NEIGHBOUR = 256, 200, 10
-#: Reference rows and probes whose distances the kNN search holds at once, and most probes of a task.
+#: Reference rows and probes whose distances the kNN search holds at once, and most probes of a task (of 64 entries; fewer of wider ones).
 BLOCK_ROWS, PROBE_ROWS, PART_ROWS = 2_048, 512, 65_536
 
 
@@ -167,8 +169,9 @@ def score_grid(vectors: DataFrame, reference: DataFrame, checkpoints: dict[str,
 def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR) -> DataFrame:
     """Distance to the k-th neighbour (the farthest of fewer) in the whole L2-normalised reference.
 
-    Probes are dealt by hash into parts that a task holds.  The reference streams past each part in blocks, and only
-    the k nearest so far are kept, so a probe leaves its task as one row however large the reference is.
+    The reference is written once, in blocks; the probes are dealt into parts that a task holds, and each task reads the
+    blocks past its part.  Neither is shuffled more than once, so what is moved and written grows with the rows, whatever
+    the number of parts; a probe leaves its task as one row.
     """
 
     def unit(x: np.ndarray) -> np.ndarray:
@@ -178,62 +181,57 @@ def knn(vectors: DataFrame, reference: DataFrame, key: str, k: int = NEIGHBOUR)
     first = reference.where(whole).select(F.size("x")).first()
     if first is None:
         return unscored(vectors)
-    whole = whole & (F.size("x") == first[0])
-    reference, given = reference.where(whole), vectors.where(whole)
+    width = first[0]
+    block_rows, part_rows = (max(1, min(rows, rows * 64 // width)) for rows in (BLOCK_ROWS, PART_ROWS))
     x = F.col("x").cast("array<double>").alias("x")
-    # Rows of one vector are counted, k of them at most matter.
-    known = reference.select(x).groupBy("x").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
-    probes, rows = given.select(x).distinct(), vectors.count()
-    parts = max(1, -(-rows // PART_ROWS), min(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-rows // PROBE_ROWS)))
-    held = probes.select(F.pmod(F.xxhash64("x", F.lit(41)), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("n"), "x")
-    passing = known.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "n", "x")
-    met = held.unionByName(passing).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "n")
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, given, probe, top, seen = None, [], None, None, 0
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, block_rows):
+                counts, rows = np.asarray(b.column(0).slice(i, block_rows)), unit(_matrix(b.column(1).slice(i, block_rows)))
+                yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()]), pa.array([rows.tobytes()])], names=["n", "block"])
 
-        def answered() -> Iterator[pa.RecordBatch]:
-            most, start = min(k, seen), 0
-            for column in given:
-                score = np.sqrt(np.partition(top[start : start + len(column)], most - 1, axis=1)[:, most - 1])
-                start += len(column)
-                yield pa.RecordBatch.from_arrays([column, pa.array(score)], names=["__x", "score"])
+    # Rows of one vector are counted, k of them at most matter.
+    known = reference.where(whole & (F.size("x") == width)).select(x).groupBy("x").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    path = shared_path(vectors.sparkSession, "knn")
+    known.select("n", "x").mapInArrow(blocks, "n binary, block binary").write.parquet(path)
+    passing = vectors.sparkSession.read.parquet(path).coalesce(1)
+
+    n_rows, rest = vectors.count(), [c for c in vectors.columns if c != "x"]
+    parts = max(1, -(-n_rows // part_rows), min(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-n_rows // PROBE_ROWS)))
+    part = F.pmod(F.xxhash64(key, "x", F.lit(41)), F.lit(parts)).cast("int").alias("part")
+    held = vectors.select(part, F.struct(*rest, x).alias("row")).repartitionById(parts, F.col("part")).groupBy("part").agg(F.collect_list("row").alias("rows"))
+    # A task has one part and all blocks: the reference's side is one partition, read anew by each task.
+    met = passing.crossJoin(held.hint("shuffle_replicate_nl")).select("n", "block", "part", "rows")
 
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = {}, {}
         for b in batches:
-            ids, counts = np.asarray(b.column(0)), np.asarray(b.column(1))
-            cuts = np.flatnonzero((np.diff(ids) != 0) | ((counts[1:] > 0) != (counts[:-1] > 0))) + 1
-            for i, j in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-                if i == j:
-                    continue
-                if part != ids[i]:
-                    if given:
-                        yield from answered()
-                    part, given, probe, top, seen = ids[i], [], None, None, 0
-                column = b.column(2).slice(i, j - i)
-                if counts[i] == 0:  # probes come first
-                    given.append(column)
-                    continue
-                if not given:
-                    continue
-                if probe is None:
-                    probe = np.vstack([unit(_matrix(c)) for c in given])
-                    top = np.full((len(probe), k), np.inf)
-                passed = np.repeat(unit(_matrix(column)), counts[i:j], axis=0)
-                seen += len(passed)
+            for i, part in enumerate(b.column(2).to_pylist()):
+                if part not in known:
+                    given = b.column(3).slice(i, 1).flatten()
+                    rows, vectors = usable(given.field("x"), width)
+                    top = np.full((len(rows), k), -np.inf)
+                    known[part], seen[part] = ([given.field(c) for c in rest], len(given), rows, unit(vectors), top, top.min(axis=1)), 0
+                _, _, _, probe, top, least = known[part]
+                passed = np.repeat(np.frombuffer(b.column(1)[i].as_buffer()).reshape(-1, width), np.frombuffer(b.column(0)[i].as_buffer(), np.int32), axis=0)
+                seen[part] += len(passed)
                 for r in range(0, len(passed), BLOCK_ROWS):
-                    ref = passed[r : r + BLOCK_ROWS]
+                    ref = passed[r : r + BLOCK_ROWS].T
                     for p in range(0, len(probe), PROBE_ROWS):
-                        d = np.maximum(2 - 2 * probe[p : p + PROBE_ROWS] @ ref.T, 0)
-                        if d.shape[1] > k:
-                            d = np.partition(d, k - 1, axis=1)[:, :k]
-                        mine = top[p : p + PROBE_ROWS]
-                        mine[:] = np.partition(np.hstack([mine, d]), k - 1, axis=1)[:, :k]
-        if given:
-            yield from answered()
-
-    answered = met.mapInArrow(nearest, "__x array<double>, score double")
-    rest = [c for c in vectors.columns if c != "x"]
-    return vectors.withColumn("__y", x).join(answered.hint("merge"), F.col("__y") == F.col("__x"), "left").select(*rest, "score")
+                        near = probe[p : p + PROBE_ROWS] @ ref
+                        better = np.flatnonzero(near.max(axis=1) > least[p : p + PROBE_ROWS])
+                        if len(better):
+                            mine = np.partition(np.hstack([top[p + better], near[better]]), -k, axis=1)[:, -k:]
+                            top[p + better], least[p + better] = mine, mine.min(axis=1)
+        for part, (columns, n, rows, _, top, _) in known.items():
+            score, there = np.zeros(n), np.zeros(n, bool)
+            most = min(k, seen[part])
+            score[rows], there[rows] = np.sqrt(np.maximum(2 - 2 * np.partition(top, k - most, axis=1)[:, k - most], 0)), True
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score, mask=~there)], names=[*rest, "score"])
+
+    schema = ", ".join([*[f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in rest], "score double"])
+    return met.mapInArrow(nearest, schema)
 
 
 def _tree(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:
