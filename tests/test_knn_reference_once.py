@@ -32,7 +32,7 @@ def test_the_reference_is_shuffled_once_whatever_the_parts(spark, monkeypatch):
     assert seen[0] == seen[1] < 4_000
 
 
-@pytest.mark.parametrize("name", ["score_grid_sets"])
+@pytest.mark.parametrize("name", ["score_grid_sets", "score_grid"])
 def test_a_grid_shuffles_the_same_rows_whatever_the_parts(spark, sf, monkeypatch, name):
     seen = []
     for size in (4_000, 40):
