@@ -41,6 +41,26 @@ def test_a_grid_shuffles_the_same_rows_whatever_the_parts(spark, sf, monkeypatch
     assert seen[0] == seen[1]
 
 
+def bytes_moved(spark, run):
+    """What a run writes for shuffles, spills and tables."""
+    last = max([s.stageId() for s in stages(spark)], default=-1)
+    run()
+    return sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in stages(spark) if s.stageId() > last)
+
+
+@pytest.mark.parametrize("name", ["score_grid_sets"])
+def test_a_row_more_moves_a_few_vectors_more(spark, tmp_path, monkeypatch, name):
+    """Pairs of blocks, and then parts, each once got vectors of their own, so what was moved grew with probes times reference."""
+    monkeypatch.setattr(detectors, "PROBE_ROWS", 50)
+    monkeypatch.setattr(detectors, "BLOCK_ROWS", 50)
+    rng, seen = np.random.default_rng(9), []
+    for size in (1_000, 3_000):
+        rows = [(i, v.tolist(), i % 10) for i, v in enumerate(rng.normal(size=(size, 64)))]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{size}/embeddings.parquet")
+        seen.append(bytes_moved(spark, lambda at=f"{tmp_path}/{size}": registry.queries()[name](spark, at).collect()))
+    assert (seen[1] - seen[0]) / 2_000 < 4 * 64 * 8
+
+
 def test_wide_vectors_other_columns_and_odd_probes(spark, monkeypatch):
     """Parts and blocks hold fewer of wider vectors; what else a probe has stays with it, and odd ones get null."""
     monkeypatch.setattr(detectors, "PART_ROWS", 64)
